@@ -161,7 +161,8 @@ def pair_bins(df: DataFrame, features: list[str], by: str, bins: int = 10) -> Da
         if lo is None or hi is None or hi == lo:
             return F.when(F.col(f).isNotNull(), F.lit(0))
         b = F.floor((F.col(f).cast("double") - F.lit(lo)) / F.lit(hi - lo) * F.lit(bins))
-        return F.least(b, F.lit(bins - 1)).cast("int")
+        # least() skips nulls, so a missing value must stay null explicitly
+        return F.when(F.col(f).isNotNull(), F.least(b, F.lit(bins - 1)).cast("int"))
     cells = [F.struct(F.lit(a).alias("feature_x"), F.lit(b).alias("feature_y"),
                       bin_of(i, a).alias("bin_x"), bin_of(j, b).alias("bin_y"))
              for i, a in enumerate(features) for j, b in enumerate(features) if j >= i]
