@@ -21,8 +21,9 @@ def number_text(c: Column, decimals: int = NUMBER_DECIMALS) -> Column:
 
 
 def value_text(c: Column, is_numeric: bool, missing: str = MISSING_TOKEN) -> Column:
+    # format_string renders a null as 'null', so nulls are caught first
     v = number_text(c) if is_numeric else c.cast("string")
-    return F.coalesce(v, F.lit(missing))
+    return F.when(c.isNull(), F.lit(missing)).otherwise(v)
 
 
 def strip_ws(c: Column) -> Column:

@@ -189,7 +189,8 @@ def route(base: DataFrame, alt: DataFrame, unc: DataFrame, threshold: float, n_c
     """
     j = (base.join(unc, key, "left")
          .join(alt.select(key, F.col("prediction").alias("_alt")), key, "left"))
-    routed = (F.col("uncertainty") > F.lit(threshold)) & F.col("_alt").isNotNull()
+    routed = F.coalesce((F.col("uncertainty") > F.lit(threshold)) & F.col("_alt").isNotNull(),
+                        F.lit(False))
     pred = F.when(routed, F.col("_alt")).otherwise(F.col("prediction"))
     probs = {f"p{c}": F.when(routed, F.when(F.col("_alt") == c, ROUTED_HIGH).otherwise(ROUTED_LOW))
              .otherwise(F.col(f"p{c}")) for c in range(n_classes)}

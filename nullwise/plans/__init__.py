@@ -1,6 +1,6 @@
 """Named query plans.  Importing this package registers every query."""
 
-from . import q_analyze, q_prepare  # noqa: F401
+from . import q_analyze, q_prepare, q_prompts  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
