@@ -1,20 +1,68 @@
-"""Aggregate expressions that stay defined under ANSI mode."""
+"""Correlation aggregates that stay fast, stable and defined under ANSI mode.
+
+Spark's ``corr`` raises DIVIDE_BY_ZERO on a constant column in ANSI mode,
+and its central-moment aggregates generate very large code when dozens of
+them share one ``agg`` (seconds of compile time per query).  Correlations
+here are built from plain sums over the pairwise-complete rows, on values
+shifted by a per-column centre (one cheap ``avg`` pass) so that large
+means do not cancel digits; the final ratio uses ``try_divide``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+PAIRS_PER_AGG = 100  # 6 sums per pair: keeps each generated aggregate small
 
-def safe_corr(x: Column, y: Column) -> Column:
-    """Pearson correlation over the rows where both sides are present.
 
-    Population covariance over the two population deviations (all three on
-    the same pairwise-complete rows); NULL instead of a division error when
-    a side is constant.  Spark's ``corr`` raises DIVIDE_BY_ZERO there in
-    ANSI mode.
-    """
+def safe_corr(x: Column, y: Column) -> Column:
+    """Single correlation as one aggregate expression (small uses only)."""
     x, y = x.cast("double"), y.cast("double")
     both = x.isNotNull() & y.isNotNull()
     xs, ys = F.when(both, x), F.when(both, y)
     return F.try_divide(F.covar_pop(xs, ys), F.stddev_pop(xs) * F.stddev_pop(ys))
+
+
+def corr_long(df: DataFrame, pairs: list[tuple[tuple, str, str]], names: list[str],
+              value: str = "value") -> DataFrame:
+    """Pearson correlation of many column pairs, returned long.
+
+    ``pairs`` holds (labels, column_a, column_b); the result has ``names``
+    (one per label) and ``value``; a pair with a constant side gives NULL.
+    Columns must be numeric and present in ``df``.
+    """
+    cols = sorted({c for _, a, b in pairs for c in (a, b)})
+    row = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"_c{i}") for i, c in enumerate(cols)]).first()
+    centre = {c: (row[f"_c{i}"] or 0.0) for i, c in enumerate(cols)}
+    parts = []
+    for start in range(0, len(pairs), PAIRS_PER_AGG):
+        chunk = pairs[start:start + PAIRS_PER_AGG]
+        aggs = []
+        for k, (_, a, b) in enumerate(chunk):
+            xa = F.col(a).cast("double") - F.lit(centre[a])
+            xb = F.col(b).cast("double") - F.lit(centre[b])
+            both = F.col(a).isNotNull() & F.col(b).isNotNull()
+            aggs += [F.sum(both.cast("long")).alias(f"n{k}"),
+                     F.sum(F.when(both, xa)).alias(f"sa{k}"), F.sum(F.when(both, xb)).alias(f"sb{k}"),
+                     F.sum(F.when(both, xa * xa)).alias(f"saa{k}"), F.sum(F.when(both, xb * xb)).alias(f"sbb{k}"),
+                     F.sum(F.when(both, xa * xb)).alias(f"sab{k}")]
+        wide = df.agg(*aggs)
+        outs = []
+        for k, (labels, _, _) in enumerate(chunk):
+            n = F.col(f"n{k}").cast("double")
+            cov = F.col(f"sab{k}") - F.try_divide(F.col(f"sa{k}") * F.col(f"sb{k}"), n)
+            va = F.col(f"saa{k}") - F.try_divide(F.col(f"sa{k}") * F.col(f"sa{k}"), n)
+            vb = F.col(f"sbb{k}") - F.try_divide(F.col(f"sb{k}") * F.col(f"sb{k}"), n)
+            den = va * vb
+            # a side whose spread is lost in rounding noise counts as constant
+            flat = (va <= F.col(f"saa{k}") * 1e-12) | (vb <= F.col(f"sbb{k}") * 1e-12)
+            r = F.when((n > 1) & (den > 0) & ~flat, F.try_divide(cov, F.sqrt(den)))
+            # clamp rounding overshoot; least/greatest skip nulls, so guard them
+            r = F.when(r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+            outs.append(F.struct(*[F.lit(v).alias(nm) for nm, v in zip(names, labels)], r.alias(value)))
+        parts.append(wide.select(F.explode(F.array(*outs)).alias("x")).select("x.*"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,13 +34,20 @@ def distinct_values(df: DataFrame, cols: list[str], cap: int = MAX_CATEGORIES) -
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value"))
         for c in cols])).alias("x")).select("x.feature", "x.value")
         .where(F.col("value").isNotNull()).distinct())
-    counts = {r["feature"]: r["n"] for r in pairs.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
-    over = {c: n for c, n in counts.items() if n > cap}
-    if over:
-        raise TooManyCategories(f"more than {cap} categories: {over}")
-    out: dict[str, list[str]] = {c: [] for c in cols}
-    for r in pairs.collect():  # bounded: at most cap values per column
-        out[r["feature"]].append(r["value"])
+    pairs = pairs.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        # counts first (one small row per column): an id-like column fails here
+        # before any value list is built
+        counts = {r["feature"]: r["n"] for r in
+                  pairs.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
+        over = {c: n for c, n in counts.items() if n > cap}
+        if over:
+            raise TooManyCategories(f"more than {cap} categories: {over}")
+        out: dict[str, list[str]] = {c: [] for c in cols}
+        for r in pairs.collect():  # bounded: at most cap values per column
+            out[r["feature"]].append(r["value"])
+    finally:
+        pairs.unpersist()
     return {c: sorted(v) for c, v in out.items()}
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import exact_quantiles
-from ..functions.stats import safe_corr
+from ..functions.stats import corr_long
 
 CHUNK = 200
 
@@ -39,18 +39,18 @@ def _defined(col: str):
 
 def corr_matrix(df: DataFrame, cols: list[str], digits: int = 8) -> DataFrame:
     """A1: (feature_a, feature_b, corr) for every pair a < b in ``cols`` order."""
-    items = [([a, b], safe_corr(F.col(a), F.col(b)))
-             for i, a in enumerate(cols) for b in cols[i + 1:]]
-    long = _stack_aggs(df, items, ["feature_a", "feature_b"])
+    pairs = [((a, b), a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, corr double")
+    long = corr_long(df, pairs, ["feature_a", "feature_b"])
     return long.where(_defined("value")).select(
         "feature_a", "feature_b", F.round("value", digits).alias("corr"))
 
 
 def target_corr(df: DataFrame, features: list[str], targets: list[str], digits: int = 8) -> DataFrame:
     """A2: correlation of every feature with every (numeric) target; undefined rows dropped."""
-    items = [([f, t], safe_corr(F.col(f), F.col(t)))
-             for f in features for t in targets]
-    long = _stack_aggs(df, items, ["feature", "target"])
+    pairs = [((f, t), f, t) for f in features for t in targets]
+    long = corr_long(df, pairs, ["feature", "target"])
     return long.where(_defined("value")).select(
         "feature", "target", F.round("value", digits).alias("corr"))
 
@@ -189,8 +189,6 @@ def prediction_corr(predictions: DataFrame, models: list[str], key: str = "row_i
     wide = (predictions.groupBy(key).pivot("run", models)
             .agg(F.first("prediction")))
     present = [m for m in models if m in wide.columns]
-    if len(present) < 2:
-        return corr_matrix(wide, []).limit(0)
     return corr_matrix(wide, present, digits).withColumnRenamed("feature_a", "model_a") \
         .withColumnRenamed("feature_b", "model_b")
 

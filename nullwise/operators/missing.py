@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import safe_corr
+from ..functions.stats import corr_long
 
 WIDE = 200
 
@@ -99,13 +99,9 @@ def missing_target_corr(df: DataFrame, cols: list[str], targets: list[str],
     Undefined correlations (constant indicator on the pairwise-complete rows)
     are dropped.
     """
-    aggs, pairs = [], []
-    for i, c in enumerate(cols):
-        for j, t in enumerate(targets):
-            aggs.append(safe_corr(F.col(c).isNull().cast("double"), F.col(t))
-                        .alias(f"_c{i}_{j}"))
-            pairs.append(f"'{c}', '{t}', _c{i}_{j}")
-    wide = df.agg(*aggs)
-    long = wide.selectExpr(f"stack({len(pairs)}, {', '.join(pairs)}) as (feature, target, corr)")
+    ind = df.select(*[F.col(c).isNull().cast("double").alias(f"_m{i}") for i, c in enumerate(cols)],
+                    *[F.col(t).cast("double").alias(f"_t{j}") for j, t in enumerate(targets)])
+    pairs = [((c, t), f"_m{i}", f"_t{j}") for i, c in enumerate(cols) for j, t in enumerate(targets)]
+    long = corr_long(ind, pairs, ["feature", "target"], "corr")
     return (long.where(F.col("corr").isNotNull() & ~F.isnan("corr"))
             .select("feature", "target", F.round("corr", digits).alias("corr")))
