@@ -238,20 +238,17 @@ def q_drop_rare_classes(spark, sf):
     return tr.unionByName(te).select("row_id", "split", "label")
 
 
-@query("encoding_log", W("cases_raw") + f"""
+@query("encoding_log", W("cases_raw") + """
+, agg as (select count(*) as n, """ + ", ".join(f"count({c}) as c_{c}" for c in FEATURES) + """,
+            list_sort(list(distinct segment) filter (where segment is not null)) as segs,
+            list_sort(list(distinct line_status) filter (where line_status is not null)) as lss from cases_raw),
+logrows as (""" + " union all ".join(
+    f"select '{c}' as feature, 'numeric' as kind, n - c_{c} as n_missing, n, '' as mapping from agg" for c in NUM) + """
+  union all select 'segment', 'onehot', n - c_segment, n,
+    array_to_string(list_transform(segs, lambda v: 'segment_' || v), ', ') from agg
+  union all select 'line_status', 'binary', n - c_line_status, n, lss[1] || '=0; ' || lss[2] || '=1' from agg)
 select feature, kind, cast(n_missing as bigint) as n_missing,
-  round(cast(n_missing as double) * 100.0 / cast(n as double), 6) as pct_missing, mapping from (
-  select 'total_price' as feature, 'numeric' as kind, count(*) - count(total_price) as n_missing, count(*) as n, '' as mapping from cases_raw
-  union all select 'acct_bal', 'numeric', count(*) - count(acct_bal), count(*), '' from cases_raw
-  union all select 'n_lines', 'numeric', count(*) - count(n_lines), count(*), '' from cases_raw
-  union all select 'sum_qty', 'numeric', count(*) - count(sum_qty), count(*), '' from cases_raw
-  union all select 'avg_disc', 'numeric', count(*) - count(avg_disc), count(*), '' from cases_raw
-  union all select 'segment', 'onehot', count(*) - count(segment), count(*),
-    (select string_agg('segment_' || v, ', ' order by v) from (select distinct segment as v from cases_raw where segment is not null) s) from cases_raw
-  union all select 'line_status', 'binary', count(*) - count(line_status), count(*),
-    (select string_agg(v || '=' || cast(i as varchar), '; ' order by i) from
-      (select v, row_number() over (order by v) - 1 as i from (select distinct line_status as v from cases_raw where line_status is not null) s) s2) from cases_raw
-) t""")
+  round(cast(n_missing as double) * 100.0 / cast(n as double), 6) as pct_missing, mapping from logrows""")
 def q_encoding_log(spark, sf):
     return E.encoding_log(_cases(spark, sf), FEATURES)
 
