@@ -10,6 +10,8 @@ third of all rows sends k rows per task, not the class.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,3 +60,79 @@ def class_prototypes(df: DataFrame, label: str, features: list[str], k: int = 3,
 def cap_examples(examples: DataFrame, n: int, label: str = "label") -> DataFrame:
     """Keep the first n examples in (class, rank) order (TakeOrderedAndProject)."""
     return examples.orderBy(label, "rank").limit(n)
+
+
+def _dist_to(vec_col, other):
+    """Euclidean distance between two array<double> columns."""
+    sq = F.aggregate(F.zip_with(vec_col, other, lambda a, b: (a - b) * (a - b)), F.lit(0.0),
+                     lambda acc, x: acc + x)
+    return F.sqrt(sq)
+
+
+def knn_classify(train: DataFrame, test: DataFrame, k: int = 5, vec: str = "vec",
+                 label: str = "label", key: str = "row_id", band_rows: int = 2000,
+                 digits: int = 9) -> DataFrame:
+    """Exact k-nearest-neighbour vote (uniform weights, ties to the smaller label).
+
+    No all-pairs product: every row gets r = its distance to the train centre;
+    by the triangle inequality a train row y with |r_y - r_q| > R is farther
+    than R from the query q.  Train rows are cut into equal-count bands of r
+    (a quantile sketch), each query joins only the bands that meet
+    [r_q - R, r_q + R], and a query whose k-th candidate is closer than R is
+    final.  The others double R and go round again (lineage cut by a
+    reliable checkpoint), so the answer is exact; only hard queries ever
+    see many candidates.  Distances are rounded to ``digits`` places and ties
+    broken by the train key.  Returns (row_id, prediction, votes).
+    """
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(train.sparkSession)
+    dim = train.select(F.size(vec).alias("d")).first()["d"]
+    centre = train.agg(F.array(*[F.avg(F.col(vec)[i].cast("double")) for i in range(dim)]).alias("c")).first()["c"]
+    c_lit = F.array(*[F.lit(float(v)) for v in centre])
+    to_d = lambda c: F.transform(F.col(c), lambda x: x.cast("double"))
+    tr = train.select(F.col(key).alias("_tid"), F.col(label).alias("_y"), to_d(vec).alias("_tv"))
+    tr = tr.withColumn("_tr", _dist_to(F.col("_tv"), c_lit))
+    te = test.select(F.col(key).alias("_qid"), to_d(vec).alias("_qv"))
+    te = te.withColumn("_qr", _dist_to(F.col("_qv"), c_lit))
+    st = tr.agg(F.count(F.lit(1)).alias("n"), F.min("_tr").alias("lo"), F.max("_tr").alias("hi")).first()
+    n_tr, lo, hi = st["n"], st["lo"], st["hi"]
+    nb = max(1, math.ceil(n_tr / band_rows))
+    cuts = []
+    if nb > 1:
+        cuts = tr.agg(F.percentile_approx("_tr", [i / nb for i in range(1, nb)], 10000).alias("c")).first()["c"]
+    cut_lit = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
+    band_of = lambda x: F.size(F.filter(cut_lit, lambda c: c < x))
+    tr_b = tr.withColumn("_band", band_of(F.col("_tr")))
+    need = min(k, n_tr)
+    radius = max((hi - lo) / nb, 1e-9)
+    pending = te
+    done = []
+    while True:
+        q = pending.withColumn("_R", F.lit(radius))
+        q = q.withColumn("_band", F.explode(F.sequence(band_of(F.col("_qr") - F.col("_R")),
+                                                       band_of(F.col("_qr") + F.col("_R")))))
+        cand = (q.join(tr_b, "_band").where(F.abs(F.col("_tr") - F.col("_qr")) <= F.col("_R"))
+                .select("_qid", "_R", "_qr", "_tid", "_y",
+                        F.round(_dist_to(F.col("_qv"), F.col("_tv")), digits).alias("_d")))
+        w = Window.partitionBy("_qid").orderBy("_d", "_tid")
+        # at most k rows per pending query; checkpointed so the loop's lineage stays short
+        top = (cand.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= need)
+               .select("_qid", "_qr", "_tid", "_y", "_d").checkpoint())
+        full = F.lit(radius) >= F.greatest(F.abs(F.col("_qr") - F.lit(lo)), F.abs(F.col("_qr") - F.lit(hi)))
+        stat = (top.groupBy("_qid", "_qr").agg(F.count(F.lit(1)).alias("_n"), F.max("_d").alias("_kd"))
+                .withColumn("_ok", full | ((F.col("_n") >= need) & (F.col("_kd") + 10.0 ** -digits < F.lit(radius)))))
+        ok = stat.where("_ok").select("_qid")
+        done.append(top.join(ok, "_qid", "left_semi").select("_qid", "_y"))
+        pending = pending.join(ok, "_qid", "left_anti")
+        # queries without any candidate yet are also pending (not in stat)
+        if pending.limit(1).count() == 0:
+            break
+        pending = pending.checkpoint()
+        radius *= 2.0
+    votes = done[0]
+    for d in done[1:]:
+        votes = votes.unionByName(d)
+    cnt = votes.groupBy("_qid", "_y").agg(F.count(F.lit(1)).alias("votes"))
+    w2 = Window.partitionBy("_qid").orderBy(F.desc("votes"), F.asc("_y"))
+    best = cnt.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") == 1)
+    return best.select(F.col("_qid").alias(key), F.col("_y").alias("prediction"), F.col("votes").cast("long"))

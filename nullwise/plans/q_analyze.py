@@ -498,3 +498,11 @@ def q_selection_summary(spark, sf):
     sel = (mi.select(F.lit("target_bin").alias("target"), F.lit("mi").alias("method"), "feature")
            .unionByName(cr.select(F.lit("target_bin").alias("target"), F.lit("corr").alias("method"), "feature")))
     return XS.selection_summary(sel)
+
+
+@query("chained_impute")
+def q_chained_impute(spark, sf):
+    """I4 on the numeric case columns (rows-only check; NumPy-checked in tests)."""
+    df = _cases(spark, sf).select("row_id", *NUM)
+    out, _ = I.ChainedImputer(NUM, max_iter=10, tol=1e-3).fit_transform(df)
+    return out.select("row_id", *[_r(c) for c in NUM])

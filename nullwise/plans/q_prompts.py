@@ -12,6 +12,7 @@ from ..operators import neighbours as N
 from ..operators import prompts as G
 from ..sources import fixtures as X
 from .cases import FEATURES, MULTI_CLASSES, NUM
+from .q_prepare import split_sql
 from .registry import query
 
 W = X.with_clause
@@ -309,3 +310,23 @@ def q_route(spark, sf):
     out = G.route(X.pred_multi(spark, sf), alt, unc, thr, 3)
     return out.select("row_id", "prediction", F.coalesce("routed", F.lit(False)).alias("routed"),
                       *[F.round(f"p{c}", 10).alias(f"p{c}") for c in range(3)])
+
+
+# --------------------------------------------------------------------------- L9
+@query("knn_classify", W("emb_raw") + split_sql("label", src="emb_raw") + """
+, s as (select e.row_id, e.label, cast(e.embedding as double[]) as v, sr.split
+        from emb_raw e join split_rows sr on e.row_id = sr.row_id),
+d as (select q.row_id, t.row_id as tid, t.label as y, round(list_distance(q.v, t.v), 9) as dist
+      from s q, s t where q.split = 'test' and t.split = 'train'),
+top as (select * from (select *, row_number() over (partition by row_id order by dist, tid) as rk from d) x where rk <= 5),
+votes as (select row_id, y, count(*) as votes from top group by row_id, y)
+select row_id, y as prediction, cast(votes as bigint) as votes from (
+  select *, row_number() over (partition by row_id order by votes desc, y) as r from votes) z where r = 1""")
+def q_knn_classify(spark, sf):
+    from ..operators import split as T
+    e = X.emb_raw(spark, sf)
+    s = T.stratified_split(e.select("row_id", "label"), "label", 0.2, 42)
+    e = e.join(s.select("row_id", "split"), "row_id")
+    train = e.where("split = 'train'").select("row_id", "label", F.col("embedding").alias("vec"))
+    test = e.where("split = 'test'").select("row_id", F.col("embedding").alias("vec"))
+    return N.knn_classify(train, test, 5, "vec", "label", band_rows=50)
