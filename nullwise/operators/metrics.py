@@ -76,10 +76,11 @@ def prf(pred: DataFrame, groups=(), label="label", prediction="prediction") -> D
     w = prf_weighted(pred, groups, label, prediction)
     k = pred.groupBy(*groups).agg(F.count_distinct(label).alias("_k"))
     g = list(groups)
-    if g:
-        j = k.join(b.alias("b"), g).join(w.alias("w"), g)
+    if not g:  # one row each: join on a constant key instead of a cartesian product
+        k, b, w = (d.withColumn("_all", F.lit(0)) for d in (k, b, w))
+        j = k.join(b.alias("b"), "_all").join(w.alias("w"), "_all")
     else:
-        j = k.crossJoin(b.alias("b")).crossJoin(w.alias("w"))  # single-row tables
+        j = k.join(b.alias("b"), g).join(w.alias("w"), g)
     pick = lambda m: F.when(F.col("_k") == 2, F.col(f"b.{m}")).otherwise(F.col(f"w.{m}")).alias(m)
     return j.select(*g, pick("precision"), pick("recall"), pick("f1"))
 
@@ -108,7 +109,10 @@ def roc_points(pred: DataFrame, groups=(), label="label", score="score", positiv
     c = _score_counts(pred, g, label, score, positive)
     s = descending_prefix_sums(c, g, "threshold", ["pos", "neg"])
     tot = c.groupBy(*g).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    j = s.join(tot, g) if g else s.crossJoin(tot)  # one row per group
+    if g:
+        j = s.join(tot, g)  # one row per group on the right
+    else:
+        j = s.withColumn("_all", F.lit(0)).join(F.broadcast(tot.withColumn("_all", F.lit(0))), "_all").drop("_all")
     tp = F.col("pos_above") + F.col("pos")
     fp = F.col("neg_above") + F.col("neg")
     return j.select(*g, "threshold", tp.cast("long").alias("tp"), fp.cast("long").alias("fp"),
