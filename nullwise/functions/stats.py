@@ -26,42 +26,66 @@ def safe_corr(x: Column, y: Column) -> Column:
 
 def corr_long(df: DataFrame, pairs: list[tuple[tuple, str, str]], names: list[str],
               value: str = "value") -> DataFrame:
-    """Pearson correlation of many column pairs, returned long.
+    """Pearson correlation of many column pairs (pairwise-complete rows), returned long.
 
     ``pairs`` holds (labels, column_a, column_b); the result has ``names``
     (one per label) and ``value``; a pair with a constant side gives NULL.
-    Columns must be numeric and present in ``df``.
+
+    One scan groups the rows by their null pattern over the involved columns
+    and sums, per pattern, the count, every column and every needed product
+    (values shifted by their column means, nulls as 0).  A pair's
+    pairwise-complete sums are then the sums over the patterns where both of
+    its columns are present: a small second aggregate over (pattern, pair)
+    rows.  Products are chunked (``PAIRS_PER_AGG`` per scan) to keep the
+    generated aggregation code small.
     """
     cols = sorted({c for _, a, b in pairs for c in (a, b)})
+    idx = {c: i for i, c in enumerate(cols)}
     row = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"_c{i}") for i, c in enumerate(cols)]).first()
     centre = {c: (row[f"_c{i}"] or 0.0) for i, c in enumerate(cols)}
+    x = {c: F.coalesce(F.col(c).cast("double") - F.lit(centre[c]), F.lit(0.0)) for c in cols}
+    if len(cols) <= 62:
+        mask = sum((F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(cols)),
+                   F.lit(0)).cast("long")
+        present = lambda c: (F.col("_mask").bitwiseAND(F.lit(1 << idx[c])) == 0)
+    else:
+        mask = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in cols])
+        present = lambda c: F.substring(F.col("_mask"), idx[c] + 1, 1) == "0"
     parts = []
     for start in range(0, len(pairs), PAIRS_PER_AGG):
         chunk = pairs[start:start + PAIRS_PER_AGG]
-        aggs = []
-        for k, (_, a, b) in enumerate(chunk):
-            xa = F.col(a).cast("double") - F.lit(centre[a])
-            xb = F.col(b).cast("double") - F.lit(centre[b])
-            both = F.col(a).isNotNull() & F.col(b).isNotNull()
-            aggs += [F.sum(both.cast("long")).alias(f"n{k}"),
-                     F.sum(F.when(both, xa)).alias(f"sa{k}"), F.sum(F.when(both, xb)).alias(f"sb{k}"),
-                     F.sum(F.when(both, xa * xa)).alias(f"saa{k}"), F.sum(F.when(both, xb * xb)).alias(f"sbb{k}"),
-                     F.sum(F.when(both, xa * xb)).alias(f"sab{k}")]
-        wide = df.agg(*aggs)
-        outs = []
-        for k, (labels, _, _) in enumerate(chunk):
-            n = F.col(f"n{k}").cast("double")
-            cov = F.col(f"sab{k}") - F.try_divide(F.col(f"sa{k}") * F.col(f"sb{k}"), n)
-            va = F.col(f"saa{k}") - F.try_divide(F.col(f"sa{k}") * F.col(f"sa{k}"), n)
-            vb = F.col(f"sbb{k}") - F.try_divide(F.col(f"sb{k}") * F.col(f"sb{k}"), n)
-            den = va * vb
-            # a side whose spread is lost in rounding noise counts as constant
-            flat = (va <= F.col(f"saa{k}") * 1e-12) | (vb <= F.col(f"sbb{k}") * 1e-12)
-            r = F.when((n > 1) & (den > 0) & ~flat, F.try_divide(cov, F.sqrt(den)))
-            # clamp rounding overshoot; least/greatest skip nulls, so guard them
-            r = F.when(r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
-            outs.append(F.struct(*[F.lit(v).alias(nm) for nm, v in zip(names, labels)], r.alias(value)))
-        parts.append(wide.select(F.explode(F.array(*outs)).alias("x")).select("x.*"))
+        used = sorted({c for _, a, b in chunk for c in (a, b)}, key=idx.get)
+        prods = sorted({tuple(sorted((a, b), key=idx.get)) for _, a, b in chunk}
+                       | {(c, c) for c in used}, key=lambda t: (idx[t[0]], idx[t[1]]))
+        pname = {t: f"_p{idx[t[0]]}_{idx[t[1]]}" for t in prods}
+        by_pattern = (df.select(mask.alias("_mask"), *[x[c].alias(f"_x{idx[c]}") for c in used])
+                      .groupBy("_mask")
+                      .agg(F.count(F.lit(1)).alias("_n"),
+                           *[F.sum(f"_x{idx[c]}").alias(f"_s{idx[c]}") for c in used],
+                           *[F.sum(F.col(f"_x{idx[a]}") * F.col(f"_x{idx[b]}")).alias(pname[(a, b)])
+                             for a, b in prods]))
+        recs = []
+        for k, (labels, a, b) in enumerate(chunk):
+            ab = pname[tuple(sorted((a, b), key=idx.get))]
+            recs.append(F.when(present(a) & present(b), F.struct(
+                F.lit(k).alias("k"), F.col("_n").alias("n"), F.col(f"_s{idx[a]}").alias("sa"),
+                F.col(f"_s{idx[b]}").alias("sb"), F.col(pname[(a, a)]).alias("saa"),
+                F.col(pname[(b, b)]).alias("sbb"), F.col(ab).alias("sab"))))
+        per_pair = (by_pattern.select(F.explode(F.filter(F.array(*recs), lambda r: r.isNotNull())).alias("r"))
+                    .groupBy("r.k").agg(*[F.sum(f"r.{f}").alias(f) for f in ("n", "sa", "sb", "saa", "sbb", "sab")]))
+        n = F.col("n").cast("double")
+        cov = F.col("sab") - F.try_divide(F.col("sa") * F.col("sb"), n)
+        va = F.col("saa") - F.try_divide(F.col("sa") * F.col("sa"), n)
+        vb = F.col("sbb") - F.try_divide(F.col("sb") * F.col("sb"), n)
+        den = va * vb
+        # a side whose spread is lost in rounding noise counts as constant
+        flat = (va <= F.col("saa") * 1e-12) | (vb <= F.col("sbb") * 1e-12)
+        r = F.when((n > 1) & (den > 0) & ~flat, F.try_divide(cov, F.sqrt(den)))
+        # clamp rounding overshoot; least/greatest skip nulls, so guard them
+        r = F.when(r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+        lab = F.array(*[F.struct(*[F.lit(v).alias(nm) for nm, v in zip(names, labels)]) for labels, _, _ in chunk])
+        parts.append(per_pair.select(lab[F.col("k")].alias("l"), r.alias(value))
+                     .select(*[F.col(f"l.{nm}").alias(nm) for nm in names], value))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

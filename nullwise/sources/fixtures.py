@@ -8,6 +8,7 @@ oracle inlines in a ``with`` clause.  ``row_id`` is unique in every view.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ def cases_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = (o.join(lines, o.o_orderkey == lines.l_orderkey, "left")
           .join(c, o.o_custkey == c.c_custkey, "inner"))
     key = F.col("o_orderkey")
-    return j.select(
+    out = j.select(
         key.alias("row_id"),
         F.col("o_totalprice").cast("double").alias("total_price"),
         F.col("c_acctbal").alias("acct_bal"),
@@ -53,6 +54,9 @@ def cases_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(F.col("o_totalprice") > 250000, F.lit("high"))
          .otherwise(F.lit("low")).alias("target_bin"),
     )
+    # fit steps scan the view several times (profile, categories, medians...):
+    # keep the joined result instead of re-running the three-way join each time
+    return out.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def docs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
