@@ -506,3 +506,54 @@ def q_chained_impute(spark, sf):
     df = _cases(spark, sf).select("row_id", *NUM)
     out, _ = I.ChainedImputer(NUM, max_iter=10, tol=1e-3).fit_transform(df)
     return out.select("row_id", *[_r(c) for c in NUM])
+
+
+# --------------------------------------------------------------------------- I3
+def _knn_impute_sql(cols: list[str], sources: list[str], k: int = 5) -> str:
+    """Brute force over every (recipient, train row) pair: the oracle only.
+
+    Recipients are flagged on the fixture's own columns in the encoding scan
+    (an encoded column is null exactly when its source is); filtering the
+    encoded view on its nulls trips an internal DuckDB dictionary-cache fault."""
+    from .q_prepare import split_sql
+    p = len(cols)
+    both = lambda c: f"r.{c} is not null and t.{c} is not null"
+    sumsq = " + ".join(["0.0"] + [f"(case when {both(c)} then (r.{c} - t.{c}) * (r.{c} - t.{c}) else 0.0 end)"
+                                  for c in cols])
+    nc = " + ".join(f"(case when {both(c)} then 1 else 0 end)" for c in cols)
+    flagged = ENCODE_CASES_SQL.replace(
+        " from cases_raw", f", ({' or '.join(f'{c} is null' for c in sources)}) as miss from cases_raw")
+    sql = W("cases_raw") + split_sql("target_bin") + f"""
+, enc as ({flagged}),
+x as (select e.*, s.split = 'train' as is_train from enc e join split_rows s on e.row_id = s.row_id),
+tr as (select row_id, {', '.join(cols)} from x where is_train),
+rec as (select row_id, {', '.join(cols)} from enc where miss),
+pr0 as (select r.row_id as rid, t.row_id as tid, {sumsq} as ss, {nc} as nc,
+          {', '.join(f'r.{c} is null as m{j}, t.{c} as v{j}' for j, c in enumerate(cols))}
+        from rec r, tr t),
+pr as (select *, cast({p} as double) * ss / cast(nc as double) as d2 from pr0 where nc > 0),
+"""
+    for j in range(p):
+        sql += (f"i{j} as (select rid, avg(v) as v from (select rid, v{j} as v, row_number() over "
+                f"(partition by rid order by d2, tid) as rk from pr where m{j} and v{j} is not null) z "
+                f"where rk <= {k} group by rid),\n")
+    sql += "mu as (select " + ", ".join(f"avg({c}) as {c}" for c in cols) + " from tr)\n"
+    sql += ("select x.row_id, " + ", ".join(f"round(coalesce(x.{c}, i{j}.v, mu.{c}), 8) as {c}"
+                                           for j, c in enumerate(cols))
+            + " from x, mu " + " ".join(f"left join i{j} on x.row_id = i{j}.rid" for j in range(p)))
+    return sql
+
+
+@query("knn_impute", _knn_impute_sql(ENCODED, NUM + ["segment", "line_status"]))
+def q_knn_impute(spark, sf):
+    """Fit on the stratified train split, impute every labelled row (train and test)."""
+    from pyspark import StorageLevel
+
+    from ..operators import split as T
+    from ..operators.knn_impute import KnnImputer
+    from .cases import SEED, TEST_FRAC
+    s = T.stratified_split(_cases(spark, sf).select("row_id", "target_bin"), "target_bin", TEST_FRAC, SEED)
+    x = (_encoded(spark, sf).select("row_id", *ENCODED).join(s.select("row_id", "split"), "row_id")
+         .persist(StorageLevel.MEMORY_AND_DISK))
+    out = KnnImputer(ENCODED, k=5, band_rows=200).fit(x.where(F.col("split") == "train")).transform(x)
+    return out.select("row_id", *[_r(c) for c in ENCODED])
