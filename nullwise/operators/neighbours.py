@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from .impute import MeanImputer
 
+MAX_BANDS = 4096
+
 
 def _array_centres(df: DataFrame, label: str, vec: str, dim: int) -> DataFrame:
     return df.groupBy(label).agg(
@@ -74,6 +76,26 @@ def knn_classify(train: DataFrame, test: DataFrame, k: int = 5, vec: str = "vec"
                  digits: int = 9) -> DataFrame:
     """Exact k-nearest-neighbour vote (uniform weights, ties to the smaller label).
 
+    Returns (row_id, prediction, votes); the search is ``knn_neighbours``.
+    """
+    return knn_votes(knn_neighbours(train, test, k, vec, label, key, band_rows, digits), k, key)
+
+
+def knn_votes(nb: DataFrame, k: int, key: str = "row_id") -> DataFrame:
+    """Majority vote over the first k neighbours, ties to the smaller label."""
+    cnt = (nb.where(F.col("rank") <= k).groupBy(key, F.col("neighbour_label").alias("_y"))
+           .agg(F.count(F.lit(1)).alias("votes")))
+    w2 = Window.partitionBy(key).orderBy(F.desc("votes"), F.asc("_y"))
+    best = cnt.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") == 1)
+    return best.select(key, F.col("_y").alias("prediction"), F.col("votes").cast("long"))
+
+
+def knn_neighbours(train: DataFrame, test: DataFrame, k: int = 5, vec: str = "vec",
+                   label: str = "label", key: str = "row_id", band_rows: int = 2000,
+                   digits: int = 9) -> DataFrame:
+    """Exact k nearest train rows of every test row:
+    (row_id, rank, neighbour_id, neighbour_label, dist).
+
     No all-pairs product: every row gets r = its distance to the train centre;
     by the triangle inequality a train row y with |r_y - r_q| > R is farther
     than R from the query q.  Train rows are cut into equal-count bands of r
@@ -82,7 +104,7 @@ def knn_classify(train: DataFrame, test: DataFrame, k: int = 5, vec: str = "vec"
     final.  The others double R and go round again (lineage cut by a
     reliable checkpoint), so the answer is exact; only hard queries ever
     see many candidates.  Distances are rounded to ``digits`` places and ties
-    broken by the train key.  Returns (row_id, prediction, votes).
+    broken by the train key.
     """
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(train.sparkSession)
@@ -96,7 +118,9 @@ def knn_classify(train: DataFrame, test: DataFrame, k: int = 5, vec: str = "vec"
     te = te.withColumn("_qr", _dist_to(F.col("_qv"), c_lit))
     st = tr.agg(F.count(F.lit(1)).alias("n"), F.min("_tr").alias("lo"), F.max("_tr").alias("hi")).first()
     n_tr, lo, hi = st["n"], st["lo"], st["hi"]
-    nb = max(1, math.ceil(n_tr / band_rows))
+    # the cut list is a literal in the plan: at most MAX_BANDS cuts, so bands grow
+    # past band_rows rows only when the train side passes band_rows * MAX_BANDS
+    nb = min(MAX_BANDS, max(1, math.ceil(n_tr / band_rows)))
     cuts = []
     if nb > 1:
         cuts = tr.agg(F.percentile_approx("_tr", [i / nb for i in range(1, nb)], 10000).alias("c")).first()["c"]
@@ -117,22 +141,49 @@ def knn_classify(train: DataFrame, test: DataFrame, k: int = 5, vec: str = "vec"
         w = Window.partitionBy("_qid").orderBy("_d", "_tid")
         # at most k rows per pending query; checkpointed so the loop's lineage stays short
         top = (cand.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= need)
-               .select("_qid", "_qr", "_tid", "_y", "_d").checkpoint())
+               .select("_qid", "_qr", "_tid", "_y", "_d", "_rk").checkpoint())
         full = F.lit(radius) >= F.greatest(F.abs(F.col("_qr") - F.lit(lo)), F.abs(F.col("_qr") - F.lit(hi)))
         stat = (top.groupBy("_qid", "_qr").agg(F.count(F.lit(1)).alias("_n"), F.max("_d").alias("_kd"))
                 .withColumn("_ok", full | ((F.col("_n") >= need) & (F.col("_kd") + 10.0 ** -digits < F.lit(radius)))))
         ok = stat.where("_ok").select("_qid")
-        done.append(top.join(ok, "_qid", "left_semi").select("_qid", "_y"))
+        done.append(top.join(ok, "_qid", "left_semi").select("_qid", "_rk", "_tid", "_y", "_d"))
         pending = pending.join(ok, "_qid", "left_anti")
         # queries without any candidate yet are also pending (not in stat)
         if pending.limit(1).count() == 0:
             break
         pending = pending.checkpoint()
         radius *= 2.0
-    votes = done[0]
+    # every query is final in exactly one round, so the union has its k rows once
+    nb = done[0]
     for d in done[1:]:
-        votes = votes.unionByName(d)
-    cnt = votes.groupBy("_qid", "_y").agg(F.count(F.lit(1)).alias("votes"))
-    w2 = Window.partitionBy("_qid").orderBy(F.desc("votes"), F.asc("_y"))
-    best = cnt.withColumn("_r", F.row_number().over(w2)).where(F.col("_r") == 1)
-    return best.select(F.col("_qid").alias(key), F.col("_y").alias("prediction"), F.col("votes").cast("long"))
+        nb = nb.unionByName(d)
+    return nb.select(F.col("_qid").alias(key), F.col("_rk").cast("int").alias("rank"),
+                     F.col("_tid").alias("neighbour_id"), F.col("_y").alias("neighbour_label"),
+                     F.col("_d").alias("dist"))
+
+
+def knn_sweep(nb: DataFrame, truth: DataFrame, ks: list[int], key: str = "row_id",
+              label: str = "label") -> DataFrame:
+    """L18 for the neighbour count: test accuracy for every k from one search.
+
+    ``nb`` holds the first max(ks) neighbours (``knn_neighbours``); each
+    neighbour row votes for every k at least its rank, so all k are answered
+    by one grouped count.  Returns (n_neighbors, test_accuracy, best), best =
+    first maximum in ascending k.
+    """
+    k_arr = F.array(*[F.lit(int(k)) for k in sorted(ks)])
+    per_k = nb.select(key, F.col("neighbour_label").alias("_y"),
+                      F.explode(F.filter(k_arr, lambda k: k >= F.col("rank"))).alias("n_neighbors"))
+    votes = per_k.groupBy(key, "n_neighbors", "_y").agg(F.count(F.lit(1)).alias("_v"))
+    w = Window.partitionBy(key, "n_neighbors").orderBy(F.desc("_v"), F.asc("_y"))
+    pred = votes.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
+    acc = (pred.join(truth.select(key, F.col(label).alias("_t")), key)
+           .groupBy("n_neighbors").agg(F.avg((F.col("_y") == F.col("_t")).cast("double")).alias("test_accuracy")))
+    # one row per k: the best-k lookup is a tiny aggregate joined on a constant key
+    top = acc.agg(F.max("test_accuracy").alias("_m")).withColumn("_one", F.lit(1))
+    first = (acc.withColumn("_one", F.lit(1)).join(top, "_one")
+             .where(F.col("test_accuracy") == F.col("_m")).agg(F.min("n_neighbors").alias("_best"))
+             .withColumn("_one", F.lit(1)))
+    return (acc.withColumn("_one", F.lit(1)).join(F.broadcast(first), "_one")
+            .select(F.col("n_neighbors").cast("int"), F.round("test_accuracy", 10).alias("test_accuracy"),
+                    (F.col("n_neighbors") == F.col("_best")).alias("best")))

@@ -330,3 +330,35 @@ def q_knn_classify(spark, sf):
     train = e.where("split = 'train'").select("row_id", "label", F.col("embedding").alias("vec"))
     test = e.where("split = 'test'").select("row_id", F.col("embedding").alias("vec"))
     return N.knn_classify(train, test, 5, "vec", "label", band_rows=50)
+
+
+# --------------------------------------------------------------------------- L18 (neighbour count)
+# fixed values: the neighbour counts the reference sweeps (odd numbers 1 to 21)
+KNN_K_RANGE = [1, 3, 5, 7, 9, 11, 13, 15, 17, 19, 21]
+
+
+@query("sweep_knn_k", W("emb_raw") + split_sql("label", src="emb_raw") + f"""
+, s as (select e.row_id, e.label, cast(e.embedding as double[]) as v, sr.split
+        from emb_raw e join split_rows sr on e.row_id = sr.row_id),
+d as (select q.row_id, q.label as truth, t.row_id as tid, t.label as y, round(list_distance(q.v, t.v), 9) as dist
+      from s q, s t where q.split = 'test' and t.split = 'train'),
+top as (select * from (select *, row_number() over (partition by row_id order by dist, tid) as rk from d) x
+        where rk <= {max(KNN_K_RANGE)}),
+ks as (select unnest({KNN_K_RANGE}) as k),
+votes as (select ks.k, row_id, truth, y, count(*) as votes from top join ks on top.rk <= ks.k
+          group by ks.k, row_id, truth, y),
+pred as (select * from (select *, row_number() over (partition by k, row_id order by votes desc, y) as r
+                        from votes) z where r = 1),
+acc as (select k, avg(case when y = truth then 1.0 else 0.0 end) as a from pred group by k)
+select cast(k as int) as n_neighbors, round(a, 10) as test_accuracy,
+  k = (select min(k) from acc where a = (select max(a) from acc)) as best
+from acc""")
+def q_sweep_knn_k(spark, sf):
+    from ..operators import split as T
+    e = X.emb_raw(spark, sf)
+    s = T.stratified_split(e.select("row_id", "label"), "label", 0.2, 42)
+    e = e.join(s.select("row_id", "split"), "row_id")
+    train = e.where("split = 'train'").select("row_id", "label", F.col("embedding").alias("vec"))
+    test = e.where("split = 'test'").select("row_id", "label", F.col("embedding").alias("vec"))
+    nb = N.knn_neighbours(train, test.select("row_id", "vec"), max(KNN_K_RANGE), "vec", "label", band_rows=50)
+    return N.knn_sweep(nb, test, KNN_K_RANGE)
