@@ -125,9 +125,9 @@ class ChainedImputer:
                             key=lambda c: (prof[f"_m{cols.index(c)}"], cols.index(c)))
         scale = max((prof[f"_a{i}"] or 0.0) for i in range(len(cols))) or 1.0
         med = MedianImputer(cols).fit(base)
-        cur = base.select(self.key, *[F.col(c).isNull().alias(f"_miss_{c}") for c in cols],
-                          *[F.coalesce(F.col(c), F.lit(med.fills[c] if med.fills[c] is not None else 0.0)).alias(c)
-                            for c in cols]).checkpoint()
+        self.start = {c: (med.fills[c] if med.fills[c] is not None else 0.0) for c in cols}
+        self.steps = []  # (column, predictors, coefficients) in fitted order
+        cur = self._start(base).checkpoint()
         history = []
         for it in range(self.max_iter):
             prev = cur
@@ -148,8 +148,8 @@ class ChainedImputer:
                 reg = self.alpha * np.eye(m)
                 reg[0, 0] = 0.0  # no penalty on the intercept
                 beta = np.linalg.solve(g + reg + 1e-12 * np.eye(m), h)
-                pred = sum((F.col(x) * float(b) for x, b in zip(xs, beta[1:])), F.lit(float(beta[0])))
-                cur = cur.withColumn(c, F.when(F.col(f"_miss_{c}"), pred).otherwise(F.col(c)))
+                self.steps.append((c, xs, [float(b) for b in beta]))
+                cur = self._step(cur, c, xs, beta)
             cur = cur.checkpoint()
             delta = cur.alias("n").join(prev.alias("p"), self.key).agg(
                 F.max(F.greatest(*[F.abs(F.col(f"n.{c}") - F.col(f"p.{c}")) for c in incomplete]))
@@ -158,3 +158,21 @@ class ChainedImputer:
             if (delta or 0.0) < self.tol * scale:
                 break
         return cur.drop(*[f"_miss_{c}" for c in cols]), history
+
+    def _start(self, df: DataFrame) -> DataFrame:
+        return df.select(self.key, *[F.col(c).isNull().alias(f"_miss_{c}") for c in self.cols],
+                         *[F.coalesce(F.col(c).cast("double"), F.lit(self.start[c])).alias(c) for c in self.cols])
+
+    @staticmethod
+    def _step(cur: DataFrame, c: str, xs: list[str], beta) -> DataFrame:
+        pred = sum((F.col(x) * float(b) for x, b in zip(xs, beta[1:])), F.lit(float(beta[0])))
+        return cur.withColumn(c, F.when(F.col(f"_miss_{c}"), pred).otherwise(F.col(c)))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Impute new rows (e.g. the test split) with the fitted chain: the train
+        medians first, then every recorded regression in the order it was fitted.
+        A pure projection chain: no job, no shuffle."""
+        cur = self._start(df)
+        for c, xs, beta in self.steps:
+            cur = self._step(cur, c, xs, beta)
+        return cur.drop(*[f"_miss_{c}" for c in self.cols])

@@ -402,3 +402,29 @@ def forward_backward(df: DataFrame, label: str, names: list[str], fold_col: str
     up = min(20, len(names) // 2) or 1
     fw = forward_select(df, label, names, up, fold_col)
     return backward_select(df, label, names, fw, max(5, up // 2) if up >= 5 else up, fold_col)
+
+
+# --------------------------------------------------------------------------- L16
+@dataclass
+class SplineLogistic:
+    scaler: object
+    spline: object
+    names: list
+    fitted: Fitted
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        d = assemble(self.spline.transform(self.scaler.transform(df), keep_input=True), self.names, "_spl")
+        return self.fitted.predict(d).drop("_spl", *self.names)
+
+
+def spline_logistic(train: DataFrame, label: str, cols: list[str], C: float = 0.5, n_knots: int = 3,
+                    max_iter: int = 100) -> SplineLogistic:
+    """Additive spline logistic = F1 standardise -> F2 quadratic splines
+    (3 knots, no bias) -> L2 logistic (C=0.5).  Inputs must be imputed first."""
+    from .features import SplineBasis, Standardizer
+    sc = Standardizer(cols).fit(train)
+    tr = sc.transform(train)
+    sp = SplineBasis(cols, n_knots).fit(tr)
+    names = [f"{c}_sp{j}" for c in cols for j in range(sp.n_outputs())]
+    tr = assemble(sp.transform(tr, keep_input=True), names, "_spl")
+    return SplineLogistic(sc, sp, names, logistic(tr, label, C=C, features="_spl", max_iter=max_iter))

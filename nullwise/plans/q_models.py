@@ -24,16 +24,22 @@ from .cases import SEED, TARGETS, TEST_FRAC
 from .registry import query
 
 
-def prepared(spark, sf, target: str = "target_bin", missing: str = "median"):
-    """(train, test, feature names) with a ``features`` vector and an int label."""
+def split_encoded(spark, sf, target: str = "target_bin"):
+    """(split table, feature names): encoded features with nulls kept, an int
+    ``label`` and ``split``; persisted because every fit below reads it."""
     df = X.cases_raw(spark, sf)
     feats = [c for c in df.columns if c not in ("row_id", "note_text", *TARGETS)]
     plan = E.fit_encoding(df, feats)
     tenc = E.fit_targets(df, [target])
     enc = df.select("row_id", *plan.expressions(), tenc.code(target).cast("int").alias("label"))
-    # the split table feeds every fit below: keep it (memory, spilling to disk)
+    # memory, spilling to disk; a lost block is recomputed from the scan
     split = T.stratified_split(enc, "label", TEST_FRAC, SEED).persist(StorageLevel.MEMORY_AND_DISK)
-    names = plan.feature_names()
+    return split, plan.feature_names()
+
+
+def prepared(spark, sf, target: str = "target_bin", missing: str = "median"):
+    """(train, test, feature names) with a ``features`` vector and an int label."""
+    split, names = split_encoded(spark, sf, target)
     train, test = split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
     if missing == "median":
         m = I.MedianImputer(names).fit(train)
@@ -89,6 +95,7 @@ _model_query("fit_adaboost", lambda tr, n: L.adaboost(tr, "label", 30, 1.0))
 _model_query("fit_rbf", lambda tr, n: L.rbf_classifier(tr, "label", n, C=1.0, n_components=50))
 _model_query("fit_stack_linear", lambda tr, n: L.stack_linear(tr, "label", 50))
 _model_query("fit_stack_refine", lambda tr, n: L.stack_refine(tr, "label", 50))
+_model_query("fit_spline_logistic", lambda tr, n: L.spline_logistic(tr, "label", n, C=0.5))
 _model_query("fit_neural_forest", lambda tr, n: L.neural_forest(tr, "label", len(n), 50, hidden=(16, 16)))
 
 
@@ -143,6 +150,15 @@ def q_forward_select(spark, sf):
     return spark.createDataFrame([(i + 1, c) for i, c in enumerate(chosen)], "step int, feature string")
 
 
+@query("backward_select")
+def q_backward_select(spark, sf):
+    """Greedy backward elimination by 5-fold CV accuracy, one step from all features."""
+    train, test, names = prepared(spark, sf)
+    folded = T.assign_folds(train, "label", 5, SEED)
+    kept = L.backward_select(folded, "label", names, names, len(names) - 1, parallelism=8)
+    return spark.createDataFrame([(c, c in kept) for c in names], "feature string, kept boolean")
+
+
 @query("boundary_hybrid")
 def q_boundary_hybrid(spark, sf):
     """Base forest; committee (forest, boosting, extra trees) uncertainty; rows above
@@ -163,3 +179,34 @@ def q_boundary_hybrid(spark, sf):
     b = base.predict(test).select("row_id", "prediction", F.col("probs")[0].alias("p0"), F.col("probs")[1].alias("p1"))
     a = alt.predict(test).select("row_id", "prediction")
     return G.route(b, a, unc(test), thr, 2)
+
+
+@query("compare_imputers")
+def q_compare_imputers(spark, sf):
+    """The same models after each imputer (median, exact k-NN, chained
+    equations), every imputer fitted on train and applied to test; long
+    metrics table (target, imputer, model, split, metric, value)."""
+    from ..operators.knn_impute import KnnImputer
+    split, names = split_encoded(spark, sf)
+    lab = split.select("row_id", "label", "split")
+    is_train = F.col("split") == "train"
+    train, test = split.where(is_train), split.where(~is_train)
+    med = I.MedianImputer(names).fit(train)
+    knn_all = KnnImputer(names, k=5, band_rows=200).fit(train).transform(split).join(lab, "row_id")
+    chained = I.ChainedImputer(names, max_iter=5, tol=1e-3)
+    ch_train, _ = chained.fit_transform(train)
+    variants = {"median": (med.transform(train), med.transform(test)),
+                "knn": (knn_all.where(is_train), knn_all.where(~is_train)),
+                "chained": (ch_train.join(lab, "row_id"), chained.transform(test).join(lab, "row_id"))}
+    preds = None
+    for imputer, (tr, te) in variants.items():
+        tr = L.assemble(tr.select("row_id", "label", *names), names).persist(StorageLevel.MEMORY_AND_DISK)
+        te = L.assemble(te.select("row_id", "label", *names), names).persist(StorageLevel.MEMORY_AND_DISK)
+        fits = {"spline_logistic": L.spline_logistic(tr, "label", names, C=0.5),
+                "boosted": L.boosted(tr, "label", 20, 0.05, 3)}
+        for model, f in fits.items():
+            p = _scored(_preds(f, tr, te)).withColumns(
+                {"target": F.lit("target_bin"), "imputer": F.lit(imputer), "model": F.lit(model)})
+            preds = p if preds is None else preds.unionByName(p)
+    # one row per (row, model): small next to the inputs, read by every metric job
+    return V.run_metrics(preds.persist(StorageLevel.MEMORY_AND_DISK), keys=["target", "imputer", "model"])

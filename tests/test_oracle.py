@@ -16,7 +16,8 @@ ORACLE = entry.oracle_sql()
 HEAVY = {"forward_select", "fit_stack_linear", "fit_neural_forest", "fit_rbf", "boundary_hybrid",
          "fit_boosted", "fit_hist_boosted", "fit_adaboost", "model_metrics", "fit_boosted_multi",
          "fit_stack_refine", "fit_extra_trees", "fit_forest", "fit_l1_logistic", "sweep_tree_depth",
-         "importance_rank", "l1_rank", "chained_impute"}
+         "importance_rank", "l1_rank", "chained_impute", "compare_imputers", "fit_spline_logistic",
+         "backward_select"}
 
 
 def _duck(sf, sql):
