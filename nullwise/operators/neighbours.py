@@ -101,9 +101,10 @@ def knn_neighbours(train: DataFrame, test: DataFrame, k: int = 5, vec: str = "ve
     than R from the query q.  Train rows are cut into equal-count bands of r
     (a quantile sketch), each query joins only the bands that meet
     [r_q - R, r_q + R], and a query whose k-th candidate is closer than R is
-    final.  The others double R and go round again (lineage cut by a
-    reliable checkpoint), so the answer is exact; only hard queries ever
-    see many candidates.  Distances are rounded to ``digits`` places and ties
+    final.  R starts, per query, at the k-th distance among the rows of its
+    own band (an upper bound, so most queries finish in one round); the
+    others double R and go round again (lineage cut by a reliable
+    checkpoint), so the answer is exact.  Distances are rounded to ``digits`` places and ties
     broken by the train key.
     """
     from ..session import ensure_checkpoint_dir
@@ -129,10 +130,22 @@ def knn_neighbours(train: DataFrame, test: DataFrame, k: int = 5, vec: str = "ve
     tr_b = tr.withColumn("_band", band_of(F.col("_tr")))
     need = min(k, n_tr)
     radius = max((hi - lo) / nb, 1e-9)
-    pending = te
+    eps = 10.0 ** -digits
+    # seed: each query scores only the train rows of its own band.  Its k-th
+    # distance there bounds the true k-th neighbour distance from above, so a
+    # search with that radius (rounding slack added) is final in one round.
+    # Queries whose band holds fewer than k rows take the doubling radius.
+    seed = (te.withColumn("_band", band_of(F.col("_qr"))).join(tr_b.select("_band", "_tv"), "_band")
+            .select("_qid", F.round(_dist_to(F.col("_qv"), F.col("_tv")), digits).alias("_d")))
+    ws = Window.partitionBy("_qid").orderBy("_d")
+    bound = (seed.withColumn("_rk", F.row_number().over(ws)).where(F.col("_rk") <= need)
+             .groupBy("_qid").agg(F.count(F.lit(1)).alias("_n"), F.max("_d").alias("_ub"))
+             .where(F.col("_n") >= need)
+             .select("_qid", (F.col("_ub") * (1.0 + 1e-9) + 2.0 * eps).alias("_R0")))
+    pending = te.join(bound, "_qid", "left").checkpoint()
     done = []
     while True:
-        q = pending.withColumn("_R", F.lit(radius))
+        q = pending.withColumn("_R", F.coalesce(F.col("_R0"), F.lit(radius)))
         q = q.withColumn("_band", F.explode(F.sequence(band_of(F.col("_qr") - F.col("_R")),
                                                        band_of(F.col("_qr") + F.col("_R")))))
         cand = (q.join(tr_b, "_band").where(F.abs(F.col("_tr") - F.col("_qr")) <= F.col("_R"))
@@ -141,10 +154,10 @@ def knn_neighbours(train: DataFrame, test: DataFrame, k: int = 5, vec: str = "ve
         w = Window.partitionBy("_qid").orderBy("_d", "_tid")
         # at most k rows per pending query; checkpointed so the loop's lineage stays short
         top = (cand.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= need)
-               .select("_qid", "_qr", "_tid", "_y", "_d", "_rk").checkpoint())
-        full = F.lit(radius) >= F.greatest(F.abs(F.col("_qr") - F.lit(lo)), F.abs(F.col("_qr") - F.lit(hi)))
-        stat = (top.groupBy("_qid", "_qr").agg(F.count(F.lit(1)).alias("_n"), F.max("_d").alias("_kd"))
-                .withColumn("_ok", full | ((F.col("_n") >= need) & (F.col("_kd") + 10.0 ** -digits < F.lit(radius)))))
+               .select("_qid", "_qr", "_R", "_tid", "_y", "_d", "_rk").checkpoint())
+        full = F.col("_R") >= F.greatest(F.abs(F.col("_qr") - F.lit(lo)), F.abs(F.col("_qr") - F.lit(hi)))
+        stat = (top.groupBy("_qid", "_qr", "_R").agg(F.count(F.lit(1)).alias("_n"), F.max("_d").alias("_kd"))
+                .withColumn("_ok", full | ((F.col("_n") >= need) & (F.col("_kd") + eps < F.col("_R")))))
         ok = stat.where("_ok").select("_qid")
         done.append(top.join(ok, "_qid", "left_semi").select("_qid", "_rk", "_tid", "_y", "_d"))
         pending = pending.join(ok, "_qid", "left_anti")
