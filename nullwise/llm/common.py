@@ -6,12 +6,14 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nullwise.session import ensure_checkpoint_dir
 
@@ -46,6 +48,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def extended(schema: T.StructType, columns: str) -> T.StructType:
+    """A copy of schema with more columns ("name type, name type")."""
+    out = T.StructType(list(schema.fields))
+    for c in columns.split(", "):
+        out = out.add(*c.split())
+    return out
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -101,13 +111,10 @@ class WordTable:
 
     def codes(self, tokens: list[str]) -> np.ndarray:
         """Code of each word; call ``clear_if_full`` between uses of the codes."""
-        get = self.code.get
-        out = [get(w, -1) for w in tokens]
-        if -1 in out:
-            new = list(dict.fromkeys(w for w, c in zip(tokens, out) if c < 0))
+        new = [w for w in dict.fromkeys(tokens) if w not in self.code]
+        if new:
             self._add(new)
-            out = [self.code[w] for w in tokens]
-        return np.array(out, dtype=np.int64)
+        return np.fromiter(map(self.code.__getitem__, tokens), np.int64, len(tokens))
 
     def _add(self, new: list[str]) -> None:
         rows = self.encode(new)
@@ -121,9 +128,8 @@ class WordTable:
         while end > len(self.values):
             self.values = np.concatenate([self.values, np.zeros_like(self.values)])
         if end > first:
-            self.values[first:end] = np.concatenate([np.asarray(r, np.int32) for r in rows if len(r)])
-        for i, w in enumerate(new):
-            self.code[w] = n + i
+            self.values[first:end] = np.fromiter(chain.from_iterable(rows), np.int32, int(end - first))
+        self.code.update(zip(new, range(n, n + len(new))))
 
     def clear_if_full(self) -> None:
         if len(self.code) > self.room:

@@ -5,8 +5,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing
 from .common import read_table
+from .fertility import quality_rules
+from .html_extract import extract_text
+from .langid import held_out_quarter, language_id
 from .minhash import minhash_dedup
+from .repack import pack_documents
+from .token_output import token_output
+from .warc import warc_round_trip
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -21,6 +28,44 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_mix_sources", mixing.SQL)
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op2_template_removal")
+def op2_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op3_tokeniser_fertility")
+def op3_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = quality_rules(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return measured.drop("text", "lang")
+
+
+@query("op4_naive_bayes_language")
+def op4_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id(docs, held_out_quarter("doc_id")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op5_token_matrices")
+def op5_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op6_warc_salvage")
+def op6_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(read_table(spark, sf_dir, "pages"))
+
+
 @query("op8_minhash_dedup")
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op9_certified_packing")
+def op9_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
