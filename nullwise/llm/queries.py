@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from . import mixing
 from .common import read_table
 from .fertility import quality_rules
+from .hnsw import embedding_dedup
 from .html_extract import extract_text
 from .langid import held_out_quarter, language_id
 from .minhash import minhash_dedup
 from .repack import pack_documents
 from .token_output import token_output
+from .toxicity import held_out_fifth, toxicity
 from .warc import warc_round_trip
 
 QUERIES: dict = {}
@@ -61,6 +63,12 @@ def op6_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(read_table(spark, sf_dir, "pages"))
 
 
+@query("op7_toxicity_network")
+def op7_toxicity_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", held_out_fifth("doc_id").alias("held_out"))
+    return toxicity(docs, read_table(spark, sf_dir, "labels"), held_out_fifth).select("doc_id", "held_out", "score", "predicted")
+
+
 @query("op8_minhash_dedup")
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -69,3 +77,8 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_certified_packing")
 def op9_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op10_hnsw_embeddings")
+def op10_hnsw_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(read_table(spark, sf_dir, "embeddings"))
