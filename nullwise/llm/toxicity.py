@@ -381,7 +381,7 @@ def score_documents(docs: DataFrame, net: Network, text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
                                              names=[*part.schema.names, "score", "predicted"])
 
-    return base.mapInArrow(run, extended(base.schema, "score double, predicted int"))
+    return base.mapInArrow(run, extended(base.schema, "score double, predicted integer"))
 
 
 def held_out_fifth(id_col: str) -> Column:
