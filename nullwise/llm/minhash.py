@@ -12,7 +12,9 @@ and star-shaped candidate edges.
    one pair per class and band, never all pairs).
 3. Stars are confirmed on the full shingle sets, built again from the texts
    of the candidates only; a centre's members are dealt over salted groups
-   of bounded total size.  Connected components follow.
+   of bounded total size.  Connected components follow.  The first rounds
+   try one centre per member, the last one every star that still leads from
+   one component to another.
 4. Exact rest: a star cannot see a link between two members that both
    differ from the centre.  Buckets that still span several components are
    revisited: members outside the centre's component are compared with the
@@ -41,6 +43,8 @@ from .graph import connected_components
 SHINGLE, BANDS, ROWS, PERCENT = 4, 32, 5, 80
 #: Shingles that one confirmation group holds besides the centre's (8 bytes each).
 GROUP_SHINGLES = 400_000
+#: Rounds in which stars are confirmed; the last one takes all that still lead out of a component.
+STAR_ROUNDS = 3
 #: Members of a bucket in one block of the signature comparison.
 BLOCK = 1024
 _SPACE = np.zeros(256, bool)
@@ -256,6 +260,14 @@ def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shin
             .groupBy("a", "salt").applyInArrow(similar, "u long, v long"))
 
 
+def _apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
+    """The pairs (a, b, nb) whose ends are in different components so far."""
+    of_a = component.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    of_b = component.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    both = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "nb")
+
+
 def _rest(buckets: DataFrame, classes: DataFrame, component: DataFrame, tested: DataFrame,
           n_bins: int, percent: int) -> DataFrame:
     """(a, b, nb): untested pairs of different components in one bucket that the signatures do not rule out."""
@@ -316,8 +328,22 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = stored(banded.join(centres, "key").select("key", "id", "n", F.col("c.id").alias("a"), F.col("c.n").alias("na")), "buckets")
     stars = stored(shared.where(F.col("id") != F.col("a")).where(_may_link("n", "na", percent))
                    .select("a", F.col("id").alias("b"), F.col("n").alias("nb")).distinct(), "stars")
-    links = stored(_confirm(stars, docs, id_col, text_col, shingle, percent), "links")
-    component = stored(connected_components(links), "components")
+    links = component = None
+    left = stars
+    for number in range(STAR_ROUNDS):
+        # the first rounds try one centre per member, so a large group of near copies
+        # is one component before its many other stars would be confirmed
+        last = number == STAR_ROUNDS - 1
+        chosen = left if last else left.groupBy("b").agg(F.min(F.struct("a", "nb")).alias("c")).select("c.a", "b", "c.nb")
+        found = stored(_confirm(chosen, docs, id_col, text_col, shingle, percent), "links")
+        links = found if links is None else links.union(found)
+        component = stored(connected_components(links), "components")
+        if last:
+            break
+        apart = _apart(left.join(chosen.select("a", "b"), ["a", "b"], "left_anti"), component)
+        left = stored(apart, "stars")
+        if left.isEmpty():
+            break
     rest = stored(_rest(shared, nodes, component, stars, bands * rows, percent), "rest")
     if not rest.isEmpty():
         more = stored(_confirm(rest, docs, id_col, text_col, shingle, percent), "links")
