@@ -10,21 +10,23 @@ and star-shaped candidate edges.
 2. ``bands`` x ``rows`` signature values make bucket keys; in a bucket each
    class is a candidate of the class with the smallest id (a star: at most
    one pair per class and band, never all pairs).
-3. Stars are confirmed on the full shingle sets, built again from the texts
+3. Pairs are confirmed on the full shingle sets, built again from the texts
    of the candidates only; a centre's members are dealt over salted groups
-   of bounded total size.  Connected components follow.  The first rounds
-   try one centre per member, the last one every star that still leads from
-   one component to another.
+   of bounded total size.  Connected components follow.  First every class
+   tries one centre.  Buckets that still span components then get a star
+   around a medoid, the member nearest to the bucket's most common
+   signature, so a large group of near copies is found through its original
+   and is one component before its many other stars would be confirmed.
+   After that, every star that still leads out of a component.
 4. Exact rest: a star cannot see a link between two members that both
-   differ from the centre.  Buckets that still span several components are
-   revisited: members outside the centre's component are compared with the
-   others of the bucket by signature (in blocks; pairs inside one component
-   are skipped), and every pair that the signature does not rule out is
-   confirmed on full sets.
+   differ from the centre.  In buckets that still span several components,
+   members outside the first component are compared with the others by
+   signature (in blocks; pairs inside one component are skipped), and every
+   pair that the signature does not rule out is confirmed on full sets.
 
 Recall rests on the bands alone: a pair with similarity 0.8 shares no
 bucket with probability (1 - 0.8**5)**32 = 3e-6; the signature test of step
-4 leaves a margin of 4.5 standard deviations.
+4 leaves a margin of four standard deviations.
 """
 
 from __future__ import annotations
@@ -41,10 +43,13 @@ from .common import mix64, stored, text_slices
 from .graph import connected_components
 
 SHINGLE, BANDS, ROWS, PERCENT = 4, 32, 5, 80
+#: Bins of a signature; the first BANDS x ROWS make bucket keys, all of them estimate similarities.
+BINS = 256
+_WIDTH = BINS + BINS // 16
 #: Shingles that one confirmation group holds besides the centre's (8 bytes each).
 GROUP_SHINGLES = 400_000
-#: Rounds in which stars are confirmed; the last one takes all that still lead out of a component.
-STAR_ROUNDS = 3
+#: Rounds of stars around medoids, and members of a bucket that one medoid is chosen from.
+MEDOID_ROUNDS, MEDOID_BLOCK = 3, 16_384
 #: Members of a bucket in one block of the signature comparison.
 BLOCK = 1024
 _SPACE = np.zeros(256, bool)
@@ -151,7 +156,7 @@ class Densifier:
         return self.draws[attempt]
 
     def signature(self, s: np.ndarray) -> np.ndarray:
-        """``bins`` values of 16 bits; s is sorted, so a bin's first hash is its minimum."""
+        """``bins`` values of 16 bits, then a bit per bin that was full before densification."""
         h = mix64(s ^ np.uint64(0x5851F42D4C957F2D))
         h.sort()
         bin_of = ((h >> np.uint64(32)) * np.uint64(self.bins) >> np.uint64(32)).astype(np.int64)
@@ -168,14 +173,14 @@ class Densifier:
             value[empty[hit]] = value[source[hit]]
             empty = empty[~hit]
             attempt += 1
-        return value
+        return np.concatenate([value, np.packbits(full).view(np.uint16)])
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, bins: int) -> DataFrame:
+def _sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     schema = "id long, n_shingles long, print binary, signature binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = Densifier(bins)
+        dense = Densifier(BINS)
         for part, texts in text_slices(batches, "text"):
             sets = shingle_sets(texts, shingle)
             yield pa.RecordBatch.from_arrays(
@@ -194,7 +199,7 @@ def _bands(classes: DataFrame, bands: int, rows: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                sig = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(-1, bands, rows)
+                sig = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(-1, _WIDTH)[:, :bands * rows].reshape(-1, bands, rows)
                 key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), sig.shape[:2]).copy()
                 for k in range(rows):
                     key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k])
@@ -268,40 +273,72 @@ def _apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
     return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "nb")
 
 
-def _rest(buckets: DataFrame, classes: DataFrame, component: DataFrame, tested: DataFrame,
-          n_bins: int, percent: int) -> DataFrame:
-    """(a, b, nb): untested pairs of different components in one bucket that the signatures do not rule out."""
+def _estimate(i: int, j: np.ndarray, sig: tuple[np.ndarray, np.ndarray], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(similarity estimated over the bins full in either set, four standard deviations of it at 0.8)."""
+    values, full = sig
+    either = np.maximum((full[j] | full[i]).sum(axis=1), 1)
+    same = ((values[j] == values[i]) & full[j] & full[i]).sum(axis=1)
+    unseen = np.maximum(0.0, 1 - either / np.maximum(n[j], n[i]))
+    return same / either, 4 * 0.4 / np.sqrt(either) * np.sqrt(unseen) + 0.02
+
+
+def _not_ruled_out(i: int, j: np.ndarray, ids, part, n, sig, percent: int):
+    """Of the members j, those in another component than i that size and signature allow, as (a, b, nb)."""
+    j = j[part[j] != part[i]]
+    j = j[percent * np.maximum(n[j], n[i]) <= 100 * np.minimum(n[j], n[i])]
+    if len(j):
+        share, slack = _estimate(i, j, sig, n)
+        j = j[share >= percent / 100 - slack]
+    return np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i]), np.where(ids[j] > ids[i], n[j], n[i])
+
+
+def _medoid_star(outside: np.ndarray, ids, part, n, sig, percent: int):
+    """A star around the member nearest to the bucket's most common signature, the largest component left aside."""
+    label, number = np.unique(part, return_inverse=True)
+    size = np.bincount(number)
+    some = np.flatnonzero(number != size.argmax()) if size.max() > 1 else np.arange(len(ids))
+    if len(label) < 2:
+        return []
+    inside = np.sort(sig[0][some], axis=0)
+    # the most common value of each bin: the longest run of the sorted column
+    run = np.ones(inside.shape, np.int32)
+    for k in range(1, len(inside)):
+        run[k] = np.where(inside[k] == inside[k - 1], run[k - 1] + 1, 1)
+    common = inside[run.argmax(axis=0), np.arange(BINS)]
+    medoid = some[(sig[0][some] == common).sum(axis=1).argmax()]
+    return [_not_ruled_out(medoid, np.arange(len(ids)), ids, part, n, sig, percent)]
+
+
+def _outside_pairs(outside: np.ndarray, ids, part, n, sig, percent: int):
+    """Members outside the bucket's first component with all others of the block."""
+    inner = np.flatnonzero(~outside)
+    return [_not_ruled_out(i, inner, ids, part, n, sig, percent) for i in np.flatnonzero(outside)]
+
+
+def _rest(buckets: DataFrame, classes: DataFrame, component: DataFrame, tested: DataFrame, percent: int,
+          choose, block: int) -> DataFrame:
+    """(a, b, nb): untested pairs of different components in one bucket, chosen in blocks by ``choose``."""
     labelled = classes.join(component.withColumnRenamed("node", "id"), "id", "left").select(
         "id", F.coalesce("component", "id").alias("part"), "n", "signature")
     rows = buckets.select("key", "id").join(labelled.select("id", "part"), "id")
     spanning = (rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("m"))
-                .where(F.col("low") != F.col("high")).select("key", "low", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
+                .where(F.col("low") != F.col("high")).select("key", "low", F.ceil(F.col("m") / block).cast("int").alias("blocks")))
     held = stored(rows.join(spanning, "key"), "spanning")
-    # the side that is compared with all: members outside the bucket's first component
-    other = held.where(F.col("part") != F.col("low")).select("key", "id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-                                                             F.lit(True).alias("outside"))
-    every = held.select("key", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("outside"))
-    sides = other.union(every).join(labelled, "id")
+    sides = held.select("key", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("outside"))
+    if choose is _outside_pairs:  # the members that every block is compared with
+        sides = sides.union(held.where(F.col("part") != F.col("low")).select(
+            "key", "id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("outside")))
+    sides = sides.join(labelled, "id")
 
     def compare(table: pa.Table) -> pa.Table:
         outside = np.array(table["outside"].to_pylist())
         ids, part, n = (table[c].to_numpy() for c in ("id", "part", "n"))
-        sig = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(len(ids), n_bins)
-        inner = np.flatnonzero(~outside)
-        a_out, b_out, n_out = [], [], []
-        for i in np.flatnonzero(outside):
-            j = inner[part[inner] != part[i]]
-            j = j[percent * np.maximum(n[j], n[i]) <= 100 * np.minimum(n[j], n[i])]
-            if not len(j):
-                continue
-            share = (sig[j] == sig[i]).mean(axis=1)
-            slack = 4.5 * 0.4 / np.sqrt(np.minimum(np.minimum(n[j], n[i]), n_bins))
-            j = j[share >= percent / 100 - slack]
-            a_out.append(np.minimum(ids[j], ids[i]))
-            b_out.append(np.maximum(ids[j], ids[i]))
-            n_out.append(np.where(ids[j] > ids[i], n[j], n[i]))
-        cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-        return pa.table({"a": cat(a_out), "b": cat(b_out), "nb": cat(n_out)})
+        sig = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(len(ids), _WIDTH)
+        full = np.unpackbits(np.ascontiguousarray(sig[:, BINS:]).view(np.uint8), axis=1).astype(bool)
+        sig = np.ascontiguousarray(sig[:, :BINS]), full
+        found = choose(outside, ids, part, n, sig, percent)
+        return pa.table({name: pa.array(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64), pa.int64())
+                         for k, name in enumerate(("a", "b", "nb"))})
 
     found = sides.groupBy("key", "block").applyInArrow(compare, "a long, b long, nb long").distinct()
     return found.join(tested.select("a", "b"), ["a", "b"], "left_anti")
@@ -318,7 +355,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     values.  An empty table gives an empty table; other columns of docs are
     neither read nor returned.
     """
-    sets = stored(_sets(docs, id_col, text_col, shingle, bands * rows), "sets")
+    sets = stored(_sets(docs, id_col, text_col, shingle), "sets")
     with_words = sets.where(F.col("n_shingles") > 0)
     classes = stored(with_words.groupBy("print").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"),
                                                      F.first("signature").alias("signature")), "classes")
@@ -328,26 +365,24 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = stored(banded.join(centres, "key").select("key", "id", "n", F.col("c.id").alias("a"), F.col("c.n").alias("na")), "buckets")
     stars = stored(shared.where(F.col("id") != F.col("a")).where(_may_link("n", "na", percent))
                    .select("a", F.col("id").alias("b"), F.col("n").alias("nb")).distinct(), "stars")
-    links = component = None
-    left = stars
-    for number in range(STAR_ROUNDS):
-        # the first rounds try one centre per member, so a large group of near copies
-        # is one component before its many other stars would be confirmed
-        last = number == STAR_ROUNDS - 1
-        chosen = left if last else left.groupBy("b").agg(F.min(F.struct("a", "nb")).alias("c")).select("c.a", "b", "c.nb")
-        found = stored(_confirm(chosen, docs, id_col, text_col, shingle, percent), "links")
-        links = found if links is None else links.union(found)
+    tested, links, component = None, None, None
+
+    def confirm(pairs: DataFrame) -> bool:
+        """Confirms stored pairs, if any, and brings the components up to date."""
+        nonlocal tested, links, component
+        if links is not None and pairs.isEmpty():
+            return False
+        found = stored(_confirm(pairs, docs, id_col, text_col, shingle, percent), "links")
+        tested, links = (pairs, found) if links is None else (tested.union(pairs), links.union(found))
         component = stored(connected_components(links), "components")
-        if last:
-            break
-        apart = _apart(left.join(chosen.select("a", "b"), ["a", "b"], "left_anti"), component)
-        left = stored(apart, "stars")
-        if left.isEmpty():
+        return True
+
+    confirm(stored(stars.groupBy("b").agg(F.min(F.struct("a", "nb")).alias("c")).select("c.a", "b", "c.nb"), "pairs"))
+    for _ in range(MEDOID_ROUNDS):
+        if not confirm(stored(_rest(shared, nodes, component, tested, percent, _medoid_star, MEDOID_BLOCK), "pairs")):
             break
-    rest = stored(_rest(shared, nodes, component, stars, bands * rows, percent), "rest")
-    if not rest.isEmpty():
-        more = stored(_confirm(rest, docs, id_col, text_col, shingle, percent), "links")
-        component = stored(connected_components(links.union(more)), "components")
+    confirm(stored(_apart(stars.join(tested.select("a", "b"), ["a", "b"], "left_anti"), component), "pairs"))
+    confirm(stored(_rest(shared, nodes, component, tested, percent, _outside_pairs, BLOCK), "pairs"))
     named = classes.join(component, F.col("id") == F.col("node"), "left").select(
         "print", F.coalesce("component", "id").alias("component_id"))
     out = sets.select("id", "n_shingles", "print").join(named, "print", "left")

@@ -84,7 +84,7 @@ def test_shingle_counts(texts):
 
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(1)
-    dense = Densifier(160)
+    dense = Densifier(256)
     errors = []
     for n in (40, 400):
         base = rng.integers(0, 2**63, n, dtype=np.uint64)
@@ -92,5 +92,5 @@ def test_signature_estimates_similarity():
             other = base.copy()
             other[:n // 9] = rng.integers(0, 2**63, n // 9, dtype=np.uint64)
             truth = len(np.intersect1d(base, other)) / len(np.union1d(base, other))
-            errors.append((dense.signature(np.unique(base)) == dense.signature(np.unique(other))).mean() - truth)
+            errors.append((dense.signature(np.unique(base)) == dense.signature(np.unique(other)))[:256].mean() - truth)
     assert abs(np.mean(errors)) < 0.03
