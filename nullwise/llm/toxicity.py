@@ -33,7 +33,7 @@ SAMPLE_ROWS, SAMPLE_WINDOWS = 2000, 16
 WORD_BUCKETS, GRAM_BUCKETS, WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 1 << 14, 1 << 16, 8, 12, 8, 8
 PREFIXES = (3, 4, 5, 6, 7, 8)
 WINDOW, STRIDE, EPOCHS, MIN_STEPS, BATCH, RATE = 48, 36, 10, 500, 128, 0.02
-_CHUNK = 2048
+_CHUNK, _WORDS = 2048, 16_384
 
 
 def word_features(found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,9 +94,14 @@ class Network:
     def inputs(self, features) -> np.ndarray:
         """Input vector of every distinct word."""
         word, gram, start = features
-        sums = np.add.reduceat(self.p["gram"][gram], start, axis=0)
-        counts = np.diff(np.append(start, len(gram)))[:, None].astype(np.float32)
-        return np.concatenate([self.p["word"][word], sums / counts], axis=1)
+        out = np.empty((len(word), WORD_DIM + GRAM_DIM), np.float32)
+        ends = np.append(start, len(gram))
+        for a in range(0, len(word), _WORDS):  # bounds the gathered embeddings
+            b = min(len(word), a + _WORDS)
+            sums = np.add.reduceat(self.p["gram"][gram[ends[a]:ends[b]]], start[a:b] - ends[a], axis=0)
+            out[a:b, :WORD_DIM] = self.p["word"][word[a:b]]
+            out[a:b, WORD_DIM:] = sums / np.diff(ends[a:b + 1])[:, None].astype(np.float32)
+        return out
 
     def _states(self, x: np.ndarray, u: np.ndarray, mask: np.ndarray | None, keep: list | None = None) -> np.ndarray:
         """States [time, batch, HIDDEN] from projected inputs [time, batch, 3 HIDDEN]."""
@@ -205,12 +210,13 @@ def _by_row(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return row[order][first], np.add.reduceat(value[order], first, axis=0)
 
 
-def _windows(texts: list[list[str]], limit: int | None = None):
+def _windows(texts: list[list[str] | str], limit: int | None = None):
     """(features of the distinct words, index, lengths, text of each window)."""
     number: dict[str, int] = {}
     put = number.setdefault
     index, lengths, owner = [], [], []
     for i, found in enumerate(texts):
+        found = words(found) if isinstance(found, str) else found
         if not found:
             continue
         code = np.array([put(w, len(number)) for w in found], np.int64)
@@ -239,27 +245,28 @@ def _evidence(features, index, lengths, owner, toxic) -> np.ndarray:
     n_pos, n_neg = toxic.sum(), (~toxic).sum()
     word, gram, start = features
     inside = np.arange(WINDOW) < lengths[:, None]
-    text, item = np.repeat(owner, WINDOW)[inside.ravel()], index[inside]
     counts = np.diff(np.append(start, len(gram)))
-
-    def odds(of_text, bucket, n):
-        seen = np.unique(of_text * n + bucket)
-        t, b = seen // n, seen % n
-        pos, neg = np.bincount(b[toxic[t]], minlength=n) / n_pos, np.bincount(b[~toxic[t]], minlength=n) / n_neg
+    seen = {True: (np.zeros(WORD_BUCKETS), np.zeros(GRAM_BUCKETS)), False: (np.zeros(WORD_BUCKETS), np.zeros(GRAM_BUCKETS))}
+    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    for a, b in zip(first, np.append(first[1:], len(owner))):  # texts, one after another: in how many a bucket occurs
+        used = np.unique(index[a:b][inside[a:b]])
+        n = counts[used]
+        spread = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[used], n)
+        for table, bucket in zip(seen[bool(toxic[owner[a]])], (word[used], gram[spread])):
+            table[np.unique(bucket)] += 1
+
+    def odds(k):
+        pos, neg = seen[True][k] / n_pos, seen[False][k] / n_neg
         both = (pos * n_pos + neg * n_neg) / (n_pos + n_neg)
         return (pos - neg) / np.sqrt(both * (1 - both) * (1 / n_pos + 1 / n_neg) + 1e-9)
 
-    word_odds = odds(text, word[item], WORD_BUCKETS)[word]
-    pairs = np.unique(text * len(word) + item)
-    t, w = pairs // len(word), pairs % len(word)
-    spread = np.arange(counts[w].sum()) - np.repeat(np.cumsum(counts[w]) - counts[w], counts[w]) + np.repeat(start[w], counts[w])
-    gram_odds = odds(np.repeat(t, counts[w]), gram[spread], GRAM_BUCKETS)[gram]
+    word_odds, gram_odds = odds(0)[word], odds(1)[gram]
     each = np.maximum(word_odds, np.maximum.reduceat(gram_odds, start))
     return np.where(inside, each[index], -np.inf).max(axis=1)
 
 
-def fit(texts: list[list[str]], toxic: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
-    """Trains on texts (lists of words) and labels; reruns give the same weights."""
+def fit(texts: list[list[str] | str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
+    """Trains on texts (or their words) and labels; reruns give the same weights."""
     net, rng = Network(seed), np.random.default_rng(seed)
     made = _windows(texts)
     toxic = np.asarray(toxic, bool)
@@ -329,7 +336,7 @@ def score_texts(net: Network, texts: list[str | None]) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, id_col: str = "doc_id",
-                    text_col: str = "text", label_col: str = "toxic") -> tuple[list[list[str]], np.ndarray]:
+                    text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], np.ndarray]:
     """Words and labels of at most ``rows`` labelled texts per class, chosen by a hash of the id.
 
     Of a text with more than SAMPLE_WINDOWS windows the words of evenly
@@ -349,11 +356,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, learn: Column, rows: int
                 starts = window_starts(len(found))
                 if len(starts) > SAMPLE_WINDOWS:
                     found = [w for s in starts[np.linspace(0, len(starts) - 1, SAMPLE_WINDOWS).astype(int)] for w in found[s:s + WINDOW]]
-                out.append([w[:100] for w in found])
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.list_(pa.string()))], names=["id", "label", "words"])
+                out.append(" ".join(w[:100] for w in found))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string())], names=["id", "label", "words"])
 
     joined = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(held), "id")
-    found = joined.select("id", F.col("label").cast("int").alias("label"), "text").mapInArrow(cut, "id long, label int, words array<string>")
+    found = joined.select("id", F.col("label").cast("int").alias("label"), "text").mapInArrow(cut, "id long, label int, words string")
     got = sorted(found.collect(), key=lambda r: (r["id"], r["words"]))
     return [r["words"] for r in got], np.array([r["label"] == 1 for r in got], bool)
 
