@@ -21,7 +21,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     near = _both_ways(edges)
     least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return (near.join(least, "u").where(F.col("v") > F.col("u"))
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+            .select(F.col("v").alias("u"), F.col("m").alias("v")))  # repeats go in the small star
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

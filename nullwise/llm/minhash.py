@@ -48,8 +48,8 @@ BINS = 256
 _WIDTH = BINS + BINS // 16
 #: Shingles that one confirmation group holds besides the centre's (8 bytes each).
 GROUP_SHINGLES = 400_000
-#: Rounds of stars around medoids, and members of a bucket that one medoid is chosen from.
-MEDOID_ROUNDS, MEDOID_BLOCK = 3, 16_384
+#: Members of a bucket that one medoid is chosen from.
+MEDOID_BLOCK = 16_384
 #: Members of a bucket in one block of the signature comparison.
 BLOCK = 1024
 _SPACE = np.zeros(256, bool)
@@ -378,11 +378,10 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return True
 
     confirm(stored(stars.groupBy("b").agg(F.min(F.struct("a", "nb")).alias("c")).select("c.a", "b", "c.nb"), "pairs"))
-    for _ in range(MEDOID_ROUNDS):
-        if not confirm(stored(_rest(shared, nodes, component, tested, percent, _medoid_star, MEDOID_BLOCK), "pairs")):
-            break
-    confirm(stored(_apart(stars.join(tested.select("a", "b"), ["a", "b"], "left_anti"), component), "pairs"))
-    confirm(stored(_rest(shared, nodes, component, tested, percent, _outside_pairs, BLOCK), "pairs"))
+    confirm(stored(_rest(shared, nodes, component, tested, percent, _medoid_star, MEDOID_BLOCK), "pairs"))
+    stars_left = _apart(stars.join(tested.select("a", "b"), ["a", "b"], "left_anti"), component)
+    rest = _rest(shared, nodes, component, tested, percent, _outside_pairs, BLOCK)
+    confirm(stored(stars_left.union(rest.select("a", "b", "nb")).distinct(), "pairs"))
     named = classes.join(component, F.col("id") == F.col("node"), "left").select(
         "print", F.coalesce("component", "id").alias("component_id"))
     out = sets.select("id", "n_shingles", "print").join(named, "print", "left")
