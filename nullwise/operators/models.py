@@ -120,7 +120,7 @@ class FourierModel:
 
 # --------------------------------------------------------------------------- estimators
 def logistic(train: DataFrame, label: str, C: float = 1.0, l1: bool = False,
-             features: str = "features", max_iter: int = 100, n: int | None = None) -> Fitted:
+             features: str = "features", max_iter: int = 1000, n: int | None = None) -> Fitted:
     """L2/L3: sklearn's C maps to regParam = 1 / (C n) (loss averaged in MLlib)."""
     n = train.count() if n is None else n
     lr = LogisticRegression(featuresCol=features, labelCol=label, regParam=1.0 / (C * max(n, 1)),
@@ -140,7 +140,7 @@ def forest(train: DataFrame, label: str, n_trees: int = 100, max_depth: int | No
            bootstrap: bool = True, features="features", seed=42, max_bins: int = 32) -> Fitted:
     """L5 (and L11 with ``bootstrap=False``): random forest, sqrt features per split."""
     rf = RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=n_trees,
-                                maxDepth=min(max_depth or 12, MAX_DEPTH), seed=seed,
+                                maxDepth=min(max_depth or MAX_DEPTH, MAX_DEPTH), seed=seed,
                                 featureSubsetStrategy="sqrt", bootstrap=bootstrap, maxBins=max_bins)
     return Fitted(rf.fit(_label_double(train, label)), features)
 
@@ -418,7 +418,7 @@ class SplineLogistic:
 
 
 def spline_logistic(train: DataFrame, label: str, cols: list[str], C: float = 0.5, n_knots: int = 3,
-                    max_iter: int = 100) -> SplineLogistic:
+                    max_iter: int = 1000) -> SplineLogistic:
     """Additive spline logistic = F1 standardise -> F2 quadratic splines
     (3 knots, no bias) -> L2 logistic (C=0.5).  Inputs must be imputed first."""
     from .features import SplineBasis, Standardizer

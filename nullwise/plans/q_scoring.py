@@ -35,7 +35,7 @@ def q_score_rows(spark, sf):
     clf = C.PromptClassifier(S.threshold_scorer("total_price", 250000.0), FEATURES, "target_bin", _NAMES)
     clf.classes, clf.majority = [0, 1], 1
     clf._numeric = {c for c, k in G.column_kinds(df, FEATURES).items() if k == "numeric"}
-    return G.score_rows(clf.prompts(df), clf.scorer, partitions=8)
+    return G.score_rows(clf.prompts(df), clf.scorer, partitions=spark.sparkContext.defaultParallelism)
 
 
 @query("prompt_classifier")
