@@ -222,7 +222,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shin
     pairs of one centre a are dealt over groups of about GROUP_SHINGLES.
     """
     load = pairs.groupBy("a").agg(F.ceil(F.sum("nb") / F.lit(GROUP_SHINGLES)).cast("int").alias("salts"))
-    dealt = pairs.join(load, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+    dealt = stored(pairs.join(load, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")), "dealt")
     members = dealt.select(F.col("b").alias("id"), "a", "salt", F.lit(False).alias("centre"))
     centres = dealt.select(F.col("a").alias("id"), "a", "salt", F.lit(True).alias("centre")).distinct()
     uses = members.union(centres).groupBy("id").agg(F.collect_list(F.struct("a", "salt", "centre")).alias("uses"))
