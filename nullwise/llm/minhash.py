@@ -22,7 +22,8 @@ and star-shaped candidate edges.
    differ from the centre.  In buckets that still span several components,
    members outside the first component are compared with the others by
    signature (in blocks; pairs inside one component are skipped), and every
-   pair that the signature does not rule out is confirmed on full sets.
+   pair that the signature does not rule out is confirmed on full sets.  A
+   pair that shares several buckets is named by the first band alone.
 
 Recall rests on the bands alone: a pair with similarity 0.8 shares no
 bucket with probability (1 - 0.8**5)**32 = 3e-6; the signature test of step
@@ -193,7 +194,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFram
 
 
 def _bands(classes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(key, id, n): one row per class and band."""
+    """(key, id, n, band): one row per class and band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,9 +206,11 @@ def _bands(classes: DataFrame, bands: int, rows: int) -> DataFrame:
                     key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k])
                 spread = np.repeat(np.arange(part.num_rows), bands)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), part.column(0).take(pa.array(spread)),
-                                                  part.column(1).take(pa.array(spread))], names=["key", "id", "n"])
+                                                  part.column(1).take(pa.array(spread)),
+                                                  pa.array(np.tile(np.arange(bands, dtype=np.int32), part.num_rows))],
+                                                 names=["key", "id", "n", "band"])
 
-    return classes.select("id", "n", "signature").mapInArrow(run, "key long, id long, n long")
+    return classes.select("id", "n", "signature").mapInArrow(run, "key long, id long, n long, band int")
 
 
 def _may_link(a: str, b: str, percent: int):
@@ -282,17 +285,23 @@ def _estimate(i: int, j: np.ndarray, sig: tuple[np.ndarray, np.ndarray], n: np.n
     return same / either, 4 * 0.4 / np.sqrt(either) * np.sqrt(unseen) + 0.02
 
 
-def _not_ruled_out(i: int, j: np.ndarray, ids, part, n, sig, percent: int):
-    """Of the members j, those in another component than i that size and signature allow, as (a, b, nb)."""
+def _not_ruled_out(i: int, j: np.ndarray, ids, part, n, sig, percent: int, band: int = 0, rows: int = 1):
+    """Of the members j, those in another component than i that size and signature allow, as (a, b, nb).
+
+    Members that share one of the first ``band`` bands with i are left to that band's bucket.
+    """
     j = j[part[j] != part[i]]
     j = j[percent * np.maximum(n[j], n[i]) <= 100 * np.minimum(n[j], n[i])]
+    if band and len(j):
+        before = (sig[0][j, :band * rows] == sig[0][i, :band * rows]).reshape(len(j), band, rows)
+        j = j[~before.all(axis=2).any(axis=1)]
     if len(j):
         share, slack = _estimate(i, j, sig, n)
         j = j[share >= percent / 100 - slack]
     return np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i]), np.where(ids[j] > ids[i], n[j], n[i])
 
 
-def _medoid_star(outside: np.ndarray, ids, part, n, sig, percent: int):
+def _medoid_star(outside: np.ndarray, ids, part, n, sig, percent: int, band: int, rows: int):
     """A star around the member nearest to the bucket's most common signature, the largest component left aside."""
     label, number = np.unique(part, return_inverse=True)
     size = np.bincount(number)
@@ -309,25 +318,26 @@ def _medoid_star(outside: np.ndarray, ids, part, n, sig, percent: int):
     return [_not_ruled_out(medoid, np.arange(len(ids)), ids, part, n, sig, percent)]
 
 
-def _outside_pairs(outside: np.ndarray, ids, part, n, sig, percent: int):
-    """Members outside the bucket's first component with all others of the block."""
+def _outside_pairs(outside: np.ndarray, ids, part, n, sig, percent: int, band: int, rows: int):
+    """Members outside the bucket's first component with all others of the block, each pair in its first band only."""
     inner = np.flatnonzero(~outside)
-    return [_not_ruled_out(i, inner, ids, part, n, sig, percent) for i in np.flatnonzero(outside)]
+    return [_not_ruled_out(i, inner, ids, part, n, sig, percent, band, rows)
+            for i in np.flatnonzero(outside)]
 
 
 def _rest(buckets: DataFrame, classes: DataFrame, component: DataFrame, tested: DataFrame, percent: int,
-          choose, block: int) -> DataFrame:
+          choose, block: int, rows: int) -> DataFrame:
     """(a, b, nb): untested pairs of different components in one bucket, chosen in blocks by ``choose``."""
     labelled = classes.join(component.withColumnRenamed("node", "id"), "id", "left").select(
         "id", F.coalesce("component", "id").alias("part"), "n", "signature")
-    rows = buckets.select("key", "id").join(labelled.select("id", "part"), "id")
-    spanning = (rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("m"))
+    members = buckets.select("key", "band", "id").join(labelled.select("id", "part"), "id")
+    spanning = (members.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("m"))
                 .where(F.col("low") != F.col("high")).select("key", "low", F.ceil(F.col("m") / block).cast("int").alias("blocks")))
-    held = stored(rows.join(spanning, "key"), "spanning")
-    sides = held.select("key", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("outside"))
+    held = stored(members.join(spanning, "key"), "spanning")
+    sides = held.select("key", "band", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("outside"))
     if choose is _outside_pairs:  # the members that every block is compared with
         sides = sides.union(held.where(F.col("part") != F.col("low")).select(
-            "key", "id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("outside")))
+            "key", "band", "id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("outside")))
     sides = sides.join(labelled, "id")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -336,7 +346,7 @@ def _rest(buckets: DataFrame, classes: DataFrame, component: DataFrame, tested:
         sig = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(len(ids), _WIDTH)
         full = np.unpackbits(np.ascontiguousarray(sig[:, BINS:]).view(np.uint8), axis=1).astype(bool)
         sig = np.ascontiguousarray(sig[:, :BINS]), full
-        found = choose(outside, ids, part, n, sig, percent)
+        found = choose(outside, ids, part, n, sig, percent, table["band"][0].as_py(), rows)
         return pa.table({name: pa.array(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64), pa.int64())
                          for k, name in enumerate(("a", "b", "nb"))})
 
@@ -362,7 +372,7 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = classes.where(F.col("id").isNotNull())
     banded = _bands(nodes, bands, rows)
     centres = banded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"), F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
-    shared = stored(banded.join(centres, "key").select("key", "id", "n", F.col("c.id").alias("a"), F.col("c.n").alias("na")), "buckets")
+    shared = stored(banded.join(centres, "key").select("key", "id", "n", "band", F.col("c.id").alias("a"), F.col("c.n").alias("na")), "buckets")
     stars = stored(shared.where(F.col("id") != F.col("a")).where(_may_link("n", "na", percent))
                    .select("a", F.col("id").alias("b"), F.col("n").alias("nb")).distinct(), "stars")
     tested, links, component = None, None, None
@@ -378,9 +388,9 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return True
 
     confirm(stored(stars.groupBy("b").agg(F.min(F.struct("a", "nb")).alias("c")).select("c.a", "b", "c.nb"), "pairs"))
-    confirm(stored(_rest(shared, nodes, component, tested, percent, _medoid_star, MEDOID_BLOCK), "pairs"))
+    confirm(stored(_rest(shared, nodes, component, tested, percent, _medoid_star, MEDOID_BLOCK, rows), "pairs"))
     stars_left = _apart(stars.join(tested.select("a", "b"), ["a", "b"], "left_anti"), component)
-    rest = _rest(shared, nodes, component, tested, percent, _outside_pairs, BLOCK)
+    rest = _rest(shared, nodes, component, tested, percent, _outside_pairs, BLOCK, rows)
     confirm(stored(stars_left.union(rest.select("a", "b", "nb")).distinct(), "pairs"))
     named = classes.join(component, F.col("id") == F.col("node"), "left").select(
         "print", F.coalesce("component", "id").alias("component_id"))
