@@ -10,14 +10,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MISSING_TOKEN = "missing"
-NUMBER_DECIMALS = 6
 
 
-def number_text(c: Column, decimals: int = NUMBER_DECIMALS) -> Column:
-    """Pinned number format: up to ``decimals`` places, trailing zeros cut, '12.0' style."""
-    s = F.format_string(f"%.{decimals}f", c.cast("double"))
-    s = F.regexp_replace(s, "0+$", "")
-    return F.regexp_replace(s, "\\.$", ".0")
+def number_text(c: Column) -> Column:
+    """The whole number in the shortest digits that read back: '12.0', '1e-07', '1e+16'.
+
+    Plain digits from 0.0001 up to 1e16, an exponent of two digits or more outside.
+    """
+    d = c.cast("double")
+    s = d.cast("string")  # plain from 0.001 up to 1e7 only
+    plain = F.regexp_replace(F.regexp_replace(s.try_cast("decimal(38,21)").cast("string"), "0+$", ""), "\\.$", ".0")
+    e = F.regexp_replace(s, "\\.0E", "E")
+    for pattern, to in (("E-(\\d)$", "e-0$1"), ("E-(\\d+)$", "e-$1"), ("E(\\d+)$", "e+$1")):
+        e = F.regexp_replace(e, pattern, to)
+    size = F.abs(d)
+    return (F.when((d == 0) | ((size >= 1e-3) & (size < 1e7)), s)
+            .when((size >= 1e-4) & (size < 1e16), plain).otherwise(e))
 
 
 def value_text(c: Column, is_numeric: bool, missing: str = MISSING_TOKEN) -> Column:

@@ -166,16 +166,53 @@ def auc_micro(pred: DataFrame, prob_cols: list[str], groups=(), label="label") -
 RUN_KEYS = ["target", "features", "model"]
 
 
-def run_metrics(pred: DataFrame, keys=RUN_KEYS, split="split") -> DataFrame:
-    """Long metrics table (A11): keys, split, metric, value for accuracy/precision/recall/f1/auc."""
-    g = list(keys) + [split]
-    acc = accuracy(pred, g).select(*g, "accuracy")
-    p = prf_binary(pred, g)
-    a = auc(pred, g)
-    wide = acc.join(p, g).join(a, g)
-    mets = ["accuracy", "precision", "recall", "f1", "auc"]
+def run_metrics(pred: DataFrame, keys=RUN_KEYS, split="split", prob_cols=(), label="label",
+                prediction="prediction", score="score") -> DataFrame:
+    """Long metrics table (A11): keys, split, metric, value for accuracy/precision/recall/f1/auc.
+
+    A run whose test split (all splits, without one) has two classes gets the
+    formulas for class 1 and the plain AUC of ``score`` (of the second of
+    ``prob_cols`` where there is no score); any other run gets averages
+    weighted by class size and the one-vs-rest AUC of ``prob_cols`` (null
+    without them).  Rows without a label or prediction are left out.
+    Accuracy, precision, recall and F1 come from one grouped count.
+    """
+    keys, prob_cols = list(keys), list(prob_cols)
+    g = keys + [split]
+    known = pred.where(F.col(label).isNotNull() & F.col(prediction).isNotNull())
+    cells = known.groupBy(*g, label, prediction).agg(F.count(F.lit(1)).alias("n"))
+    none = F.lit(0).cast("long")
+    per = (cells.select(*g, F.explode(F.array(
+        F.struct(F.col(label).cast("long").alias("class"), F.col("n").alias("n_true"), none.alias("n_pred"),
+                 F.when(F.col(label) == F.col(prediction), F.col("n")).otherwise(none).alias("tp")),
+        F.struct(F.col(prediction).cast("long").alias("class"), none.alias("n_true"), F.col("n").alias("n_pred"),
+                 none.alias("tp")))).alias("x")).select(*g, "x.*")
+        .groupBy(*g, "class").agg(*[F.sum(c).alias(c) for c in ("n_true", "n_pred", "tp")]))
+    hits = F.col("tp").cast("double")
+    zero = F.lit(0.0)
+    rates = {"precision": F.coalesce(F.try_divide(hits, F.col("n_pred")), zero),
+             "recall": F.coalesce(F.try_divide(hits, F.col("n_true")), zero),
+             "f1": F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("n_pred") + F.col("n_true")), zero)}
+    wide = per.groupBy(*g).agg(
+        (F.sum("tp") / F.sum("n_true")).alias("accuracy"), F.count_if(F.col("n_true") > 0).alias("_k"),
+        *[F.coalesce(F.max(F.when(F.col("class") == 1, r)), zero).alias(f"_one_{m}") for m, r in rates.items()],
+        *[(F.sum(r * F.col("n_true")) / F.sum("n_true")).alias(f"_all_{m}") for m, r in rates.items()])
+    runs = Window.partitionBy(*keys)  # one row per run and split
+    wide = wide.withColumn("_two", F.coalesce(F.max(F.when(F.col(split) == "test", F.col("_k"))).over(runs),
+                                              F.max("_k").over(runs)) == 2)
+    plain_score = score if score in pred.columns else prob_cols[1] if len(prob_cols) == 2 else None
+    areas = {"_one_auc": auc(known, g, label, plain_score) if plain_score else None,
+             "_all_auc": auc_ovr(known, prob_cols, g, label) if prob_cols else None}
+    for name, area in areas.items():
+        if area is None:
+            wide = wide.withColumn(name, F.lit(None).cast("double"))
+        else:
+            wide = wide.join(area.toDF(*g, name), g, "left")
+    value = {"accuracy": F.col("accuracy")} | {
+        m: F.when(F.col("_two"), F.col(f"_one_{m}")).otherwise(F.col(f"_all_{m}"))
+        for m in ("precision", "recall", "f1", "auc")}
     return wide.select(*g, F.explode(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in mets
+        F.struct(F.lit(m).alias("metric"), _r(v).cast("double").alias("value")) for m, v in value.items()
     ])).alias("x")).select(*g, "x.metric", "x.value")
 
 

@@ -2,8 +2,7 @@
 
 Every profile is one scan: one aggregate over all columns (partial
 aggregation on the map side, a single-row final merge), never one job per
-column.  Past ``WIDE`` columns the table is unpivoted first and grouped by
-column name, which keeps the generated code small.
+column.
 """
 
 from __future__ import annotations
@@ -13,31 +12,25 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import corr_long
 
-WIDE = 200
-
 
 def _cols(df: DataFrame, cols) -> list[str]:
     return [c for c in (cols or df.columns) if c != "row_id"]
 
 
+def _quoted(cols: list[str]) -> list[str]:
+    return ["`" + c.replace("`", "``") + "`" for c in cols]
+
+
 def missing_profile(df: DataFrame, cols=None, digits: int = 6) -> DataFrame:
-    """(feature, n_missing, pct_missing) for each column, in one scan."""
+    """(feature, n_missing, pct_missing) for each column, in one scan; an empty table has pct_missing null."""
     cols = _cols(df, cols)
-    if len(cols) <= WIDE:
-        aggs = [F.count(F.lit(1)).alias("_n")] + [
-            (F.count(F.lit(1)) - F.count(F.col(c))).alias(f"_m{i}") for i, c in enumerate(cols)]
-        wide = df.agg(*aggs)
-        pairs = ", ".join(f"'{c}', _m{i}" for i, c in enumerate(cols))
-        long = wide.selectExpr("_n", f"stack({len(cols)}, {pairs}) as (feature, n_missing)")
-    else:
-        flags = F.explode(F.array(*[
-            F.struct(F.lit(c).alias("feature"), F.col(c).isNull().cast("long").alias("m"))
-            for c in cols])).alias("x")
-        long = (df.select(flags).groupBy("x.feature")
-                .agg(F.sum("x.m").alias("n_missing"), F.count(F.lit(1)).alias("_n")))
+    counts = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(f"_v{i}") for i, c in enumerate(_quoted(cols))])
+    long = counts.select("_n", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), (F.col("_n") - F.col(f"_v{i}")).alias("n_missing"))
+        for i, c in enumerate(cols)])).alias("x")).select("_n", "x.*")
     return long.select(
         "feature", F.col("n_missing").cast("long").alias("n_missing"),
-        F.round(F.col("n_missing") * 100.0 / F.col("_n"), digits).alias("pct_missing"))
+        F.round(F.try_divide(F.col("n_missing") * 100.0, F.col("_n")), digits).alias("pct_missing"))
 
 
 def missing_report(df: DataFrame, cols=None) -> DataFrame:

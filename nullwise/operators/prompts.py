@@ -30,10 +30,8 @@ ROLE_TEXT = ("You are a pediatric emergency surgeon. "
              "the label for the target: \"{target}\".\n")
 MAPPING_INTRO = "The target is encoded as integer labels. The meaning of each label is:"
 EXAMPLES_HEADER = "Here are some example patients and their correct labels:\n\n"
-EXAMPLE_BLOCK = "Example {i}:\nFeatures: {features}\nCorrect label for {target}: {y} ({label})\n"
 EVIDENCE_HEADER = ("Here are predictions from several baseline machine learning models "
                    "trained on the same training data:\n")
-EVIDENCE_LINE = "{model}: predicted {id} ({label}), probability = {p}"
 NEW_CASE = ("Now here is a NEW patient (different from all the examples above).\n\n"
             "The features and their values of THIS child are:\n\n")
 ALLOWED = "Possible labels you are allowed to output are: [{ids}].\n\n"
@@ -89,11 +87,13 @@ def evidence_text(predictions: DataFrame, key: str = "row_id") -> DataFrame:
     """Per row, one line per baseline model, models in name order.
 
     ``predictions`` has (row_id, model, pred_id, label_name, probability);
+    a model that gives only a label has a null probability and no such part;
     each group holds one row per model (bounded by the committee size).
     """
     line = F.concat(F.lit("- "), F.col("model"), F.lit(": predicted "), F.col("pred_id").cast("string"),
-                    F.lit(" ("), F.col("label_name"), F.lit("), probability = "),
-                    F.format_string("%.3f", F.col("probability")))
+                    F.lit(" ("), F.col("label_name"), F.lit(")"),
+                    F.when(F.col("probability").isNotNull(), F.concat(
+                        F.lit(", probability = "), F.format_string("%.3f", F.col("probability")))).otherwise(F.lit("")))
     g = (predictions.select(key, F.struct("model", line.alias("line")).alias("x"))
          .groupBy(key).agg(F.sort_array(F.collect_list("x")).alias("_l")))
     return g.select(key, F.concat(F.lit(EVIDENCE_HEADER),
@@ -138,7 +138,7 @@ def score_rows(df: DataFrame, scorer: Callable[[list[str]], list[str]], prompt:
     """Run ``scorer`` on prompt batches inside executors.
 
     Each Arrow batch of prompts goes to the scorer at once; a failing batch
-    is retried row by row, and a row that still fails gets a null reply and
+    (or one with another number of replies) is retried row by row, and a row that still fails gets a null reply and
     its error text (defaults are applied by the parser, so a failed call
     never fails the task).  ``partitions`` spreads the calls evenly.
     """
@@ -146,17 +146,24 @@ def score_rows(df: DataFrame, scorer: Callable[[list[str]], list[str]], prompt:
     if partitions:
         src = src.repartition(partitions, key)
 
+    def ask(prompts):
+        replies = [None if r is None else str(r) for r in scorer(prompts)]
+        if len(replies) != len(prompts):
+            raise ValueError(f"{len(replies)} replies to {len(prompts)} prompts")
+        return replies
+
     def run(batches):
         for pdf in batches:
             prompts = pdf[prompt].tolist()
             try:
-                replies = list(scorer(prompts))
+                replies = ask(prompts)
                 errors = [None] * len(replies)
             except Exception:  # noqa: BLE001 - fall back to one call per row
                 replies, errors = [], []
                 for p in prompts:
                     try:
-                        replies.append(scorer([p])[0]); errors.append(None)
+                        replies += ask([p])
+                        errors.append(None)
                     except Exception as e:  # noqa: BLE001
                         replies.append(None); errors.append(f"{type(e).__name__}: {e}")
             yield pd.DataFrame({key: pdf[key], "reply": replies, "error": errors})

@@ -16,7 +16,7 @@ _NEW_CASE = re.compile(r"(?:THIS child are:|this child are:)\s*\n+(.*?)(?:\n\n|$
 def _value(prompt: str, name: str) -> float | None:
     m = _NEW_CASE.search(prompt)
     text = m.group(1) if m else prompt
-    v = re.search(re.escape(name) + r" = (-?[0-9.]+)", text)
+    v = re.search(re.escape(name) + r" = (-?[0-9.]+(?:e[+-]?[0-9]+)?)", text)
     return float(v.group(1)) if v else None
 
 

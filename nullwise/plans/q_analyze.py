@@ -366,6 +366,33 @@ def q_run_metrics(spark, sf):
     return _runm(spark, sf)
 
 
+@query("run_metrics_multi", W("pred_multi") + """
+, pm as (select *, case when row_id % 5 = 0 then 'test' else 'train' end as split from pred_multi),
+cl as (select split, label as class, 1 as is_true, case when label = prediction then 1 else 0 end as hit from pm
+       union all select split, prediction, 0, 0 from pm),
+c as (select split, class, sum(hit) as tp, sum(1 - is_true) as n_pred, sum(is_true) as n_true from cl group by all),
+m as (select split, n_true as w, coalesce(cast(tp as double) / nullif(n_pred, 0), 0.0) as p,
+        coalesce(cast(tp as double) / nullif(n_true, 0), 0.0) as r,
+        coalesce(2.0 * tp / nullif(n_pred + n_true, 0), 0.0) as f from c),
+ovr as (select split, label as y, 0 as class, p0 as score from pm union all select split, label, 1, p1 from pm
+        union all select split, label, 2, p2 from pm),
+sc as (select split, class, score, sum(case when y = class then 1 else 0 end) as pos,
+         sum(case when y = class then 0 else 1 end) as neg from ovr group by all),
+sa as (select *, coalesce(sum(pos) over (partition by split, class order by score desc
+         rows between unbounded preceding and 1 preceding), 0) as pos_above from sc),
+au as (select split, class, sum(neg * (pos_above + 0.5 * pos)) / (sum(pos) * sum(neg)) as auc, sum(pos) as n from sa group by all),
+v as (select split, 'accuracy' as metric, avg(case when label = prediction then 1.0 else 0.0 end) as value from pm group by split
+  union all select split, 'precision', sum(p * w) / sum(w) from m group by split
+  union all select split, 'recall', sum(r * w) / sum(w) from m group by split
+  union all select split, 'f1', sum(f * w) / sum(w) from m group by split
+  union all select split, 'auc', sum(auc * n) / sum(n) from au group by split)
+select 'shares' as model, split, metric, round(value, 8) as value from v""")
+def q_run_metrics_multi(spark, sf):
+    pred = X.pred_multi(spark, sf).select("*", F.lit("shares").alias("model"), F.when(
+        F.col("row_id") % 5 == 0, "test").otherwise("train").alias("split"))
+    return V.run_metrics(pred, ["model"], prob_cols=["p0", "p1", "p2"])
+
+
 @query("metric_pivot", W("run_predictions") + RUNM_SQL + """
 select model, round(avg(case when target || '_' || features = 'bin_full' then value end), 8) as bin_full,
   round(avg(case when target || '_' || features = 'bin_selected' then value end), 8) as bin_selected

@@ -24,7 +24,7 @@ def _q(s: str) -> str:
 
 
 def _num_sql(c: str) -> str:
-    return f"regexp_replace(regexp_replace(printf('%.6f', cast({c} as double)), '0+$', ''), '\\.$', '.0')"
+    return f"cast(cast({c} as double) as varchar)"
 
 
 def _case_text_sql(cols=FEATURES) -> str:

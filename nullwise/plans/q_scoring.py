@@ -1,7 +1,8 @@
 """Registered queries: scoring prompts with a pluggable scorer.
 
-The scorer here is the deterministic stand-in of ``operators.scorers``; a
-deployment passes its own model client.  Rows-only checks."""
+The scorer here is the deterministic stand-in of ``operators.scorers``, whose
+reply is a function of one feature of the new case, so SQL can say it; a
+deployment passes its own model client."""
 
 from __future__ import annotations
 
@@ -15,8 +16,11 @@ from ..operators import scorers as S
 from ..operators import split as T
 from ..sources import fixtures as X
 from .cases import FEATURES, SEED, TEST_FRAC
+from .q_prepare import split_sql
 from .registry import query
 
+W = X.with_clause
+
 
 def _labelled(spark, sf):
     df = X.cases_raw(spark, sf)
@@ -29,16 +33,25 @@ def _labelled(spark, sf):
 _NAMES = {0: "high", 1: "low"}
 
 
-@query("score_rows")
+@query("score_rows", W("cases_raw") + """
+select row_id, cast(null as varchar) as error, case when total_price is null then 'unsure' else
+    (case when cast(trunc(total_price) as bigint) % 2 = 1
+          then '<think>total_price is ' || cast(cast(total_price as double) as varchar) || '</think> ' else '' end)
+    || (case when total_price > 250000 then '0' else '1' end) end as reply
+from cases_raw""")
 def q_score_rows(spark, sf):
     df = X.cases_raw(spark, sf)
     clf = C.PromptClassifier(S.threshold_scorer("total_price", 250000.0), FEATURES, "target_bin", _NAMES)
     clf.classes, clf.majority = [0, 1], 1
-    clf._numeric = {c for c, k in G.column_kinds(df, FEATURES).items() if k == "numeric"}
     return G.score_rows(clf.prompts(df), clf.scorer, partitions=spark.sparkContext.defaultParallelism)
 
 
-@query("prompt_classifier")
+@query("prompt_classifier", W("cases_raw") + split_sql("target_bin") + """
+, coded as (select row_id, split, cast(case label when 'high' then 0 else 1 end as int) as label from split_rows),
+most as (select label from coded where split = 'train' group by label order by count(*) desc, label limit 1)
+select c.row_id, c.label, cast(null as varchar) as error,
+  cast(case when r.total_price is null then (select label from most) when r.total_price > 250000 then 0 else 1 end as int) as prediction
+from coded c join cases_raw r on c.row_id = r.row_id where c.split = 'test'""")
 def q_prompt_classifier(spark, sf):
     s = _labelled(spark, sf)
     train, test = s.where("split = 'train'"), s.where("split = 'test'")
@@ -52,11 +65,13 @@ def q_refresh_examples(spark, sf):
     s = _labelled(spark, sf).where("split = 'train'")
     clf = C.PromptClassifier(S.threshold_scorer("acct_bal", 0.0), FEATURES, "target_bin", _NAMES,
                              shots=2, max_total=6, refine_rounds=2, refine_subset=100).fit(s)
-    rows = [(i + 1, e["y"], C._row_text(e["x"], FEATURES, clf._numeric, {})) for i, e in enumerate(clf.examples)]
-    return spark.createDataFrame(rows, "position int, label int, case_text string")
+    return clf.example_rows(spark).select("label", F.col("rank").alias("slot"), "case_text")
 
 
-@query("risk_features")
+@query("risk_features", W("cases_raw") + split_sql("target_bin") + """
+, f as (select r.row_id, s.split, r.total_price, cast(case when r.total_price > 250000 then 1 else 0 end as double) as y
+        from split_rows s join cases_raw r on s.row_id = r.row_id)
+select row_id, split, total_price, y as y_diagnosis, 1 - y as y_severity, y as y_management from f""")
 def q_risk_features(spark, sf):
     s = _labelled(spark, sf)
     train = s.where("split = 'train'")

@@ -52,3 +52,24 @@ def test_score_rows_failures(spark):
     assert len(out) == 20
     assert out[3][0] is None and "bad row" in out[3][1] and out[13][0] is None
     assert out[5] == ("2", None)
+
+
+def test_score_rows_other_number_of_replies(spark):
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(4)], "row_id int, prompt string")
+    out = G.score_rows(df, lambda prompts: ["1"] if len(prompts) > 1 or prompts[0] != "p2" else [], partitions=1)
+    got = {r["row_id"]: (r["reply"], r["error"]) for r in out.collect()}
+    assert got[0] == got[1] == got[3] == ("1", None)
+    assert got[2][0] is None and "0 replies" in got[2][1]
+
+
+def test_whole_numbers_in_prompts(spark):
+    values = [0.0, 12.0, -3.25, 123456.7890123, 1e-7, 0.00012, 12345678.9, 1e15, 1e16, -2.5e-9, 1.25e300, 0.1 + 0.2]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [r["t"] for r in df.select(TX.number_text(F.col("x")).alias("t")).collect()] == [repr(v) for v in values]
+
+
+def test_evidence_of_a_model_without_probability(spark):
+    df = spark.createDataFrame([(1, "a", 1, "high", 0.25), (1, "b", 0, "low", None)],
+                               "row_id int, model string, pred_id int, label_name string, probability double")
+    text = G.evidence_text(df).first()["evidence_text"]
+    assert "- a: predicted 1 (high), probability = 0.250\n- b: predicted 0 (low)\n" in text
