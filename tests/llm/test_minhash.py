@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from nullwise.llm.common import WORD, words
-from nullwise.llm.minhash import Densifier, minhash_dedup, shingle_sets
+from nullwise.llm.minhash import BINS, Densifier, _not_ruled_out, minhash_dedup, shingle_sets
 
 
 def word_shingles(text, k=4):
@@ -94,3 +94,17 @@ def test_signature_estimates_similarity():
             truth = len(np.intersect1d(base, other)) / len(np.union1d(base, other))
             errors.append((dense.signature(np.unique(base)) == dense.signature(np.unique(other)))[:256].mean() - truth)
     assert abs(np.mean(errors)) < 0.03
+
+
+def test_signature_rules_out_no_short_link():
+    rng = np.random.default_rng(2)
+    dense = Densifier(BINS)
+    for shared, only_a, only_b in ((8, 1, 1), (16, 2, 2), (32, 4, 4), (40, 5, 5), (48, 6, 6), (32, 8, 0), (40, 7, 3), (80, 10, 10), (160, 20, 20)):
+        lost = 0
+        for _ in range(300):
+            both, a, b = (rng.integers(0, 2**63, k, dtype=np.uint64) for k in (shared, only_a, only_b))
+            raw = np.stack([dense.signature(np.unique(np.concatenate([both, x]))) for x in (a, b)])
+            full = np.unpackbits(np.ascontiguousarray(raw[:, BINS:]).view(np.uint8), axis=1).astype(bool)
+            ids, n = np.array([1, 2]), np.array([shared + only_a, shared + only_b])
+            lost += not len(_not_ruled_out(0, np.array([1]), ids, ids, n, (raw[:, :BINS], full), 80)[0])
+        assert lost == 0, (shared, only_a, only_b, lost)
