@@ -1,4 +1,7 @@
+import base64
+import random
 import re
+import string
 from collections import Counter
 
 import numpy as np
@@ -61,6 +64,33 @@ def test_quality_rules_edges(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == plain_measures(r.text)
 
 
+def test_quality_rules_reject_random_strings_and_mojibake(spark):
+    rng = random.Random(4)
+
+    def strings(alphabet, low=3, high=10, n=80):
+        return " ".join("".join(rng.choices(alphabet, k=rng.randint(low, high))) for _ in range(n))
+
+    russian = ("все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью и должны поступать "
+               "в отношении друг друга в духе братства каждый человек должен обладать всеми правами и всеми свободами провозглашенными "
+               "настоящей декларацией без какого бы то ни было различия как то пола языка религии политических или иных убеждений")
+    french = ("tous les êtres humains naissent libres et égaux en dignité et en droits ils sont doués de raison et de conscience et doivent "
+              "agir les uns envers les autres dans un esprit de fraternité chacun peut se prévaloir de toutes les libertés proclamées dans "
+              "la présente déclaration sans distinction aucune notamment de langue ni de fortune")
+    junk = [strings(string.ascii_lowercase), strings(string.ascii_uppercase), strings(string.ascii_letters), strings("0123456789abcdef", 8, 32),
+            strings("0123456789ABCDEF", 8, 32), strings(string.digits), strings(string.digits, 2, 4), strings(string.punctuation),
+            strings(string.ascii_letters + string.digits), " ".join(base64.b64encode(rng.randbytes(30)).decode() for _ in range(80)),
+            russian.encode().decode("latin-1").translate(dict.fromkeys(range(128, 160), "€")), russian.encode("cp1251").decode("latin-1"),
+            french.encode().decode("latin-1")]
+    junk_without_lang = [strings("абвгдежзийклмнопрстуфхцчшщъыьэюя"), strings("αβγδεζηθικλμνξοπρστυφχψω"),
+                         strings([chr(c) for c in range(0x621, 0x64B)]), strings([chr(c) for c in range(0x905, 0x94D)]),
+                         strings([chr(c) for c in range(0x4E00, 0x9FA5)]), strings([chr(c) for c in range(0x100, 0x2FFF)])]
+    rows = [(t, lang, False) for t in junk for lang in ("en", "de", "fr", "es", None, "zz")] + [(t, None, False) for t in junk_without_lang]
+    rows += [(t, lang, True) for t in (russian, russian.upper()) for lang in ("ru", None)]
+    rows += [(t, lang, True) for t in (french, french.upper()) for lang in ("fr", None)]
+    got = quality_rules(spark.createDataFrame(rows, "text string, lang string, want boolean")).collect()
+    assert [(r.text[:30], r.lang, r.kept) for r in got if r.kept != r.want or r.base_failed] == [] and len(got) == len(rows)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(TEXT, max_size=5))
 def test_ngrams_do_not_span_texts(texts):
