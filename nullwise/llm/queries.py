@@ -71,7 +71,7 @@ def op7_toxicity_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_minhash_dedup")
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return minhash_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=4)
 
 
 @query("op9_certified_packing")

@@ -15,6 +15,9 @@ from .minhash import minhash_dedup
 from .mixing import mixed_documents
 from .repack import pack_documents
 
+#: Words of a shingle in the near-dedup stage (the op8 query takes four by its own contract).
+SHINGLE = 5
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base and fertility rules keep."""
@@ -28,11 +31,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that with the smallest id.
+    """One document of each group of near-duplicates on five-word shingles, that with the smallest id.
 
     Of repeated rows (same id) one stays; rows without an id stay.
     """
-    verdict = stored(minhash_dedup(docs).select("doc_id", "kept").where(F.col("doc_id").isNotNull()), "verdict")
+    verdict = stored(minhash_dedup(docs, shingle=SHINGLE).select("doc_id", "kept").where(F.col("doc_id").isNotNull()), "verdict")
     out = docs.join(verdict.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
     repeated = stored(verdict.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
