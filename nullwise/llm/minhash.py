@@ -21,7 +21,7 @@ and star-shaped candidate edges.
 4. Exact rest: a star cannot see a link between two members that both
    differ from the centre.  In buckets that still span several components,
    members outside the first component are compared with the others by
-   signature (in blocks; pairs inside one component are skipped), and every
+   signature (blocks of both, each pair once; pairs inside one component are skipped), and every
    pair that the signature does not rule out is confirmed on full sets.  A
    pair that shares several buckets is named by the first band alone.
 
@@ -52,8 +52,8 @@ _WIDTH = BINS + BINS // 16
 GROUP_SHINGLES = 400_000
 #: Members of a bucket that one medoid is chosen from.
 MEDOID_BLOCK = 16_384
-#: Members of a bucket in one block of the signature comparison.
-BLOCK = 1024
+#: Members of a bucket in one block of the signature comparison, and members outside the first component in one.
+BLOCK, OUTSIDE_BLOCK = 1024, 4096
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
@@ -309,7 +309,7 @@ def _not_ruled_out(i: int, j: np.ndarray, ids, part, n, sig, percent: int, band:
     return np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i]), np.where(ids[j] > ids[i], n[j], n[i])
 
 
-def _medoid_star(outside: np.ndarray, ids, part, n, sig, percent: int, band: int, rows: int):
+def _medoid_star(outside: np.ndarray, ids, part, n, sig, percent: int, band: int, rows: int, low: int):
     """A star around the member nearest to the bucket's most common signature, the largest component left aside."""
     label, number = np.unique(part, return_inverse=True)
     size = np.bincount(number)
@@ -326,13 +326,29 @@ def _medoid_star(outside: np.ndarray, ids, part, n, sig, percent: int, band: int
     return [_not_ruled_out(medoid, np.arange(len(ids)), ids, part, n, sig, percent)]
 
 
-def _outside_pairs(outside: np.ndarray, ids, part, n, sig, percent: int, band: int, rows: int):
-    """Members outside the bucket's first component with all others of the block, each pair in its first band only."""
+def _outside_pairs(outside: np.ndarray, ids, part, n, sig, percent: int, band: int, rows: int, low: int):
+    """Members outside the bucket's first component (``low``) with all others of the block, each pair in its first band only.
+
+    Two members outside would meet twice; the smaller id takes the pair.
+    """
     inner = np.flatnonzero(~outside)
-    return [_not_ruled_out(i, inner, ids, part, n, sig, percent, band, rows)
+    first = part[inner] == low
+    return [_not_ruled_out(i, inner[first | (ids[inner] > ids[i])], ids, part, n, sig, percent, band, rows)
             for i in np.flatnonzero(outside)]
 
 
+def _dealt(held: DataFrame, block: int, outside_block: int) -> DataFrame:
+    """(key, low, band, id, block, over, outside): each block of a bucket's members with each block ``over`` of those
+    outside its first component, from (key, low, band, id, part) with the bucket's m members and o outside."""
+    blocks, over = (F.ceil(F.col(c) / size).cast("int") for c, size in (("m", block), ("o", outside_block)))
+    mine = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    inner = held.select("key", "low", "band", "id", mine(blocks).alias("block"), every(over).alias("over"), F.lit(False).alias("outside"))
+    outer = held.where(F.col("part") != F.col("low")).select(
+        "key", "low", "band", "id", every(blocks).alias("block"), mine(over).alias("over"), F.lit(True).alias("outside"))
+    return inner.union(outer)
+
+
 def _rest(buckets: DataFrame, classes: DataFrame, component: DataFrame, tested: DataFrame, percent: int,
           choose, block: int, rows: int) -> DataFrame:
     """(a, b, nb): untested pairs of different components in one bucket, chosen in blocks by ``choose``."""
@@ -340,12 +356,14 @@ def _rest(buckets: DataFrame, classes: DataFrame, component: DataFrame, tested:
         "id", F.coalesce("component", "id").alias("part"), "n", "signature")
     members = buckets.select("key", "band", "id").join(labelled.select("id", "part"), "id")
     spanning = (members.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("m"))
-                .where(F.col("low") != F.col("high")).select("key", "low", F.ceil(F.col("m") / block).cast("int").alias("blocks")))
+                .where(F.col("low") != F.col("high")).select("key", "low", "m"))
     held = stored(members.join(spanning, "key"), "spanning")
-    sides = held.select("key", "band", "id", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("outside"))
-    if choose is _outside_pairs:  # the members that every block is compared with
-        sides = sides.union(held.where(F.col("part") != F.col("low")).select(
-            "key", "band", "id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("outside")))
+    if choose is _outside_pairs:
+        outside = held.where(F.col("part") != F.col("low")).groupBy("key").agg(F.count(F.lit(1)).alias("o"))
+        sides = _dealt(held.join(outside, "key"), block, OUTSIDE_BLOCK)
+    else:
+        sides = held.select("key", "low", "band", "id", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / block)).cast("int").alias("block"),
+                            F.lit(0).alias("over"), F.lit(False).alias("outside"))
     sides = sides.join(labelled, "id")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -354,11 +372,11 @@ def _rest(buckets: DataFrame, classes: DataFrame, component: DataFrame, tested:
         sig = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(len(ids), _WIDTH)
         full = np.unpackbits(np.ascontiguousarray(sig[:, BINS:]).view(np.uint8), axis=1).astype(bool)
         sig = np.ascontiguousarray(sig[:, :BINS]), full
-        found = choose(outside, ids, part, n, sig, percent, table["band"][0].as_py(), rows)
+        found = choose(outside, ids, part, n, sig, percent, table["band"][0].as_py(), rows, table["low"][0].as_py())
         return pa.table({name: pa.array(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64), pa.int64())
                          for k, name in enumerate(("a", "b", "nb"))})
 
-    found = sides.groupBy("key", "block").applyInArrow(compare, "a long, b long, nb long").distinct()
+    found = sides.groupBy("key", "block", "over").applyInArrow(compare, "a long, b long, nb long").distinct()
     return found.join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
 

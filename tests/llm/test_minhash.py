@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from nullwise.llm.common import WORD, words
-from nullwise.llm.minhash import BINS, Densifier, _not_ruled_out, minhash_dedup, shingle_sets
+from nullwise.llm.minhash import BINS, Densifier, _dealt, _not_ruled_out, _outside_pairs, minhash_dedup, shingle_sets
 
 
 def word_shingles(text, k=4):
@@ -108,3 +108,21 @@ def test_signature_rules_out_no_short_link():
             ids, n = np.array([1, 2]), np.array([shared + only_a, shared + only_b])
             lost += not len(_not_ruled_out(0, np.array([1]), ids, ids, n, (raw[:, :BINS], full), 80)[0])
         assert lost == 0, (shared, only_a, only_b, lost)
+
+
+def test_blocks_of_a_bucket_are_bounded_and_name_each_pair_once(spark):
+    # members 0 to 199 are the first component, the other 800 are apart; all have the same signature
+    rows = [(7, 3, i, 0 if i < 200 else i, 0, 1000, 800) for i in range(1000)]
+    held = spark.createDataFrame(rows, "key long, band int, id long, part long, low long, m long, o long")
+    groups = {}
+    for r in _dealt(held, 100, 160).collect():
+        groups.setdefault((r.key, r.block, r.over), []).append(r)
+    assert len(groups) == 50 and max(map(len, groups.values())) < 2 * 260
+    pairs = []
+    for members in groups.values():
+        ids, outside = np.array([r.id for r in members]), np.array([r.outside for r in members])
+        part = np.where(ids < 200, 0, ids)
+        sig = np.zeros((len(ids), BINS), np.uint16), np.ones((len(ids), BINS), bool)
+        for a, b, _ in _outside_pairs(outside, ids, part, np.full(len(ids), 300), sig, 80, 0, 5, 0):
+            pairs += zip(a.tolist(), b.tolist())
+    assert len(pairs) == len(set(pairs)) == 200 * 800 + 800 * 799 // 2
