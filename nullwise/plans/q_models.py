@@ -91,18 +91,18 @@ _model_query("fit_forest", lambda tr, n: L.forest(tr, "label", 100))
 _model_query("fit_boosted", lambda tr, n: L.boosted(tr, "label", 100, 0.1, 3))
 _model_query("fit_hist_boosted", lambda tr, n: L.boosted(tr, "label", 100, 0.1, 3))
 _model_query("fit_extra_trees", lambda tr, n: L.extra_forest(tr, "label", 100))
-_model_query("fit_adaboost", lambda tr, n: L.adaboost(tr, "label", 30, 1.0))
+_model_query("fit_adaboost", lambda tr, n: L.adaboost(tr, "label", 300, 0.05))
 _model_query("fit_rbf", lambda tr, n: L.rbf_classifier(tr, "label", n, C=1.0, n_components=50))
-_model_query("fit_stack_linear", lambda tr, n: L.stack_linear(tr, "label", 50))
-_model_query("fit_stack_refine", lambda tr, n: L.stack_refine(tr, "label", 50))
+_model_query("fit_stack_linear", lambda tr, n: L.stack_linear(tr, "label", 200))
+_model_query("fit_stack_refine", lambda tr, n: L.stack_refine(tr, "label", 200))
 _model_query("fit_spline_logistic", lambda tr, n: L.spline_logistic(tr, "label", n, C=0.5))
-_model_query("fit_neural_forest", lambda tr, n: L.neural_forest(tr, "label", len(n), 50, hidden=(16, 16)))
+_model_query("fit_neural_forest", lambda tr, n: L.neural_forest(tr, "label", len(n), 200, hidden=(64, 64)))
 
 
 @query("fit_boosted_multi")
 def q_fit_boosted_multi(spark, sf):
     train, test, _ = prepared(spark, sf, target="target_multi")
-    return _preds(L.boosted(train, "label", 20, 0.1, 3), train, test)
+    return _preds(L.boosted(train, "label", 100, 0.1, 3), train, test)
 
 
 @query("model_metrics")
@@ -146,16 +146,16 @@ def q_l1_rank(spark, sf):
 def q_forward_select(spark, sf):
     train, test, names = prepared(spark, sf)
     folded = T.assign_folds(train, "label", 5, SEED)
-    chosen = L.forward_select(folded, "label", names, 2, parallelism=8)
+    chosen = L.forward_select(folded, "label", names, min(15, len(names) // 2), parallelism=8)
     return spark.createDataFrame([(i + 1, c) for i, c in enumerate(chosen)], "step int, feature string")
 
 
 @query("backward_select")
 def q_backward_select(spark, sf):
-    """Greedy backward elimination by 5-fold CV accuracy, one step from all features."""
+    """Greedy backward elimination by 5-fold CV accuracy from all features to max(5, half)."""
     train, test, names = prepared(spark, sf)
     folded = T.assign_folds(train, "label", 5, SEED)
-    kept = L.backward_select(folded, "label", names, names, len(names) - 1, parallelism=8)
+    kept = L.backward_select(folded, "label", names, names, max(5, len(names) // 2), parallelism=8)
     return spark.createDataFrame([(c, c in kept) for c in names], "feature string, kept boolean")
 
 
