@@ -70,6 +70,7 @@ def parse(page: str) -> Node:
     """Element tree of a page; unclosed and stray tags are repaired as browsers do for common cases."""
     root = Node("html")
     stack = [root]
+    unopened: dict[str, int] = {}  # elements too deep to open, whose end tags close nothing
     at, n = 0, len(page)
     while at < n:
         found = _MARKUP.search(page, at)
@@ -83,7 +84,12 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         tag = tag.lower()
+        if len(stack) < MAX_DEPTH:
+            unopened.clear()
         if closing:
+            if unopened.get(tag):
+                unopened[tag] -= 1
+                continue
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == tag:
                     del stack[depth:]
@@ -109,6 +115,8 @@ def parse(page: str) -> Node:
             continue
         if len(stack) < MAX_DEPTH:  # deeper elements are not opened: their text belongs to the parent
             stack.append(node)
+        else:
+            unopened[tag] = unopened.get(tag, 0) + 1
     return root
 
 

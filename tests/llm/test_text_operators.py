@@ -151,6 +151,12 @@ def test_extract(html, want):
     assert html_extract.extract(html, "http://h/", lambda h: False) == want
 
 
+def test_end_tags_of_deep_elements_close_no_ancestor():
+    deep = "<div>" * 250 + "deep" + "</div>" * 250
+    html = f"<body><div><article><p>one</p>{deep}<p>two</p></article></div><p>outside</p></body>"
+    assert html_extract.extract(html, "http://h/", lambda h: False) == "one\n\ndeep\n\ntwo"
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/!-&;\"'= abpdiv", max_size=80))
 def test_extract_never_fails(text):
