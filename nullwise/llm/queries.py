@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import fingerprint, mixing
 from .common import read_table
 from .fertility import quality_rules
 from .hnsw import embedding_dedup
@@ -82,3 +82,8 @@ def op9_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_hnsw_embeddings")
 def op10_hnsw_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_minhash_fingerprints", fingerprint.SQL)
+def op11_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
