@@ -91,88 +91,3 @@ def fit_missing_aware(df: DataFrame, cols: list[str]) -> MissingAwareModel:
         lo, hi = row[f"_lo{i}"], row[f"_hi{i}"]
         sent[c] = -1.0 if lo is None else lo - (hi - lo) - 1.0
     return MissingAwareModel(sent)
-
-
-class ChainedImputer:
-    """I4: chained equations with ridge regressions, deterministic.
-
-    Start from the exact medians; then, round by round and column by column
-    (fewest missing first), regress each incomplete column on all the others
-    over the rows where it is observed and overwrite its missing cells.
-    One regression = one aggregate job that sums X'X and X'y (p^2 sums,
-    partial aggregation, nothing but the small matrix reaches the driver);
-    the solve is a p x p NumPy call.  Each round ends with a reliable
-    ``checkpoint()`` so lineage stays short and lost executors recompute from
-    the shared checkpoint folder.  Stops after ``max_iter`` rounds or when the
-    largest change of an imputed cell is below ``tol`` times the largest
-    observed magnitude.
-    """
-
-    def __init__(self, cols: list[str], max_iter: int = 20, tol: float = 1e-3, alpha: float = 1.0,
-                 key: str = "row_id"):
-        self.cols, self.max_iter, self.tol, self.alpha, self.key = list(cols), max_iter, tol, alpha, key
-
-    def fit_transform(self, df: DataFrame) -> tuple[DataFrame, list[dict]]:
-        import numpy as np
-        from ..session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(df.sparkSession)
-        cols = self.cols
-        base = df.select(self.key, *[F.col(c).cast("double").alias(c) for c in cols])
-        prof = base.agg(*[F.count(F.lit(1)).alias("_n")] +
-                        [(F.count(F.lit(1)) - F.count(c)).alias(f"_m{i}") for i, c in enumerate(cols)] +
-                        [F.max(F.abs(c)).alias(f"_a{i}") for i, c in enumerate(cols)]).first()
-        incomplete = sorted([c for i, c in enumerate(cols) if prof[f"_m{i}"] > 0],
-                            key=lambda c: (prof[f"_m{cols.index(c)}"], cols.index(c)))
-        scale = max((prof[f"_a{i}"] or 0.0) for i in range(len(cols))) or 1.0
-        med = MedianImputer(cols).fit(base)
-        self.start = {c: (med.fills[c] if med.fills[c] is not None else 0.0) for c in cols}
-        self.steps = []  # (column, predictors, coefficients) in fitted order
-        cur = self._start(base).checkpoint()
-        history = []
-        for it in range(self.max_iter):
-            prev = cur
-            for c in incomplete:
-                xs = [x for x in cols if x != c]
-                obs = cur.where(~F.col(f"_miss_{c}"))
-                terms = [F.lit(1.0)] + [F.col(x) for x in xs]
-                aggs = [F.sum(a * b).alias(f"_g{i}_{j}") for i, a in enumerate(terms)
-                        for j, b in enumerate(terms) if j >= i]
-                aggs += [F.sum(a * F.col(c)).alias(f"_h{i}") for i, a in enumerate(terms)]
-                row = obs.agg(*aggs).first()
-                m = len(terms)
-                g = np.zeros((m, m))
-                for i in range(m):
-                    for j in range(i, m):
-                        g[i, j] = g[j, i] = row[f"_g{i}_{j}"] or 0.0
-                h = np.array([row[f"_h{i}"] or 0.0 for i in range(m)])
-                reg = self.alpha * np.eye(m)
-                reg[0, 0] = 0.0  # no penalty on the intercept
-                beta = np.linalg.solve(g + reg + 1e-12 * np.eye(m), h)
-                self.steps.append((c, xs, [float(b) for b in beta]))
-                cur = self._step(cur, c, xs, beta)
-            cur = cur.checkpoint()
-            delta = cur.alias("n").join(prev.alias("p"), self.key).agg(
-                F.max(F.greatest(*[F.abs(F.col(f"n.{c}") - F.col(f"p.{c}")) for c in incomplete]))
-                .alias("d")).first()["d"] if incomplete else 0.0
-            history.append({"round": it + 1, "max_change": float(delta or 0.0)})
-            if (delta or 0.0) < self.tol * scale:
-                break
-        return cur.drop(*[f"_miss_{c}" for c in cols]), history
-
-    def _start(self, df: DataFrame) -> DataFrame:
-        return df.select(self.key, *[F.col(c).isNull().alias(f"_miss_{c}") for c in self.cols],
-                         *[F.coalesce(F.col(c).cast("double"), F.lit(self.start[c])).alias(c) for c in self.cols])
-
-    @staticmethod
-    def _step(cur: DataFrame, c: str, xs: list[str], beta) -> DataFrame:
-        pred = sum((F.col(x) * float(b) for x, b in zip(xs, beta[1:])), F.lit(float(beta[0])))
-        return cur.withColumn(c, F.when(F.col(f"_miss_{c}"), pred).otherwise(F.col(c)))
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Impute new rows (e.g. the test split) with the fitted chain: the train
-        medians first, then every recorded regression in the order it was fitted.
-        A pure projection chain: no job, no shuffle."""
-        cur = self._start(df)
-        for c, xs, beta in self.steps:
-            cur = self._step(cur, c, xs, beta)
-        return cur.drop(*[f"_miss_{c}" for c in self.cols])

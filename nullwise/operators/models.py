@@ -1,4 +1,4 @@
-"""Model zoo on MLlib (L1-L21) and model-based selection.
+"""Model zoo on MLlib (L1-L21) and model-based selection (X4, X6; X1-X3 are in ``stepwise``).
 
 Every model is an MLlib estimator over a vector column; data never leaves
 the executors except fitted parameters.  Where MLlib lacks a piece the
@@ -22,14 +22,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
-                                       MultilayerPerceptronClassifier, RandomForestClassifier)
-from pyspark.ml.feature import VectorAssembler, VectorSlicer
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from .network import fit_network, hidden_features
 
 MAX_DEPTH = 30  # MLlib's limit stands in for "unlimited"
 
@@ -213,55 +213,21 @@ def rbf_classifier(train: DataFrame, label: str, cols: list[str], C: float = 1.0
     return fm
 
 
-def mlp_hidden(train: DataFrame, label: str, n_features: int, hidden=(64, 64), max_iter: int = 20,
-               features="features", seed=42):
-    """L15 part 1: a sigmoid MLP; its fitted weights are returned flat."""
-    k = _n_classes(train, label)
-    mlp = MultilayerPerceptronClassifier(featuresCol=features, labelCol=label, seed=seed, maxIter=max_iter,
-                                         layers=[n_features, *hidden, k], blockSize=32)
-    return mlp.fit(_label_double(train, label)), [n_features, *hidden, k]
-
-
-def hidden_features(df: DataFrame, model, layers: list[int], features="features", out="hidden") -> DataFrame:
-    """L15 part 2: last hidden layer activations (sigmoid, as MLlib's MLP) from the
-    fitted weights, one array column per layer so each expression stays small."""
-    w = np.asarray(model.weights.toArray())
-    cur = df.withColumn("_h0", vector_to_array(F.col(features)))
-    pos = 0
-    n_hidden = len(layers) - 2
-    for li in range(n_hidden):
-        n_in, n_out = layers[li], layers[li + 1]
-        # MLlib stores each layer as W (n_out x n_in, column-major) then the bias
-        mat = w[pos:pos + n_in * n_out].reshape(n_in, n_out)
-        bias = w[pos + n_in * n_out: pos + n_in * n_out + n_out]
-        pos += n_in * n_out + n_out
-        src = F.col(f"_h{li}")
-        units = []
-        for j in range(n_out):
-            lin = sum((src[i] * float(mat[i, j]) for i in range(n_in)), F.lit(float(bias[j])))
-            units.append(1.0 / (1.0 + F.exp(-lin)))
-        cur = cur.withColumn(f"_h{li + 1}", F.array(*units))
-    cur = cur.withColumn(out, array_to_vector(F.col(f"_h{n_hidden}")))
-    return cur.drop(*[f"_h{i}" for i in range(n_hidden + 1)])
-
-
-def neural_forest(train: DataFrame, label: str, n_features: int, n_trees: int = 100, hidden=(64, 64),
+def neural_forest(train: DataFrame, label: str, n_features: int, n_trees: int = 200, hidden=(64, 64),
                   features="features", seed=42):
-    """MLP hidden layer as features for a forest."""
-    mlp, layers = mlp_hidden(train, label, n_features, hidden, features=features, seed=seed)
-    h = hidden_features(train, mlp, layers, features)
-    rf = forest(h, label, n_trees, features="hidden", seed=seed)
-    return NeuralForest(mlp, layers, rf, features)
+    """The last hidden layer of a trained network as features for a forest."""
+    weights = fit_network(train, label, n_features, max(_n_classes(train, label), 2), hidden, features, seed=seed)
+    rf = forest(hidden_features(train, weights, features), label, n_trees, features="hidden", seed=seed)
+    return NeuralForest(weights, rf, features)
 
 
 @dataclass
 class NeuralForest:
-    mlp: object
-    layers: list
+    weights: list
     rf: Fitted
     features: str
     def predict(self, df):
-        return self.rf.predict(hidden_features(df, self.mlp, self.layers, self.features)).drop("hidden")
+        return self.rf.predict(hidden_features(df, self.weights, self.features)).drop("hidden")
 
 
 def append_scores(df: DataFrame, fitted, prefix: str, features="features", out: str | None = None) -> DataFrame:
@@ -323,16 +289,6 @@ def sweep(fit_fn, values: list, train: DataFrame, test: DataFrame, label: str,
         return list(ex.map(one, values))
 
 
-def cv_accuracy(fit_fn, df: DataFrame, label: str, fold_col: str = "fold", k: int = 5) -> float:
-    """Mean accuracy over stratified folds (fold ids from ``assign_folds``)."""
-    accs = []
-    for f in range(k):
-        tr, te = df.where(F.col(fold_col) != f), df.where(F.col(fold_col) == f)
-        p = fit_fn(tr).predict(te)
-        accs.append(p.agg(F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("a")).first()["a"])
-    return float(np.mean(accs))
-
-
 def importance_rank(fitted: Fitted, names: list[str], top: int = 20) -> list[tuple[str, float]]:
     """Forest importances zipped with names, top ``top``."""
     imp = fitted.model.featureImportances.toArray()
@@ -348,62 +304,6 @@ def l1_rank(train: DataFrame, label: str, names: list[str], C: float = 0.1) -> l
     return [(names[i], float(coef[i])) for i in order if coef[i] > 0]
 
 
-def forward_select(df: DataFrame, label: str, names: list[str], n: int, fold_col: str = "fold",
-                   parallelism: int = 4, start: list[str] | None = None) -> list[str]:
-    """Greedy forward selection by CV accuracy of a logistic model.
-
-    Candidates of one step are scored concurrently over the cached vector
-    column; the first maximum wins.
-    """
-    chosen = list(start or [])
-    idx = {c: i for i, c in enumerate(names)}
-    base = df.select(label, fold_col, "features").cache()
-    try:
-        while len(chosen) < n:
-            rest = [c for c in names if c not in chosen]
-            def score(c):
-                cols = chosen + [c]
-                sl = VectorSlicer(inputCol="features", outputCol="_sel", indices=[idx[x] for x in cols])
-                d = sl.transform(base)
-                return cv_accuracy(lambda tr: logistic(tr, label, features="_sel"), d, label, fold_col)
-            with ThreadPoolExecutor(max_workers=parallelism) as ex:
-                scores = list(ex.map(score, rest))
-            best = max(range(len(rest)), key=lambda i: (scores[i], -i))
-            chosen.append(rest[best])
-    finally:
-        base.unpersist()
-    return chosen
-
-
-def backward_select(df: DataFrame, label: str, names: list[str], start: list[str], n: int,
-                    fold_col: str = "fold", parallelism: int = 4) -> list[str]:
-    """Greedy backward elimination down to ``n`` features."""
-    chosen = list(start)
-    idx = {c: i for i, c in enumerate(names)}
-    base = df.select(label, fold_col, "features").cache()
-    try:
-        while len(chosen) > n:
-            def score(c):
-                cols = [x for x in chosen if x != c]
-                sl = VectorSlicer(inputCol="features", outputCol="_sel", indices=[idx[x] for x in cols])
-                return cv_accuracy(lambda tr: logistic(tr, label, features="_sel"), sl.transform(base),
-                                   label, fold_col)
-            with ThreadPoolExecutor(max_workers=parallelism) as ex:
-                scores = list(ex.map(score, chosen))
-            best = max(range(len(chosen)), key=lambda i: (scores[i], -i))
-            chosen.pop(best)
-    finally:
-        base.unpersist()
-    return chosen
-
-
-def forward_backward(df: DataFrame, label: str, names: list[str], fold_col: str = "fold") -> list[str]:
-    """Forward to min(20, p/2), then backward to max(5, half of that)."""
-    up = min(20, len(names) // 2) or 1
-    fw = forward_select(df, label, names, up, fold_col)
-    return backward_select(df, label, names, fw, max(5, up // 2) if up >= 5 else up, fold_col)
-
-
 # --------------------------------------------------------------------------- L16
 @dataclass
 class SplineLogistic:

@@ -10,15 +10,12 @@ third of all rows sends k rows per task, not the class.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .block_search import nearest_rows
 from .impute import MeanImputer
 
-MAX_BANDS = 4096
-
 
 def _array_centres(df: DataFrame, label: str, vec: str, dim: int) -> DataFrame:
     return df.groupBy(label).agg(
@@ -64,21 +61,13 @@ def cap_examples(examples: DataFrame, n: int, label: str = "label") -> DataFrame
     return examples.orderBy(label, "rank").limit(n)
 
 
-def _dist_to(vec_col, other):
-    """Euclidean distance between two array<double> columns."""
-    sq = F.aggregate(F.zip_with(vec_col, other, lambda a, b: (a - b) * (a - b)), F.lit(0.0),
-                     lambda acc, x: acc + x)
-    return F.sqrt(sq)
-
-
 def knn_classify(train: DataFrame, test: DataFrame, k: int = 5, vec: str = "vec",
-                 label: str = "label", key: str = "row_id", band_rows: int = 2000,
-                 digits: int = 9) -> DataFrame:
+                 label: str = "label", key: str = "row_id", digits: int = 9, rows_per_block: int | None = None) -> DataFrame:
     """Exact k-nearest-neighbour vote (uniform weights, ties to the smaller label).
 
-    Returns (row_id, prediction, votes); the search is ``knn_neighbours``.
+    Returns (row_id, prediction, votes); the search is ``nearest_rows``.
     """
-    return knn_votes(knn_neighbours(train, test, k, vec, label, key, band_rows, digits), k, key)
+    return knn_votes(nearest_rows(train, test, k, vec, label, key, digits, rows_per_block), k, key)
 
 
 def knn_votes(nb: DataFrame, k: int, key: str = "row_id") -> DataFrame:
@@ -90,96 +79,11 @@ def knn_votes(nb: DataFrame, k: int, key: str = "row_id") -> DataFrame:
     return best.select(key, F.col("_y").alias("prediction"), F.col("votes").cast("long"))
 
 
-def knn_neighbours(train: DataFrame, test: DataFrame, k: int = 5, vec: str = "vec",
-                   label: str = "label", key: str = "row_id", band_rows: int = 2000,
-                   digits: int = 9) -> DataFrame:
-    """Exact k nearest train rows of every test row:
-    (row_id, rank, neighbour_id, neighbour_label, dist).
-
-    No all-pairs product: every row gets r = its distance to the train centre;
-    by the triangle inequality a train row y with |r_y - r_q| > R is farther
-    than R from the query q.  Train rows are cut into equal-count bands of r
-    (a quantile sketch), each query joins only the bands that meet
-    [r_q - R, r_q + R], and a query whose k-th candidate is closer than R is
-    final.  R starts, per query, at the k-th distance among the rows of its
-    own band (an upper bound, so most queries finish in one round); the
-    others double R and go round again (lineage cut by a reliable
-    checkpoint), so the answer is exact.  Distances are rounded to ``digits`` places and ties
-    broken by the train key.
-    """
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(train.sparkSession)
-    dim = train.select(F.size(vec).alias("d")).first()["d"]
-    centre = train.agg(F.array(*[F.avg(F.col(vec)[i].cast("double")) for i in range(dim)]).alias("c")).first()["c"]
-    c_lit = F.array(*[F.lit(float(v)) for v in centre])
-    to_d = lambda c: F.transform(F.col(c), lambda x: x.cast("double"))
-    tr = train.select(F.col(key).alias("_tid"), F.col(label).alias("_y"), to_d(vec).alias("_tv"))
-    tr = tr.withColumn("_tr", _dist_to(F.col("_tv"), c_lit))
-    te = test.select(F.col(key).alias("_qid"), to_d(vec).alias("_qv"))
-    te = te.withColumn("_qr", _dist_to(F.col("_qv"), c_lit))
-    st = tr.agg(F.count(F.lit(1)).alias("n"), F.min("_tr").alias("lo"), F.max("_tr").alias("hi")).first()
-    n_tr, lo, hi = st["n"], st["lo"], st["hi"]
-    # the cut list is a literal in the plan: at most MAX_BANDS cuts, so bands grow
-    # past band_rows rows only when the train side passes band_rows * MAX_BANDS
-    nb = min(MAX_BANDS, max(1, math.ceil(n_tr / band_rows)))
-    cuts = []
-    if nb > 1:
-        cuts = tr.agg(F.percentile_approx("_tr", [i / nb for i in range(1, nb)], 10000).alias("c")).first()["c"]
-    cut_lit = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-    band_of = lambda x: F.size(F.filter(cut_lit, lambda c: c < x))
-    tr_b = tr.withColumn("_band", band_of(F.col("_tr")))
-    need = min(k, n_tr)
-    radius = max((hi - lo) / nb, 1e-9)
-    eps = 10.0 ** -digits
-    # seed: each query scores only the train rows of its own band.  Its k-th
-    # distance there bounds the true k-th neighbour distance from above, so a
-    # search with that radius (rounding slack added) is final in one round.
-    # Queries whose band holds fewer than k rows take the doubling radius.
-    seed = (te.withColumn("_band", band_of(F.col("_qr"))).join(tr_b.select("_band", "_tv"), "_band")
-            .select("_qid", F.round(_dist_to(F.col("_qv"), F.col("_tv")), digits).alias("_d")))
-    ws = Window.partitionBy("_qid").orderBy("_d")
-    bound = (seed.withColumn("_rk", F.row_number().over(ws)).where(F.col("_rk") <= need)
-             .groupBy("_qid").agg(F.count(F.lit(1)).alias("_n"), F.max("_d").alias("_ub"))
-             .where(F.col("_n") >= need)
-             .select("_qid", (F.col("_ub") * (1.0 + 1e-9) + 2.0 * eps).alias("_R0")))
-    pending = te.join(bound, "_qid", "left").checkpoint()
-    done = []
-    while True:
-        q = pending.withColumn("_R", F.coalesce(F.col("_R0"), F.lit(radius)))
-        q = q.withColumn("_band", F.explode(F.sequence(band_of(F.col("_qr") - F.col("_R")),
-                                                       band_of(F.col("_qr") + F.col("_R")))))
-        cand = (q.join(tr_b, "_band").where(F.abs(F.col("_tr") - F.col("_qr")) <= F.col("_R"))
-                .select("_qid", "_R", "_qr", "_tid", "_y",
-                        F.round(_dist_to(F.col("_qv"), F.col("_tv")), digits).alias("_d")))
-        w = Window.partitionBy("_qid").orderBy("_d", "_tid")
-        # at most k rows per pending query; checkpointed so the loop's lineage stays short
-        top = (cand.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= need)
-               .select("_qid", "_qr", "_R", "_tid", "_y", "_d", "_rk").checkpoint())
-        full = F.col("_R") >= F.greatest(F.abs(F.col("_qr") - F.lit(lo)), F.abs(F.col("_qr") - F.lit(hi)))
-        stat = (top.groupBy("_qid", "_qr", "_R").agg(F.count(F.lit(1)).alias("_n"), F.max("_d").alias("_kd"))
-                .withColumn("_ok", full | ((F.col("_n") >= need) & (F.col("_kd") + eps < F.col("_R")))))
-        ok = stat.where("_ok").select("_qid")
-        done.append(top.join(ok, "_qid", "left_semi").select("_qid", "_rk", "_tid", "_y", "_d"))
-        pending = pending.join(ok, "_qid", "left_anti")
-        # queries without any candidate yet are also pending (not in stat)
-        if pending.limit(1).count() == 0:
-            break
-        pending = pending.checkpoint()
-        radius *= 2.0
-    # every query is final in exactly one round, so the union has its k rows once
-    nb = done[0]
-    for d in done[1:]:
-        nb = nb.unionByName(d)
-    return nb.select(F.col("_qid").alias(key), F.col("_rk").cast("int").alias("rank"),
-                     F.col("_tid").alias("neighbour_id"), F.col("_y").alias("neighbour_label"),
-                     F.col("_d").alias("dist"))
-
-
 def knn_sweep(nb: DataFrame, truth: DataFrame, ks: list[int], key: str = "row_id",
               label: str = "label") -> DataFrame:
     """L18 for the neighbour count: test accuracy for every k from one search.
 
-    ``nb`` holds the first max(ks) neighbours (``knn_neighbours``); each
+    ``nb`` holds the first max(ks) neighbours (``nearest_rows``); each
     neighbour row votes for every k at least its rank, so all k are answered
     by one grouped count.  Returns (n_neighbors, test_accuracy, best), best =
     first maximum in ascending k.

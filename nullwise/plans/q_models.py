@@ -19,6 +19,8 @@ from ..operators import metrics as V
 from ..operators import models as L
 from ..operators import prompts as G
 from ..operators import split as T
+from ..operators import stepwise as SW
+from ..operators.chained import ChainedImputer
 from ..sources import fixtures as X
 from .cases import SEED, TARGETS, TEST_FRAC
 from .registry import query
@@ -142,20 +144,31 @@ def q_l1_rank(spark, sf):
                                  "feature string, importance double, rank int")
 
 
+def _selected(spark, sf, select):
+    """(names, what ``select`` takes) over the folded training rows (5 folds)."""
+    train, _, names = prepared(spark, sf)
+    folded = T.assign_folds(train.select("row_id", "label", "features"), "label", 5, SEED)
+    return names, select(folded, "label", names)
+
+
 @query("forward_select")
 def q_forward_select(spark, sf):
-    train, test, names = prepared(spark, sf)
-    folded = T.assign_folds(train, "label", 5, SEED)
-    chosen = L.forward_select(folded, "label", names, min(15, len(names) // 2), parallelism=8)
+    """Greedy forward selection by 5-fold accuracy to min(15, p / 2) features, in the order taken."""
+    _, chosen = _selected(spark, sf, SW.forward_select)
     return spark.createDataFrame([(i + 1, c) for i, c in enumerate(chosen)], "step int, feature string")
 
 
 @query("backward_select")
 def q_backward_select(spark, sf):
-    """Greedy backward elimination by 5-fold CV accuracy from all features to max(5, half)."""
-    train, test, names = prepared(spark, sf)
-    folded = T.assign_folds(train, "label", 5, SEED)
-    kept = L.backward_select(folded, "label", names, names, max(5, len(names) // 2), parallelism=8)
+    """Greedy backward elimination by 5-fold accuracy from all features to max(5, half)."""
+    names, kept = _selected(spark, sf, SW.backward_select)
+    return spark.createDataFrame([(c, c in kept) for c in names], "feature string, kept boolean")
+
+
+@query("forward_backward")
+def q_forward_backward(spark, sf):
+    """Forward to min(20, p / 2), then backward to max(5, half of those)."""
+    names, kept = _selected(spark, sf, SW.forward_backward)
     return spark.createDataFrame([(c, c in kept) for c in names], "feature string, kept boolean")
 
 
@@ -192,8 +205,8 @@ def q_compare_imputers(spark, sf):
     is_train = F.col("split") == "train"
     train, test = split.where(is_train), split.where(~is_train)
     med = I.MedianImputer(names).fit(train)
-    knn_all = KnnImputer(names, k=5, band_rows=200).fit(train).transform(split).join(lab, "row_id")
-    chained = I.ChainedImputer(names, max_iter=5, tol=1e-3)
+    knn_all = KnnImputer(names, k=5).fit(train).transform(split).join(lab, "row_id")
+    chained = ChainedImputer(names, max_iter=20, tol=1e-3)
     ch_train, _ = chained.fit_transform(train)
     variants = {"median": (med.transform(train), med.transform(test)),
                 "knn": (knn_all.where(is_train), knn_all.where(~is_train)),

@@ -10,6 +10,7 @@ from ..operators import encode as E
 from ..operators import features as FT
 from ..operators import neighbours as N
 from ..operators import prompts as G
+from ..operators.block_search import nearest_rows
 from ..sources import fixtures as X
 from .cases import FEATURES, MULTI_CLASSES, NUM
 from .q_prepare import split_sql
@@ -329,7 +330,7 @@ def q_knn_classify(spark, sf):
     e = e.join(s.select("row_id", "split"), "row_id")
     train = e.where("split = 'train'").select("row_id", "label", F.col("embedding").alias("vec"))
     test = e.where("split = 'test'").select("row_id", F.col("embedding").alias("vec"))
-    return N.knn_classify(train, test, 5, "vec", "label", band_rows=50)
+    return N.knn_classify(train, test, 5, "vec", "label")
 
 
 # --------------------------------------------------------------------------- L18 (neighbour count)
@@ -360,5 +361,5 @@ def q_sweep_knn_k(spark, sf):
     e = e.join(s.select("row_id", "split"), "row_id")
     train = e.where("split = 'train'").select("row_id", "label", F.col("embedding").alias("vec"))
     test = e.where("split = 'test'").select("row_id", "label", F.col("embedding").alias("vec"))
-    nb = N.knn_neighbours(train, test.select("row_id", "vec"), max(KNN_K_RANGE), "vec", "label", band_rows=50)
+    nb = nearest_rows(train, test.select("row_id", "vec"), max(KNN_K_RANGE), "vec", "label")
     return N.knn_sweep(nb, test, KNN_K_RANGE)

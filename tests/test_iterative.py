@@ -1,14 +1,32 @@
 """Iterative operators against small NumPy solutions: chained imputation and
-the exact banded k-NN vote."""
+the exact k-NN vote."""
 
 import numpy as np
 import pandas as pd
 
-from nullwise.operators.impute import ChainedImputer
+from nullwise.operators.chained import ChainedImputer, bayesian_ridge
 from nullwise.operators.neighbours import knn_classify
 
 
-def _numpy_chained(x, miss, rounds, alpha=1.0):
+def _plain_bayesian_ridge(a, y):
+    """Evidence updates with explicit inverses; returns a prediction function."""
+    am, ym = a.mean(axis=0), y.mean()
+    z, t = a - am, y - ym
+    alpha, lam, w = 1 / (t.var() + np.finfo(float).eps), 1.0, None
+    for _ in range(300):
+        inverse = np.linalg.inv(alpha * z.T @ z + lam * np.eye(z.shape[1]))
+        new = alpha * inverse @ z.T @ t
+        gamma = z.shape[1] - lam * np.trace(inverse)
+        lam = (gamma + 2e-6) / (new @ new + 2e-6)
+        alpha = (len(t) - gamma + 2e-6) / (((t - z @ new) ** 2).sum() + 2e-6)
+        if w is not None and np.abs(w - new).sum() < 1e-3:
+            break
+        w = new
+    w = alpha * np.linalg.inv(alpha * z.T @ z + lam * np.eye(z.shape[1])) @ z.T @ t
+    return lambda v: ym + (v - am) @ w
+
+
+def _numpy_chained(x, miss, rounds):
     cur = x.copy()
     med = np.nanmedian(np.where(miss, np.nan, x), axis=0)
     cur[miss] = np.take(med, np.where(miss)[1])
@@ -17,11 +35,8 @@ def _numpy_chained(x, miss, rounds, alpha=1.0):
         for j in order:
             others = [i for i in range(x.shape[1]) if i != j]
             obs = ~miss[:, j]
-            a = np.column_stack([np.ones(obs.sum()), cur[obs][:, others]])
-            reg = alpha * np.eye(a.shape[1]); reg[0, 0] = 0
-            beta = np.linalg.solve(a.T @ a + reg + 1e-12 * np.eye(a.shape[1]), a.T @ cur[obs, j])
-            pred = np.column_stack([np.ones(len(cur)), cur[:, others]]) @ beta
-            cur[miss[:, j], j] = pred[miss[:, j]]
+            predict = _plain_bayesian_ridge(cur[obs][:, others], cur[obs, j])
+            cur[miss[:, j], j] = predict(cur[miss[:, j]][:, others])
     return cur
 
 
@@ -39,10 +54,30 @@ def test_chained_matches_numpy(spark):
     out, hist = ChainedImputer(["a", "b", "c"], max_iter=3, tol=0.0).fit_transform(df)
     got = out.toPandas().sort_values("row_id")[["a", "b", "c"]].to_numpy()
     exp = _numpy_chained(x, miss, len(hist))
-    assert np.allclose(got, exp, atol=1e-8)
+    assert np.allclose(got, exp, atol=1e-7)
     assert np.allclose(got[~miss], x[~miss])  # observed cells untouched
 
 
+def test_bayesian_ridge_equals_the_plain_one_far_from_zero():
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(400, 5)) * [1, 10, 0.1, 1000, 1] + [0, 5, -3, 1e5, 2]
+    y = a @ [1, 0.2, -3, 0.001, 0] + rng.normal(size=400) + 7
+    z = np.c_[a, y] - [0, 5, -3, 1e5, 2, 100]
+    b = bayesian_ridge(z.T @ z, z.sum(axis=0), 400.0)
+    b[0] += 100 - np.array([0, 5, -3, 1e5, 2]) @ b[1:]
+    assert np.allclose(b[0] + a @ b[1:], _plain_bayesian_ridge(a, y)(a), atol=1e-6)
+
+
+def test_chained_edge_cases(spark):
+    df = spark.createDataFrame([(1, 1.0, None), (2, 2.0, None)], "row_id long, a double, b double")
+    out, _ = ChainedImputer(["a", "b"]).fit_transform(df)
+    assert sorted(map(tuple, out.collect())) == [(1, 1.0, 0.0), (2, 2.0, 0.0)]
+    whole, history = ChainedImputer(["a"]).fit_transform(df)
+    assert sorted(map(tuple, whole.collect())) == [(1, 1.0), (2, 2.0)] and not history
+    empty, _ = ChainedImputer(["a", "b"]).fit_transform(df.where("row_id > 5"))
+    assert empty.collect() == []
+
+
 def test_knn_exact_against_brute_force(spark):
     rng = np.random.default_rng(9)
     tr = rng.normal(size=(300, 4)); te = rng.normal(size=(60, 4))
@@ -51,7 +86,7 @@ def test_knn_exact_against_brute_force(spark):
                                   "row_id long, label int, vec array<double>")
     test = spark.createDataFrame([(1000 + i, [float(v) for v in r]) for i, r in enumerate(te)],
                                  "row_id long, vec array<double>")
-    got = {r["row_id"]: r["prediction"] for r in knn_classify(train, test, 5, band_rows=20).collect()}
+    got = {r["row_id"]: r["prediction"] for r in knn_classify(train, test, 5, rows_per_block=20).collect()}
     for i, q in enumerate(te):
         d = np.round(np.sqrt(((tr - q) ** 2).sum(axis=1)), 9)
         idx = sorted(range(len(tr)), key=lambda j: (d[j], j))[:5]

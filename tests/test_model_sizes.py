@@ -10,8 +10,6 @@ WANT = {
     "fit_stack_refine": ("stack_refine", ("train", "label", 200), {}),
     "fit_neural_forest": ("neural_forest", ("train", "label", 40, 200), {"hidden": (64, 64)}),
     "fit_boosted_multi": ("boosted", ("train", "label", 100, 0.1, 3), {}),
-    "forward_select": ("forward_select", ("folded", "label", NAMES, 15), {"parallelism": 8}),
-    "backward_select": ("backward_select", ("folded", "label", NAMES, NAMES, 20), {"parallelism": 8}),
 }
 
 
@@ -25,7 +23,6 @@ def test_queries_run_the_sizes_of_the_survey(name, monkeypatch):
         raise Called(args, kwargs)
 
     monkeypatch.setattr(q_models, "prepared", lambda *a, **k: ("train", "test", NAMES))
-    monkeypatch.setattr(q_models.T, "assign_folds", lambda *a: "folded")
     monkeypatch.setattr(q_models.L, WANT[name][0], called)
     with pytest.raises(Called) as seen:
         QUERIES[name](None, None)
