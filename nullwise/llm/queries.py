@@ -4,10 +4,13 @@ production parameters, to the whole of its table."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import fingerprint, mixing
 from .common import read_table
 from .fertility import quality_rules
+from .hard_negatives import SQL as HARD_NEGATIVES_SQL
+from .hard_negatives import hard_negatives
 from .hnsw import embedding_dedup
 from .html_extract import extract_text
 from .langid import held_out_quarter, language_id
@@ -16,6 +19,7 @@ from .repack import pack_documents
 from .token_output import token_output
 from .toxicity import held_out_fifth, toxicity
 from .warc import warc_round_trip
+from .whitening import whiten
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -87,3 +91,16 @@ def op10_hnsw_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_minhash_fingerprints", fingerprint.SQL)
 def op11_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op12_embedding_whitening")
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whiten(vectors).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query("op13_hard_negatives", HARD_NEGATIVES_SQL)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved), F.col("id") % 100 == 0)
