@@ -50,6 +50,10 @@ BINS = 256
 _WIDTH = BINS + BINS // 16
 #: Shingles that one confirmation group holds besides the centre's (8 bytes each).
 GROUP_SHINGLES = 400_000
+#: Bits of the bitmap of documents that a confirmation needs (8 MB).
+MARKS = 1 << 26
+#: Uses of documents in pairs (40 bytes each) up to which their table is broadcast.
+USES = 400_000
 #: Members of a bucket that one medoid is chosen from.
 MEDOID_BLOCK = 16_384
 #: Members of a bucket in one block of the signature comparison, and members outside the first component in one.
@@ -195,23 +199,23 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFram
 
 
 def _bands(classes: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(key, id, n, band): one row per class and band."""
+    """(key, id): one row per class and band; the low bits of a key are the band's number."""
+    low = np.uint64((1 << (bands - 1).bit_length()) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                sig = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(-1, _WIDTH)[:, :bands * rows].reshape(-1, bands, rows)
-                key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), sig.shape[:2]).copy()
+                sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, _WIDTH)[:, :bands * rows].reshape(-1, bands, rows)
+                number = np.broadcast_to(np.arange(bands, dtype=np.uint64), sig.shape[:2])
+                key = number + np.uint64(1)
                 for k in range(rows):
                     key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k])
+                key = key & ~low | number
                 spread = np.repeat(np.arange(part.num_rows), bands)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), part.column(0).take(pa.array(spread)),
-                                                  part.column(1).take(pa.array(spread)),
-                                                  pa.array(np.tile(np.arange(bands, dtype=np.int32), part.num_rows))],
-                                                 names=["key", "id", "n", "band"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), part.column(0).take(pa.array(spread))], names=["key", "id"])
 
-    return classes.select("id", "n", "signature").mapInArrow(run, "key long, id long, n long, band int")
+    return classes.select("id", "signature").mapInArrow(run, "key long, id long")
 
 
 def _may_link(a: str, b: str, percent: int):
@@ -219,35 +223,44 @@ def _may_link(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _marked(ids: DataFrame) -> np.ndarray:
+    """A bitmap of MARKS bits, always of the same size, with the hash of every id set."""
+    at = F.pmod(F.xxhash64("id"), F.lit(MARKS))
+    words = ids.select(F.floor(at / 64).cast("int").alias("word"), F.shiftleft(F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")).alias("bit"))
+    table = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # MARKS / 64 rows at most
+    marks = np.zeros(MARKS // 64, np.int64)
+    marks[table["word"].to_numpy()] = table["bits"].to_numpy()
+    return marks
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
     """(u, v) of the pairs (a, b, nb) whose full sets are similar enough.
 
-    The sets are built from the texts of the documents that occur in pairs;
-    pairs of one centre a are dealt over groups of about GROUP_SHINGLES.
+    The sets are built from the texts of the documents that occur in pairs,
+    where the texts are read: a bitmap of hashed ids lets the others (and a
+    few per cent more once millions occur) go by.  Pairs of one centre a are
+    dealt over groups of about GROUP_SHINGLES.
     """
     load = pairs.groupBy("a").agg(F.ceil(F.sum("nb") / F.lit(GROUP_SHINGLES)).cast("int").alias("salts"))
     dealt = stored(pairs.join(load, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")), "dealt")
-    members = dealt.select(F.col("b").alias("id"), "a", "salt", F.lit(False).alias("centre"))
-    centres = dealt.select(F.col("a").alias("id"), "a", "salt", F.lit(True).alias("centre")).distinct()
-    uses = members.union(centres).groupBy("id").agg(F.collect_list(F.struct("a", "salt", "centre")).alias("uses"))
+    members = dealt.select(F.col("b").alias("use"), "a", "salt", F.lit(False).alias("centre"))
+    centres = dealt.select(F.col("a").alias("use"), "a", "salt", F.lit(True).alias("centre")).distinct()
+    uses = stored(members.union(centres), "uses")
+    marks = docs.sparkSession.sparkContext.broadcast(_marked(uses.select(F.col("use").alias("id"))))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
-    schema = "a long, salt int, centre boolean, id long, shingles binary"
-
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a", "salt", "centre", "id", "shingles"]
-        types = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
-        for part, found in text_slices(batches, "text"):
-            ids, uses_of = part.column(0).to_pylist(), part.column(2).to_pylist()
-            out, held = [], 0
-            for i, s, uses in zip(ids, shingle_sets(found, shingle), uses_of):
-                for use in uses if len(s) else ():
-                    out.append((use["a"], use["salt"], use["centre"], i, s.tobytes()))
-                    held += len(s) * 8
-                    if held > 16 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
-                        out, held = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = marks.value
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bits[at >> 6] >> (at & 63) & 1).astype(bool)))
+            for part, found in text_slices([batch], "text"):
+                full = shingle_sets(found, shingle)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in full], pa.binary())], names=["id", "shingles"])
+            pa.default_memory_pool().release_unused()
+
+    marked = texts.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(MARKS)).alias("at")).mapInArrow(sets, "id long, shingles binary")
+    used = marked.where(F.length("shingles") > 0).join(F.broadcast(uses) if uses.count() <= USES else uses, F.col("id") == F.col("use"))
 
     def similar(table: pa.Table) -> pa.Table:
         is_centre = np.array(table["centre"].to_pylist())
@@ -265,8 +278,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shin
             links.update(ids[i] for i, g in zip(members, good) if g)
         return pa.table({"u": pa.array([a] * len(links), pa.int64()), "v": pa.array(sorted(links), pa.int64())})
 
-    return (texts.join(uses, "id").select("id", "text", "uses").mapInArrow(expand, schema)
-            .groupBy("a", "salt").applyInArrow(similar, "u long, v long"))
+    return used.select("a", "salt", "centre", "id", "shingles").groupBy("a", "salt").applyInArrow(similar, "u long, v long")
 
 
 def _apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
@@ -397,10 +409,13 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                                                      F.first("signature").alias("signature")), "classes")
     nodes = classes.where(F.col("id").isNotNull())
     banded = _bands(nodes, bands, rows)
-    centres = banded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"), F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
-    shared = stored(banded.join(centres, "key").select("key", "id", "n", "band", F.col("c.id").alias("a"), F.col("c.n").alias("na")), "buckets")
-    stars = stored(shared.where(F.col("id") != F.col("a")).where(_may_link("n", "na", percent))
-                   .select("a", F.col("id").alias("b"), F.col("n").alias("nb")).distinct(), "stars")
+    centres = banded.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("key", "a")
+    band = F.col("key").bitwiseAND(F.lit((1 << (bands - 1).bit_length()) - 1)).cast("int")
+    shared = stored(banded.join(centres, "key").select("key", "id", band.alias("band"), "a"), "buckets")
+    sized = shared.where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")).distinct()
+    for end in ("a", "b"):
+        sized = sized.join(nodes.select(F.col("id").alias(end), F.col("n").alias(f"n{end}")), end)
+    stars = stored(sized.where(_may_link("nb", "na", percent)).select("a", "b", "nb"), "stars")
     tested, links, component = None, None, None
 
     def confirm(pairs: DataFrame) -> bool:
