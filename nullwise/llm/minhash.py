@@ -225,8 +225,8 @@ def _may_link(a: str, b: str, percent: int):
 
 def _marked(ids: DataFrame) -> np.ndarray:
     """A bitmap of MARKS bits, always of the same size, with the hash of every id set."""
-    at = F.pmod(F.xxhash64("id"), F.lit(MARKS))
-    words = ids.select(F.floor(at / 64).cast("int").alias("word"), F.shiftleft(F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")).alias("bit"))
+    places = ids.select(F.pmod(F.xxhash64("id"), F.lit(MARKS)).alias("at"))
+    words = places.select(F.expr("int(at div 64) as word"), F.expr("shiftleft(1L, int(at % 64)) as bit"))
     table = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # MARKS / 64 rows at most
     marks = np.zeros(MARKS // 64, np.int64)
     marks[table["word"].to_numpy()] = table["bits"].to_numpy()
