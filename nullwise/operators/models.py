@@ -4,14 +4,11 @@ Every model is an MLlib estimator over a vector column; data never leaves
 the executors except fitted parameters.  Where MLlib lacks a piece the
 source pipeline uses, it is composed from MLlib parts:
 
-* multi-class gradient boosting: one binary GBT per class, probabilities
-  normalised (MLlib's GBT is binary only; OneVsRest gives no probabilities);
-* AdaBoost (SAMME): a driver loop of weighted depth-1 trees; the weights
-  are a column updated by an expression, and the lineage is cut with a
-  reliable ``checkpoint()`` every few rounds;
+* gradient boosting and AdaBoost are ``boosting`` (histograms, all classes at
+  once, missing cells); MLlib's GBT is binary only and has no penalty;
 * RBF kernel classifier: random Fourier features (column expressions)
   followed by a linear model;
-* extra trees: a forest without bootstrap (MLlib thresholds are not random).
+* extra trees are ``extra_trees`` (MLlib's cuts are not random).
 """
 
 from __future__ import annotations
@@ -22,13 +19,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from .boosting import Spec, fit_adaboost, fit_boosting
+from .extra_trees import fit_extra_trees
 from .network import fit_network, hidden_features
 
 MAX_DEPTH = 30  # MLlib's limit stands in for "unlimited"
@@ -62,43 +60,6 @@ class Fitted:
                 .drop("rawPrediction", "probability"))
 
 
-@dataclass
-class OvrBoosted:
-    models: list
-    def predict(self, df: DataFrame) -> DataFrame:
-        cur = df
-        for k, m in enumerate(self.models):
-            cur = (m.transform(cur).withColumn(f"_p{k}", vector_to_array("probability")[1])
-                   .drop("rawPrediction", "probability", "prediction"))
-        ps = [F.col(f"_p{k}") for k in range(len(self.models))]
-        total = sum(ps[1:], ps[0])
-        probs = F.array(*[F.coalesce(F.try_divide(p, total), F.lit(1.0 / len(ps))) for p in ps])
-        best = F.array_position(probs, F.array_max(probs)) - 1
-        return (cur.withColumn("probs", probs).withColumn("prediction", best.cast("int"))
-                .drop(*[f"_p{k}" for k in range(len(ps))]))
-
-
-@dataclass
-class AdaBoostModel:
-    stumps: list
-    alphas: list
-    n_classes: int
-    def predict(self, df: DataFrame) -> DataFrame:
-        score = [F.lit(0.0)] * self.n_classes
-        cur = df
-        for t, (m, a) in enumerate(zip(self.stumps, self.alphas)):
-            cur = m.transform(cur).withColumnRenamed("prediction", f"_h{t}").drop("rawPrediction", "probability")
-            score = [s + F.when(F.col(f"_h{t}") == k, F.lit(a)).otherwise(F.lit(0.0)) for k, s in enumerate(score)]
-        # SAMME probabilities: softmax of the class scores / (K - 1)
-        mx = F.greatest(*score) if len(score) > 1 else score[0]
-        ex = [F.exp((s - mx) / max(self.n_classes - 1, 1)) for s in score]
-        tot = sum(ex[1:], ex[0])
-        probs = F.array(*[e / tot for e in ex])
-        best = F.array_position(probs, F.array_max(probs)) - 1
-        return (cur.withColumn("probs", probs).withColumn("prediction", best.cast("int"))
-                .drop(*[f"_h{t}" for t in range(len(self.stumps))]))
-
-
 @dataclass
 class FourierModel:
     """RBF kernel approximation: z = sqrt(2/D) cos(x W + b), then a linear model."""
@@ -138,59 +99,22 @@ def tree(train: DataFrame, label: str, max_depth: int | None = None, features="f
 
 def forest(train: DataFrame, label: str, n_trees: int = 100, max_depth: int | None = None,
            bootstrap: bool = True, features="features", seed=42, max_bins: int = 32) -> Fitted:
-    """L5 (and L11 with ``bootstrap=False``): random forest, sqrt features per split."""
+    """Random forest, sqrt features per split."""
     rf = RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=n_trees,
                                 maxDepth=min(max_depth or MAX_DEPTH, MAX_DEPTH), seed=seed,
                                 featureSubsetStrategy="sqrt", bootstrap=bootstrap, maxBins=max_bins)
     return Fitted(rf.fit(_label_double(train, label)), features)
 
 
-def extra_forest(train: DataFrame, label: str, n_trees: int = 300, features="features", seed=42) -> Fitted:
-    """No bootstrap, coarse bins (documented difference: thresholds not random)."""
-    return forest(train, label, n_trees, None, bootstrap=False, features=features, seed=seed, max_bins=16)
-
-
-def boosted(train: DataFrame, label: str, n_rounds: int = 100, rate: float = 0.1, depth: int = 3,
-            features="features", seed=42):
-    """Gradient boosting; one binary model per class beyond two classes."""
-    k = _n_classes(train, label)
-    def gbt(lbl):
-        return GBTClassifier(featuresCol=features, labelCol=lbl, maxIter=n_rounds, stepSize=rate,
-                             maxDepth=depth, seed=seed)
-    if k <= 2:
-        return Fitted(gbt(label).fit(_label_double(train, label)), features)
-    models = []
-    for c in range(k):
-        d = train.withColumn("_y", (F.col(label) == c).cast("double"))
-        models.append(gbt("_y").fit(d))
-    return OvrBoosted(models)
-
-
-def adaboost(train: DataFrame, label: str, n_rounds: int = 50, rate: float = 1.0,
-             features="features", checkpoint_every: int = 10, seed=42) -> AdaBoostModel:
-    """SAMME with depth-1 trees; weights live in a column."""
-    ensure_checkpoint_dir(train.sparkSession)
-    k = _n_classes(train, label)
-    cur = _label_double(train, label).select(label, features).withColumn("_w", F.lit(1.0))
-    stumps, alphas = [], []
-    for t in range(n_rounds):
-        st = DecisionTreeClassifier(featuresCol=features, labelCol=label, weightCol="_w",
-                                    maxDepth=1, seed=seed).fit(cur)
-        pred = st.transform(cur).withColumn("_miss", (F.col("prediction") != F.col(label)).cast("double"))
-        row = pred.agg((F.sum(F.col("_w") * F.col("_miss")) / F.sum("_w")).alias("e")).first()
-        err = float(row["e"] or 0.0)
-        if err >= 1.0 - 1.0 / k:
-            break
-        err = max(err, 1e-10)
-        alpha = rate * (math.log((1 - err) / err) + math.log(k - 1))
-        stumps.append(st)
-        alphas.append(alpha)
-        if err <= 1e-10:
-            break
-        cur = pred.select(label, features, (F.col("_w") * F.exp(F.lit(alpha) * F.col("_miss"))).alias("_w"))
-        if (t + 1) % checkpoint_every == 0:
-            cur = cur.checkpoint()  # reliable checkpoint in the shared folder: survives lost executors
-    return AdaBoostModel(stumps, alphas, k)
+def boosted(train: DataFrame, label: str, n_rounds: int = 100, rate: float = 0.1, depth: int = 3, features="features"):
+    """Gradient boosting with one tree per class and round (one for two classes), leaves of any size."""
+    return fit_boosting(train, label, Spec(n_rounds, rate, depth), features)
+
+
+def hist_boosted(train: DataFrame, label: str, n_rounds: int = 100, rate: float = 0.1, depth: int | None = None, l2: float = 0.0,
+                 features="features"):
+    """Boosting with second derivatives, 31 leaves of at least 20 rows, a penalty on leaves, missing cells as they are."""
+    return fit_boosting(train, label, Spec(n_rounds, rate, depth, leaves=31, least=20, l2=l2, least_squares=False), features)
 
 
 def rbf_classifier(train: DataFrame, label: str, cols: list[str], C: float = 1.0, gamma: float | None = None,
@@ -252,7 +176,7 @@ class StackModel:
 def stack_linear(train: DataFrame, label: str, n_trees: int = 100, seed: int = 42) -> StackModel:
     """Forest + boosting probabilities (in-sample) -> logistic regression."""
     m1 = forest(train, label, n_trees, seed=seed)
-    m2 = boosted(train, label, 100, 0.1, 3, seed=seed)
+    m2 = boosted(train, label, 100, 0.1, 3)
     z = append_scores(append_scores(train, m1, "m0", out="_stack"), m2, "m1", features="_stack", out="_stack")
     meta = logistic(z, label, C=1.0, features="_stack")
     return StackModel([m1, m2], meta)

@@ -43,6 +43,9 @@ def prepared(spark, sf, target: str = "target_bin", missing: str = "median"):
     """(train, test, feature names) with a ``features`` vector and an int label."""
     split, names = split_encoded(spark, sf, target)
     train, test = split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
+    if missing == "native":  # missing cells stay, the features are an array of the raw columns
+        cells = F.array(*[F.col(c).cast("double") for c in names]).alias("features")
+        return (*(d.select("row_id", "label", cells).persist(StorageLevel.MEMORY_AND_DISK) for d in (train, test)), names)
     if missing == "median":
         m = I.MedianImputer(names).fit(train)
         train, test = m.transform(train), m.transform(test)
@@ -79,7 +82,7 @@ def q_flagship(spark, sf):
 def _model_query(name, fit):
     @query(name)
     def q(spark, sf):
-        train, test, names = prepared(spark, sf, missing="indicator" if name == "fit_hist_boosted" else "median")
+        train, test, names = prepared(spark, sf, missing="native" if name.startswith("fit_hist_boosted") else "median")
         f = fit(train, names)
         return _preds(f, train, test)
     q.__name__ = f"q_{name}"
@@ -91,9 +94,11 @@ _model_query("fit_l1_logistic", lambda tr, n: L.logistic(tr, "label", C=0.1, l1=
 _model_query("fit_tree", lambda tr, n: L.tree(tr, "label", None))
 _model_query("fit_forest", lambda tr, n: L.forest(tr, "label", 100))
 _model_query("fit_boosted", lambda tr, n: L.boosted(tr, "label", 100, 0.1, 3))
-_model_query("fit_hist_boosted", lambda tr, n: L.boosted(tr, "label", 100, 0.1, 3))
-_model_query("fit_extra_trees", lambda tr, n: L.extra_forest(tr, "label", 100))
-_model_query("fit_adaboost", lambda tr, n: L.adaboost(tr, "label", 300, 0.05))
+_model_query("fit_hist_boosted", lambda tr, n: L.hist_boosted(tr, "label", 100, 0.1))
+_model_query("fit_hist_boosted_l2", lambda tr, n: L.hist_boosted(tr, "label", 200, 0.05, 5, 0.1))
+_model_query("fit_extra_trees", lambda tr, n: L.fit_extra_trees(tr, "label", 300))
+_model_query("fit_adaboost", lambda tr, n: L.fit_adaboost(tr, "label", 300, 0.05))
+_model_query("fit_adaboost_shares", lambda tr, n: L.fit_adaboost(tr, "label", 100, 1.0, probability=True))
 _model_query("fit_rbf", lambda tr, n: L.rbf_classifier(tr, "label", n, C=1.0, n_components=50))
 _model_query("fit_stack_linear", lambda tr, n: L.stack_linear(tr, "label", 200))
 _model_query("fit_stack_refine", lambda tr, n: L.stack_refine(tr, "label", 200))
@@ -131,7 +136,7 @@ def q_sweep_tree_depth(spark, sf):
 @query("importance_rank")
 def q_importance_rank(spark, sf):
     train, test, names = prepared(spark, sf)
-    r = L.importance_rank(L.forest(train, "label", 50), names, 20)
+    r = L.importance_rank(L.forest(train, "label", 100), names, 20)
     return spark.createDataFrame([(f, v, i + 1) for i, (f, v) in enumerate(r)],
                                  "feature string, importance double, rank int")
 
@@ -177,9 +182,9 @@ def q_boundary_hybrid(spark, sf):
     """Base forest; committee (forest, boosting, extra trees) uncertainty; rows above
     the train threshold take the alternate model's label (here a depth-3 tree)."""
     train, test, _ = prepared(spark, sf)
-    base = L.forest(train, "label", 50)
-    committee = [L.forest(train, "label", 30, seed=7), L.boosted(train, "label", 20),
-                 L.extra_forest(train, "label", 30)]
+    base = L.forest(train, "label", 300)
+    committee = [L.forest(train, "label", 200, seed=7), L.boosted(train, "label", 200),
+                 L.fit_extra_trees(train, "label", 200)]
     def unc(d):
         parts = [m.predict(d).select("row_id", F.lit(i).alias("model"), "probs") for i, m in enumerate(committee)]
         u = parts[0]

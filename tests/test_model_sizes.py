@@ -5,7 +5,11 @@ from nullwise.plans.registry import QUERIES
 
 NAMES = [f"f{i}" for i in range(40)]
 WANT = {
-    "fit_adaboost": ("adaboost", ("train", "label", 300, 0.05), {}),
+    "fit_adaboost": ("fit_adaboost", ("train", "label", 300, 0.05), {}),
+    "fit_adaboost_shares": ("fit_adaboost", ("train", "label", 100, 1.0), {"probability": True}),
+    "fit_hist_boosted": ("hist_boosted", ("train", "label", 100, 0.1), {}),
+    "fit_hist_boosted_l2": ("hist_boosted", ("train", "label", 200, 0.05, 5, 0.1), {}),
+    "fit_extra_trees": ("fit_extra_trees", ("train", "label", 300), {}),
     "fit_stack_linear": ("stack_linear", ("train", "label", 200), {}),
     "fit_stack_refine": ("stack_refine", ("train", "label", 200), {}),
     "fit_neural_forest": ("neural_forest", ("train", "label", 40, 200), {"hidden": (64, 64)}),
