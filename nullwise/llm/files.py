@@ -17,9 +17,9 @@ def filesystem(path: str) -> tuple[fs.FileSystem, str]:
 def open_output(path: str):
     system, inner = filesystem(path)
     system.create_dir(inner.rpartition("/")[0], recursive=True)
-    return system.open_output_stream(inner)
+    return system.open_output_stream(inner, compression=None)  # the bytes as given, whatever the name says
 
 
 def open_input(path: str):
     system, inner = filesystem(path)
-    return system.open_input_stream(inner)
+    return system.open_input_stream(inner, compression=None)

@@ -30,6 +30,8 @@ from .files import open_input, open_output
 
 #: Bytes after which a task starts a new archive.
 ARCHIVE_BYTES = 64 << 20
+#: Payloads that occur more than once up to which their table is broadcast.
+REPEATED = 500_000
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _CHUNK = 1 << 16
 _URN = "urn:page:"
@@ -179,15 +181,18 @@ def salvage(stream) -> Iterator[tuple]:
 def with_revisits(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, html, refers_to): refers_to is the largest id with the same payload, null for that page itself.
 
-    Payloads are grouped by digest with map-side combining; only digests
-    that occur more than once are joined back.
+    Payloads are grouped by digest with map-side combining, and only digests
+    that occur more than once are joined back: as a broadcast table while
+    there are at most REPEATED of them (28 bytes each), so that no payload is
+    shuffled, else by a shuffle that Spark splits where one digest is hot.
     """
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     hashed = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("html"),
-                          F.sha1(payload.cast("binary")).alias("digest"))
+                          F.unhex(F.sha1(payload.cast("binary"))).alias("digest"))
     wide = F.octet_length("html") >= min_bytes
     twice = hashed.where(wide).groupBy("digest").agg(F.max("id").alias("keeper"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    out = hashed.join(twice.select("digest", "keeper"), "digest", "left")
+    twice = stored(twice.select("digest", "keeper"), "repeated")
+    out = hashed.join(F.broadcast(twice) if twice.count() <= REPEATED else twice, "digest", "left")
     refers = F.when(F.col("keeper").isNotNull() & (F.col("id").isNull() | (F.col("id") != F.col("keeper"))), F.col("keeper"))
     return out.select("id", "url", "html", refers.alias("refers_to"))
 
@@ -272,9 +277,15 @@ def warc_round_trip(pages: DataFrame, min_bytes: int = 0, **columns) -> DataFram
     and read back null (it can be a revisit, never the response of others);
     repeated rows with the largest id are each a response; an empty table
     writes no archive and gives an empty table; other columns are neither
-    read nor written.
+    read nor written.  If an archive is damaged in between, its other records
+    are read, but fewer than were written: that raises an error that names
+    the table of the quarantined gaps.
     """
     folder = shared_dir(pages.sparkSession, "warc")
     manifest = stored(write_archives(with_revisits(pages, min_bytes, **columns), folder), "manifest")
-    read = read_archives(manifest).where(F.col("kind") == "record")
-    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    read = stored(read_archives(manifest), "records")
+    written = manifest.agg(F.coalesce(F.sum("n_records"), F.lit(0))).first()[0]
+    found = read.where(F.col("kind") == "record")
+    if (n := found.count()) != written or read.where(F.col("kind") == "gap").take(1):
+        raise ValueError(f"read {n} of {written} records; gaps are the rows of kind 'gap' in {read.inputFiles()[:1]}")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from nullwise.llm import token_output, warc
 from nullwise.llm.common import shared_dir, vocabulary
@@ -70,6 +71,66 @@ def test_round_trip(spark):
     assert small[1] == "response" and small[5] == "response"
 
 
+def plain_members(data):
+    """Start offsets and records of a file of gzip members, by Python's own decompressor."""
+    at = 0
+    while at < len(data):
+        coder = zlib.decompressobj(31)
+        text = coder.decompress(data[at:]) + coder.flush()
+        yield at, text
+        at = len(data) - len(coder.unused_data)
+
+
+def test_archives_on_disk_are_gzipped_once_and_salvaged(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    written = warc.write_archives(warc.with_revisits(pages), shared_dir(spark, "warc"))
+    manifest = spark.createDataFrame(written.collect(), "file string, n_records long, n_bytes long")
+    files = [r.file.removeprefix("file:") for r in manifest.collect()]
+    digests = {}
+    for r in pages.collect():
+        digests[r.page_id] = base64.b32encode(hashlib.sha1((r.html or "").encode()).digest()).decode()
+    seen, damaged = {}, {}
+    for file in files:
+        with open(file, "rb") as f:
+            data = f.read()
+        members = list(plain_members(data))
+        for _, text in members:
+            head, _, body = text.partition(b"\r\n\r\n")
+            fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
+            seen[int(fields[b"WARC-Record-ID"][len(b"<urn:page:"):-1])] = fields[b"WARC-Payload-Digest"].decode().removeprefix("sha1:")
+            assert int(fields[b"Content-Length"]) == len(body) - 4
+        at, text = members[len(members) // 2]
+        damaged[file] = at, int(text.split(b"<urn:page:")[1].split(b">")[0])
+    assert seen == digests  # every page once, every digest right
+    clean = warc.read_archives(manifest).collect()
+    assert {r.page_id: r.payload_digest for r in clean} == digests and all(r.kind == "record" for r in clean)
+    for file, (at, _) in damaged.items():
+        with open(file, "r+b") as f:
+            f.seek(at + 30)
+            byte = f.read(1)
+            f.seek(at + 30)
+            f.write(bytes([byte[0] ^ 0xFF]))
+    rows = warc.read_archives(manifest).collect()
+    assert {r.page_id for r in rows if r.kind == "record"} == set(digests) - {i for _, i in damaged.values()}
+    assert sorted((r.file.removeprefix("file:"), r.start) for r in rows if r.kind == "gap") == sorted((f, at) for f, (at, _) in damaged.items())
+
+
+def test_a_damaged_round_trip_is_not_silent(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, "u", f"text {i}") for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    read = warc.read_archives
+
+    def damaged(manifest):
+        file = manifest.first().file.removeprefix("file:")
+        with open(file, "r+b") as f:
+            f.seek(40)
+            f.write(b"\0\0\0")
+        return read(manifest)
+
+    monkeypatch.setattr(warc, "read_archives", damaged)
+    with pytest.raises(ValueError, match="19 of 20"):
+        warc.warc_round_trip(pages)
+
+
 def test_token_files(spark):
     vocab = ByteVocabulary.load(vocabulary(token_output.VOCABULARY))
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").union(
