@@ -1,16 +1,20 @@
 """Main text of HTML pages with removal of site templates.
 
-1. Every page is parsed; the hash of each container subtree (its tags and
-   text) is emitted with the page's host and a hash of the page's main text.
+1. Every page is parsed; the hash of each element subtree (its tags, and its
+   text with numbers taken as one) is emitted with the page's host and a hash
+   of the page's main text.  Inside an article or main element and beside a
+   first-level title only containers count (lists, tables, divisions).
 2. Spark counts, per host and subtree hash, the distinct main texts it came
    with, so copies of one page count once.  A subtree that recurs on at
-   least ``min_pages`` texts and ``min_share`` of the host's is a template.
+   least ``min_share`` of the host's texts is a template: on five or more
+   outside these places, on ``min_pages`` inside.
 3. A second pass deletes template subtrees and, by tag, role and class,
    menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-   styles and reader comments, and joins the blocks of the main element.
+   styles and reader comments, and joins the blocks of the main elements.
 
-Titles, paragraphs and whatever holds the article are never template
-subtrees: text repeated inside articles stays.
+Titles and paragraphs inside an article, and whatever holds it, are never
+template subtrees: text repeated inside articles stays.  Elements may be
+nested to any depth; nothing here recurses.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -28,11 +33,14 @@ from pyspark.sql import functions as F
 
 from .common import extended, stored, text_slices
 
-MIN_PAGES, MIN_SHARE = 10, 0.02
+MIN_PAGES, MIN_PAGES_OUTSIDE, MIN_SHARE = 10, 5, 0.02
 #: Template hashes that are broadcast (8 bytes each); beyond, they are joined to the pages.
 BROADCAST_TEMPLATES = 2_000_000
-MAX_DEPTH = 200
+#: Share of the main element's text from which its articles stand for it; share of the largest article from which
+#: another one of a page without a main element counts too.
+ARTICLES_OF_MAIN, ARTICLE_OF_LARGEST = 0.5, 0.25
 
+_NUMBER = re.compile(r"\d+")
 _MARKUP = re.compile(
     r"<!--(?:>|->|.*?(?:-->|\Z))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -60,18 +68,45 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "items", "dropped", "holds_main")
+    __slots__ = ("tag", "attrs", "items", "dropped", "in_main", "by_title", "holds_main", "holds_article")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.items, self.dropped, self.holds_main = tag, attrs, [], False, False
+        self.tag, self.attrs, self.items = tag, attrs, []
+        self.dropped = self.in_main = self.by_title = self.holds_main = self.holds_article = False
+
+    def children(self) -> list[Node]:
+        return [c for c in self.items if isinstance(c, Node)]
+
+
+def preorder(root: Node) -> list[Node]:
+    """All elements, each before those inside it."""
+    out, stack = [], [root]
+    while stack:
+        out.append(stack.pop())
+        stack += reversed(out[-1].children())
+    return out
 
 
 def parse(page: str) -> Node:
     """Element tree of a page; unclosed and stray tags are repaired as browsers do for common cases."""
     root = Node("html")
     stack = [root]
-    unopened: dict[str, int] = {}  # elements too deep to open, whose end tags close nothing
+    opened: Counter[str] = Counter()  # tags on the stack, so that a stray end tag needs no search
     at, n = 0, len(page)
+
+    def cut(depth: int) -> None:
+        opened.subtract(node.tag for node in stack[depth:])
+        del stack[depth:]
+
+    def close(tags: set[str], scope) -> None:
+        if not any(opened[t] for t in tags):
+            return
+        for depth in range(len(stack) - 1, 0, -1):
+            if stack[depth].tag in tags:
+                cut(depth)
+                return
+            if stack[depth].tag in scope:
+                return
     while at < n:
         found = _MARKUP.search(page, at)
         if found is None:
@@ -84,25 +119,20 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         tag = tag.lower()
-        if len(stack) < MAX_DEPTH:
-            unopened.clear()
         if closing:
-            if unopened.get(tag):
-                unopened[tag] -= 1
-                continue
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[depth].tag == tag:
-                    del stack[depth:]
+                    cut(depth)
                     break
                 if tag not in BLOCK and stack[depth].tag in _SCOPE:
                     break  # a stray inline end tag does not close blocks
             continue
-        if tag in ("html", "body") and tag != "body":
+        if tag == "html":
             continue
         if tag in _CLOSES_P:
-            _close(stack, {"p"}, _SCOPE)
+            close({"p"}, _SCOPE)
         if tag in _SIBLINGS:
-            _close(stack, *_SIBLINGS[tag])
+            close(*_SIBLINGS[tag])
         node = Node(tag, attrs)
         stack[-1].items.append(node)
         if tag in VOID or attrs.endswith("/") and tag in ("svg", "path"):
@@ -113,70 +143,64 @@ def parse(page: str) -> Node:
             node.items.append(page[at:end.start() if end else n])
             at = stop + 1 if stop >= 0 else n
             continue
-        if len(stack) < MAX_DEPTH:  # deeper elements are not opened: their text belongs to the parent
-            stack.append(node)
-        else:
-            unopened[tag] = unopened.get(tag, 0) + 1
+        stack.append(node)
+        opened[tag] += 1
     return root
 
 
-def _close(stack: list[Node], tags: set[str], scope: set[str] | frozenset[str]) -> None:
-    for depth in range(len(stack) - 1, 0, -1):
-        if stack[depth].tag in tags:
-            del stack[depth:]
-            return
-        if stack[depth].tag in scope:
-            return
-
-
-def _mark(node: Node, in_main: bool) -> bool:
-    """Marks what is dropped; returns whether the subtree holds the article, main element or first-level title."""
-    main = node.tag in ("article", "main")
-    holds = main or node.tag == "h1"
-    for child in node.items:
-        if isinstance(child, Node):
-            holds |= _mark(child, in_main or main)
-    node.holds_main = holds
-    if node.tag in DROPPED:
-        node.dropped = node.tag not in ("form", "dialog") or not _holds_article(node)
-    elif node.tag == "header":
-        node.dropped = not in_main and not _holds_article(node)
-    if node.attrs and not node.dropped:
-        values = {m[1].lower(): html_lib.unescape(m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(node.attrs)}
-        if "hidden" in values or values.get("aria-hidden") == "true" or values.get("role") in ROLES:
-            node.dropped = not _holds_article(node)
-        names = set(re.split(r"[^a-z0-9]+", values.get("class", "") + " " + values.get("id", "")))
-        if names & MARKS and (not holds or node.tag == "article" and names & {"comment", "comments", "reply", "ad", "related", "sponsored", "promo"}):
-            node.dropped = True
-    return holds and not node.dropped
-
-
-def _holds_article(node: Node) -> bool:
-    return node.tag in ("article", "main") or any(isinstance(c, Node) and _holds_article(c) for c in node.items)
-
-
-def main_element(root: Node) -> Node:
-    """The article with most text that is not dropped, else the main element, else the whole page."""
-    best: dict[str, tuple[int, Node]] = {}
-
-    def walk(node: Node) -> None:
+def _mark(order: list[Node]) -> None:
+    """Marks what is dropped and what holds the article, main element or first-level title (elements in preorder)."""
+    for node in order:
+        inside = node.in_main or node.tag in ("article", "main")
+        children = node.children()
+        by_title = node.by_title or inside or any(c.tag == "h1" for c in children)
+        for child in children:
+            child.in_main, child.by_title = inside, by_title
+    for node in reversed(order):
+        children = node.children()
+        main = node.tag in ("article", "main")
+        node.holds_article = main or any(c.holds_article for c in children)
+        holds = node.holds_main = main or node.tag == "h1" or any(c.holds_main and not c.dropped for c in children)
+        if node.tag in DROPPED:
+            node.dropped = node.tag not in ("form", "dialog") or not node.holds_article
+        elif node.tag == "header":
+            node.dropped = not node.in_main and not node.holds_article
+        if node.attrs and not node.dropped:
+            values = {m[1].lower(): html_lib.unescape(m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(node.attrs)}
+            if "hidden" in values or values.get("aria-hidden") == "true" or values.get("role") in ROLES:
+                node.dropped = not node.holds_article
+            names = set(re.split(r"[^a-z0-9]+", values.get("class", "") + " " + values.get("id", "")))
+            if names & MARKS and (not holds or node.tag == "article" and names & {"comment", "comments", "reply", "ad", "related", "sponsored", "promo"}):
+                node.dropped = True
+
+
+def main_elements(root: Node) -> list[Node]:
+    """What holds the main text, in page order.
+
+    The main element with most text that is not dropped, or the articles in
+    it if they hold half of its text; without a main element the largest
+    article and others that hold a quarter of its text; else the whole page.
+    """
+    mains: list[tuple[int, Node]] = []
+    articles: list[tuple[int, Node, Node | None]] = []
+    stack: list[tuple[Node, Node | None]] = [(root, None)]
+    while stack:
+        node, main = stack.pop()
         if node.dropped:
-            return
-        if node.tag in ("article", "main"):
-            size = sum(map(len, blocks(node)))
-            if node.tag not in best or size > best[node.tag][0]:
-                best[node.tag] = (size, node)
-            if node.tag == "article":
-                return
-        for child in node.items:
-            if isinstance(child, Node):
-                walk(child)
-
-    walk(root)
-    for tag in ("article", "main"):
-        if tag in best and best[tag][0]:
-            return best[tag][1]
-    return root
+            continue
+        if node.tag == "article":  # what is nested in an article belongs to it
+            articles.append((sum(map(len, blocks(node))), node, main))
+            continue
+        if node.tag == "main" and main is None:
+            main = node
+            mains.append((sum(map(len, blocks(node))), node))
+        stack += [(c, main) for c in reversed(node.children())]
+    size, best = max(mains, key=lambda m: m[0], default=(0, root))
+    if size:
+        inside = [(n, a) for n, a, of in articles if of is best and n]
+        return [a for _, a in inside] if sum(n for n, _ in inside) >= ARTICLES_OF_MAIN * size else [best]
+    largest = max((n for n, _, _ in articles), default=0)
+    return [a for n, a, _ in articles if n >= ARTICLE_OF_LARGEST * largest] if largest else [root]
 
 
 def blocks(node: Node) -> list[str]:
@@ -190,54 +214,60 @@ def blocks(node: Node) -> list[str]:
             out.append(text)
         line.clear()
 
-    def walk(at: Node) -> None:
-        for item in at.items:
+    stack = [(iter(node.items), False)]
+    while stack:
+        items, block = stack[-1]
+        for item in items:
             if isinstance(item, str):
                 line.append(item)
             elif item.dropped:
                 if item.tag in BLOCK:
                     flush()
-            elif item.tag in BLOCK:
-                flush()
-                walk(item)
-                flush()
             elif item.tag == "br":
                 line.append("\n")
             else:
-                walk(item)
-
-    walk(node)
+                if item.tag in BLOCK:
+                    flush()
+                stack.append((iter(item.items), item.tag in BLOCK))
+                break
+        else:
+            stack.pop()
+            if block:
+                flush()
     flush()
     return out
 
 
+def main_text(root: Node) -> str:
+    return "\n\n".join(text for node in main_elements(root) for text in blocks(node))
+
+
 def _digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def subtree_hashes(root: Node, host: str) -> list[tuple[int, Node]]:
-    """(hash of host, tags and text, node) of every container that does not hold the article."""
+def subtree_hashes(order: list[Node], host: str) -> list[tuple[int, Node]]:
+    """(hash of host, tags and text, node) of the elements that may be templates; odd: beside the title or inside an article or main element."""
     found = []
-
-    def walk(node: Node) -> str:
+    said: dict[int, str] = {}
+    for node in reversed(order):
         parts = [node.tag]
         for item in node.items:
-            parts.append(" ".join(item.split()) if isinstance(item, str) else walk(item))
+            parts.append(_NUMBER.sub("0", " ".join(item.split())) if isinstance(item, str) else said.pop(id(item)))
         own = "\x01".join(parts)
         if len(own) > 200:
             own = f"{node.tag}\x02{_digest(own)}"
-        if node.tag in CONTAINER and not node.holds_main:
-            found.append((_digest(f"{host}\x00{own}"), node))
-        return own
-
-    walk(root)
+        said[id(node)] = own
+        if not node.holds_main and not node.dropped and (node.tag in CONTAINER or not node.by_title and node.tag not in VOID):
+            found.append((_digest(f"{host}\x00{own}") & ~1 | node.by_title, node))
     return found
 
 
 def _prepared(page: str | None, host: str) -> tuple[Node, list[tuple[int, Node]]]:
     root = parse(page or "")
-    _mark(root, False)
-    return root, subtree_hashes(root, host)
+    order = preorder(root)
+    _mark(order)
+    return root, subtree_hashes(order, host)
 
 
 def host_of(url: str | None) -> str:
@@ -255,12 +285,12 @@ def extract(page: str | None, url: str | None, is_template) -> str:
     for h, node in found:
         if is_template(h):
             node.dropped = True
-    return "\n\n".join(blocks(main_element(root)))
+    return main_text(root)
 
 
 def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES,
                    min_share: float = MIN_SHARE) -> DataFrame:
-    """(hash) of the container subtrees that recur across a host's pages."""
+    """(hash) of the subtrees that recur across a host's pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, "html"):
@@ -270,7 +300,7 @@ def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
                     continue
                 host = host_of(url)
                 root, found = _prepared(page, host)
-                main = _digest("\n".join(blocks(main_element(root))))
+                main = _digest(main_text(root))
                 own = {h for h, _ in found} | {None}  # the row without a hash counts the host's pages
                 hosts += [_digest(host)] * len(own)
                 hashes += own
@@ -281,7 +311,8 @@ def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
     seen = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(run, "host long, hash long, main long")
     counts = stored(seen.distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")), "subtrees")
     whole = counts.where(F.col("hash").isNull()).select("host", F.col("n").alias("pages"))
-    often = counts.where(F.col("hash").isNotNull() & (F.col("n") >= min_pages))
+    least = F.when(F.col("hash") % 2 == 0, MIN_PAGES_OUTSIDE).otherwise(min_pages)
+    often = counts.where(F.col("hash").isNotNull() & (F.col("n") >= least))
     return often.join(whole, "host").where(F.col("n") >= F.col("pages") * min_share).select("hash").distinct()
 
 

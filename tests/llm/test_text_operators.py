@@ -157,6 +157,47 @@ def test_end_tags_of_deep_elements_close_no_ancestor():
     assert html_extract.extract(html, "http://h/", lambda h: False) == "one\n\ndeep\n\ntwo"
 
 
+@pytest.mark.parametrize("html, want", [
+    ("<main><p>Lead paragraph of some length</p><article><p>card</p></article></main>", "Lead paragraph of some length\n\ncard"),
+    ("<main><p>by a. writer</p><article><p>first part of it</p></article><article><p>the second part</p></article></main>",
+     "first part of it\n\nthe second part"),
+    ("<article><p>one long article of many words</p></article><article><p>two long article of many words</p></article><article>x</article>",
+     "one long article of many words\n\ntwo long article of many words"),
+    ("<div>" * 210 + "<nav>menu</nav><p>text</p>" + "</div>" * 210, "text"),
+    ("<span>" * 3000 + "</b>" * 3000 + "<p>x" * 3000, "\n\n".join(["x"] * 3000)),
+])
+def test_main_text_is_whole(html, want):
+    assert html_extract.extract(html, "http://h/", lambda h: False) == want
+
+
+def test_templates_with_numbers_on_pages_without_an_article(spark):
+    rows = [(i, f"http://c.example/{i}", f"<body><span>Visitors: {i * 17}</span><div><h1>T{i}</h1><p>body {i}</p></div><p>Read <a>{i} more</a></p></body>")
+            for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract_text(df).collect()} == {i: f"T{i}\n\nbody {i}" for i in range(6)}
+    few = {r.page_id: r.text for r in html_extract.extract_text(df.where("page_id < 4")).collect()}
+    assert few[1] == "Visitors: 17\n\nT1\n\nbody 1\n\nRead 1 more"
+
+
+def test_templates_of_one_host_by_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url", "html").collect()
+    hosts = {}
+    for r in pages:
+        hosts.setdefault(html_extract.host_of(r.url), []).append(r)
+    host, rows = max(hosts.items(), key=lambda h: len(h[1]))
+    seen = {}
+    for r in rows:
+        root, found = html_extract._prepared(r.html, host)
+        for h, _ in found:
+            seen.setdefault(h, set()).add(html_extract.main_text(root))
+    texts = {html_extract.main_text(html_extract._prepared(r.html, host)[0]) for r in rows}
+    want = {h for h, t in seen.items() if len(t) >= (10 if h % 2 else 5) and len(t) >= 0.02 * len(texts)}
+    df = spark.createDataFrame([tuple(r) for r in rows], "page_id long, url string, html string")
+    assert {r["hash"] for r in html_extract.site_templates(df).collect()} == want
+    got = {r.page_id: r.text for r in html_extract.extract_text(df).collect()}
+    assert got == {r.page_id: html_extract.extract(r.html, r.url, want.__contains__) for r in rows}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/!-&;\"'= abpdiv", max_size=80))
 def test_extract_never_fails(text):
