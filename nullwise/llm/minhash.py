@@ -20,10 +20,12 @@ and star-shaped candidate edges.
    After that, every star that still leads out of a component.
 4. Exact rest: a star cannot see a link between two members that both
    differ from the centre.  In buckets that still span several components,
-   members outside the first component are compared with the others by
-   signature (blocks of both, each pair once; pairs inside one component are skipped), and every
-   pair that the signature does not rule out is confirmed on full sets.  A
-   pair that shares several buckets is named by the first band alone.
+   members outside the first component are compared with the others in blocks
+   of both sides that hold the full sets (each pair once; pairs inside one
+   component are skipped; a pair that shares several buckets is compared in
+   the first band alone).  What the signature does not rule out is compared
+   on the full sets there and then, and a block returns no more links than
+   it has members.
 
 Recall rests on the bands alone: a pair with similarity 0.8 shares no
 bucket with probability (1 - 0.8**5)**32 = 3e-6; the signature test of step
@@ -56,8 +58,8 @@ MARKS = 1 << 26
 USES = 400_000
 #: Members of a bucket that one medoid is chosen from.
 MEDOID_BLOCK = 16_384
-#: Members of a bucket in one block of the signature comparison, and members outside the first component in one.
-BLOCK, OUTSIDE_BLOCK = 1024, 4096
+#: Shingles of a bucket's members in one block of the exact rest, and of those outside the first component (8 bytes each).
+REST_SHINGLES = 1_500_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
@@ -233,20 +235,13 @@ def _marked(ids: DataFrame) -> np.ndarray:
     return marks
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """(u, v) of the pairs (a, b, nb) whose full sets are similar enough.
+def _sets_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, shingles) of the documents whose ``id`` is in ids, and of a few others.
 
-    The sets are built from the texts of the documents that occur in pairs,
-    where the texts are read: a bitmap of hashed ids lets the others (and a
-    few per cent more once millions occur) go by.  Pairs of one centre a are
-    dealt over groups of about GROUP_SHINGLES.
+    The sets are built where the texts are read: a bitmap of hashed ids lets
+    the others (but a few per cent once millions are wanted) go by.
     """
-    load = pairs.groupBy("a").agg(F.ceil(F.sum("nb") / F.lit(GROUP_SHINGLES)).cast("int").alias("salts"))
-    dealt = stored(pairs.join(load, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")), "dealt")
-    members = dealt.select(F.col("b").alias("use"), "a", "salt", F.lit(False).alias("centre"))
-    centres = dealt.select(F.col("a").alias("use"), "a", "salt", F.lit(True).alias("centre")).distinct()
-    uses = stored(members.union(centres), "uses")
-    marks = docs.sparkSession.sparkContext.broadcast(_marked(uses.select(F.col("use").alias("id"))))
+    marks = docs.sparkSession.sparkContext.broadcast(_marked(ids))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +255,21 @@ def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shin
             pa.default_memory_pool().release_unused()
 
     marked = texts.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(MARKS)).alias("at")).mapInArrow(sets, "id long, shingles binary")
-    used = marked.where(F.length("shingles") > 0).join(F.broadcast(uses) if uses.count() <= USES else uses, F.col("id") == F.col("use"))
+    return marked.where(F.length("shingles") > 0)
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """(u, v) of the pairs (a, b, nb) whose full sets are similar enough.
+
+    Pairs of one centre a are dealt over groups of about GROUP_SHINGLES.
+    """
+    load = pairs.groupBy("a").agg(F.ceil(F.sum("nb") / F.lit(GROUP_SHINGLES)).cast("int").alias("salts"))
+    dealt = stored(pairs.join(load, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")), "dealt")
+    members = dealt.select(F.col("b").alias("use"), "a", "salt", F.lit(False).alias("centre"))
+    centres = dealt.select(F.col("a").alias("use"), "a", "salt", F.lit(True).alias("centre")).distinct()
+    uses = stored(members.union(centres), "uses")
+    sets = _sets_of(uses.select(F.col("use").alias("id")), docs, id_col, text_col, shingle)
+    used = sets.join(F.broadcast(uses) if uses.count() <= USES else uses, F.col("id") == F.col("use"))
 
     def similar(table: pa.Table) -> pa.Table:
         is_centre = np.array(table["centre"].to_pylist())
@@ -305,8 +314,8 @@ def _estimate(i: int, j: np.ndarray, sig: tuple[np.ndarray, np.ndarray], n: np.n
     return same / either, 4 * np.sqrt(spread) + 0.02
 
 
-def _not_ruled_out(i: int, j: np.ndarray, ids, part, n, sig, percent: int, band: int = 0, rows: int = 1):
-    """Of the members j, those in another component than i that size and signature allow, as (a, b, nb).
+def _candidates(i: int, j: np.ndarray, part, n, sig, percent: int, band: int = 0, rows: int = 1) -> np.ndarray:
+    """Of the members j, those in another component than i that size and signature allow.
 
     Members that share one of the first ``band`` bands with i are left to that band's bucket.
     """
@@ -318,16 +327,16 @@ def _not_ruled_out(i: int, j: np.ndarray, ids, part, n, sig, percent: int, band:
     if len(j):
         share, slack = _estimate(i, j, sig, n, percent)
         j = j[share >= percent / 100 - slack]
-    return np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i]), np.where(ids[j] > ids[i], n[j], n[i])
+    return j
 
 
-def _medoid_star(outside: np.ndarray, ids, part, n, sig, percent: int, band: int, rows: int, low: int):
-    """A star around the member nearest to the bucket's most common signature, the largest component left aside."""
+def _medoid_star(ids, part, n, sig, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, nb) of a star around the member nearest to the bucket's most common signature, the largest component left aside."""
     label, number = np.unique(part, return_inverse=True)
     size = np.bincount(number)
-    some = np.flatnonzero(number != size.argmax()) if size.max() > 1 else np.arange(len(ids))
     if len(label) < 2:
-        return []
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    some = np.flatnonzero(number != size.argmax()) if size.max() > 1 else np.arange(len(ids))
     inside = np.sort(sig[0][some], axis=0)
     # the most common value of each bin: the longest run of the sorted column
     run = np.ones(inside.shape, np.int32)
@@ -335,24 +344,90 @@ def _medoid_star(outside: np.ndarray, ids, part, n, sig, percent: int, band: int
         run[k] = np.where(inside[k] == inside[k - 1], run[k - 1] + 1, 1)
     common = inside[run.argmax(axis=0), np.arange(BINS)]
     medoid = some[(sig[0][some] == common).sum(axis=1).argmax()]
-    return [_not_ruled_out(medoid, np.arange(len(ids)), ids, part, n, sig, percent)]
+    j = _candidates(medoid, np.arange(len(ids)), part, n, sig, percent)
+    return np.minimum(ids[j], ids[medoid]), np.maximum(ids[j], ids[medoid]), np.where(ids[j] > ids[medoid], n[j], n[medoid])
 
 
-def _outside_pairs(outside: np.ndarray, ids, part, n, sig, percent: int, band: int, rows: int, low: int):
-    """Members outside the bucket's first component (``low``) with all others of the block, each pair in its first band only.
+def _signatures(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, which bins were full) of signatures."""
+    sig = np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, _WIDTH)
+    return np.ascontiguousarray(sig[:, :BINS]), np.unpackbits(np.ascontiguousarray(sig[:, BINS:]).view(np.uint8), axis=1).astype(bool)
+
+
+def _spanning(buckets: DataFrame, classes: DataFrame, component: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, band, id, part, low, m members, s shingles) of the buckets with several components, ``low`` the first of them;
+    and the classes with their components."""
+    labelled = classes.join(component.withColumnRenamed("node", "id"), "id", "left").select(
+        "id", F.coalesce("component", "id").alias("part"), "n", "signature")
+    members = buckets.select("key", "band", "id").join(labelled.select("id", "part", "n"), "id")
+    spanning = (members.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("m"),
+                                           F.sum("n").alias("s")).where(F.col("low") != F.col("high")).drop("high"))
+    return stored(members.join(spanning, "key"), "spanning"), labelled
+
+
+def _medoid_pairs(buckets: DataFrame, classes: DataFrame, component: DataFrame, tested: DataFrame, percent: int, block: int) -> DataFrame:
+    """(a, b, nb): untested pairs of different components around the medoid of a block of a bucket."""
+    held, labelled = _spanning(buckets, classes, component)
+    sides = held.select("key", "id", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / block)).cast("int").alias("block")).join(labelled, "id")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, part, n = (table[c].to_numpy() for c in ("id", "part", "n"))
+        found = _medoid_star(ids, part, n, _signatures(table["signature"]), percent)
+        return pa.table({name: pa.array(f, pa.int64()) for name, f in zip(("a", "b", "nb"), found)})
+
+    found = sides.groupBy("key", "block").applyInArrow(compare, "a long, b long, nb long").distinct()
+    return found.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def _forest(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Links that connect what all of them connect, fewer than there are nodes."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kept = []
+    for x, y in links:
+        rx, ry = root(x), root(y)
+        if rx != ry:
+            parent[max(rx, ry)] = min(rx, ry)
+            kept.append((x, y))
+    return kept
+
+
+def rest_pairs(outside: np.ndarray, ids, part, n, sig, percent: int, band: int, rows: int, low: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, candidates j) for the members i outside the bucket's first component (``low``) with all others of the block.
 
     Two members outside would meet twice; the smaller id takes the pair.
     """
     inner = np.flatnonzero(~outside)
     first = part[inner] == low
-    return [_not_ruled_out(i, inner[first | (ids[inner] > ids[i])], ids, part, n, sig, percent, band, rows)
-            for i in np.flatnonzero(outside)]
-
-
-def _dealt(held: DataFrame, block: int, outside_block: int) -> DataFrame:
+    for i in np.flatnonzero(outside):
+        j = _candidates(i, inner[first | (ids[inner] > ids[i])], part, n, sig, percent, band, rows)
+        if len(j):
+            yield i, j
+
+
+def rest_links(pairs: Iterator[tuple[int, np.ndarray]], ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links among the pairs on full sets, as many as it takes to connect what they connect."""
+    links = []
+    for i, j in pairs:
+        mine = sets[i]
+        sizes = np.array([len(sets[k]) for k in j])
+        others = np.concatenate([sets[k] for k in j])
+        at = np.minimum(np.searchsorted(mine, others), len(mine) - 1)
+        both = np.add.reduceat((mine[at] == others).astype(np.int64), np.cumsum(sizes) - sizes)
+        links += [(int(ids[i]), int(ids[k])) for k in j[100 * both >= percent * (sizes + len(mine) - both)]]
+    return _forest(links)
+
+
+def _dealt(held: DataFrame, block: int) -> DataFrame:
     """(key, low, band, id, block, over, outside): each block of a bucket's members with each block ``over`` of those
-    outside its first component, from (key, low, band, id, part) with the bucket's m members and o outside."""
-    blocks, over = (F.ceil(F.col(c) / size).cast("int") for c, size in (("m", block), ("o", outside_block)))
+    outside its first component; a block holds about ``block`` shingles of the bucket's s, or of the o outside."""
+    blocks, over = (F.ceil(F.col(c) / block).cast("int") for c in ("s", "o"))
     mine = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     inner = held.select("key", "low", "band", "id", mine(blocks).alias("block"), every(over).alias("over"), F.lit(False).alias("outside"))
@@ -361,35 +436,24 @@ def _dealt(held: DataFrame, block: int, outside_block: int) -> DataFrame:
     return inner.union(outer)
 
 
-def _rest(buckets: DataFrame, classes: DataFrame, component: DataFrame, tested: DataFrame, percent: int,
-          choose, block: int, rows: int) -> DataFrame:
-    """(a, b, nb): untested pairs of different components in one bucket, chosen in blocks by ``choose``."""
-    labelled = classes.join(component.withColumnRenamed("node", "id"), "id", "left").select(
-        "id", F.coalesce("component", "id").alias("part"), "n", "signature")
-    members = buckets.select("key", "band", "id").join(labelled.select("id", "part"), "id")
-    spanning = (members.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("m"))
-                .where(F.col("low") != F.col("high")).select("key", "low", "m"))
-    held = stored(members.join(spanning, "key"), "spanning")
-    if choose is _outside_pairs:
-        outside = held.where(F.col("part") != F.col("low")).groupBy("key").agg(F.count(F.lit(1)).alias("o"))
-        sides = _dealt(held.join(outside, "key"), block, OUTSIDE_BLOCK)
-    else:
-        sides = held.select("key", "low", "band", "id", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / block)).cast("int").alias("block"),
-                            F.lit(0).alias("over"), F.lit(False).alias("outside"))
-    sides = sides.join(labelled, "id")
+def _rest(buckets: DataFrame, classes: DataFrame, component: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int,
+          percent: int, rows: int, block: int) -> DataFrame:
+    """(u, v): links on full sets between components that meet in a bucket, compared in blocks of both sides."""
+    held, labelled = _spanning(buckets, classes, component)
+    outside = held.where(F.col("part") != F.col("low")).groupBy("key").agg(F.sum("n").alias("o"))
+    sets = _sets_of(held.select("id"), docs, id_col, text_col, shingle)
+    sides = _dealt(held.join(outside, "key"), block).join(labelled, "id").join(sets, "id")
 
     def compare(table: pa.Table) -> pa.Table:
         outside = np.array(table["outside"].to_pylist())
         ids, part, n = (table[c].to_numpy() for c in ("id", "part", "n"))
-        sig = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(len(ids), _WIDTH)
-        full = np.unpackbits(np.ascontiguousarray(sig[:, BINS:]).view(np.uint8), axis=1).astype(bool)
-        sig = np.ascontiguousarray(sig[:, :BINS]), full
-        found = choose(outside, ids, part, n, sig, percent, table["band"][0].as_py(), rows, table["low"][0].as_py())
-        return pa.table({name: pa.array(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64), pa.int64())
-                         for k, name in enumerate(("a", "b", "nb"))})
-
-    found = sides.groupBy("key", "block", "over").applyInArrow(compare, "a long, b long, nb long").distinct()
-    return found.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        full = [np.frombuffer(x.as_buffer(), np.uint64) for c in table["shingles"].chunks for x in c]
+        pairs = rest_pairs(outside, ids, part, n, _signatures(table["signature"]), percent, table["band"][0].as_py(), rows, table["low"][0].as_py())
+        links = rest_links(pairs, ids, full, percent)
+        u, v = zip(*links) if links else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return sides.groupBy("key", "block", "over").applyInArrow(compare, "u long, v long")
 
 
 def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
@@ -429,10 +493,11 @@ def minhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return True
 
     confirm(stored(stars.groupBy("b").agg(F.min(F.struct("a", "nb")).alias("c")).select("c.a", "b", "c.nb"), "pairs"))
-    confirm(stored(_rest(shared, nodes, component, tested, percent, _medoid_star, MEDOID_BLOCK, rows), "pairs"))
-    stars_left = _apart(stars.join(tested.select("a", "b"), ["a", "b"], "left_anti"), component)
-    rest = _rest(shared, nodes, component, tested, percent, _outside_pairs, BLOCK, rows)
-    confirm(stored(stars_left.union(rest.select("a", "b", "nb")).distinct(), "pairs"))
+    confirm(stored(_medoid_pairs(shared, nodes, component, tested, percent, MEDOID_BLOCK), "pairs"))
+    confirm(stored(_apart(stars.join(tested.select("a", "b"), ["a", "b"], "left_anti"), component).distinct(), "pairs"))
+    rest = stored(_rest(shared, nodes, component, docs, id_col, text_col, shingle, percent, rows, REST_SHINGLES), "links")
+    if not rest.isEmpty():
+        component = stored(connected_components(links.union(rest)), "components")
     named = classes.join(component, F.col("id") == F.col("node"), "left").select(
         "print", F.coalesce("component", "id").alias("component_id"))
     out = sets.select("id", "n_shingles", "print").join(named, "print", "left")

@@ -5,7 +5,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from nullwise.llm.common import WORD, words
-from nullwise.llm.minhash import BINS, Densifier, _dealt, _not_ruled_out, _outside_pairs, minhash_dedup, shingle_sets
+from nullwise.llm import minhash
+from nullwise.llm.minhash import BINS, Densifier, _candidates, _dealt, minhash_dedup, rest_links, rest_pairs, shingle_sets
 
 
 def word_shingles(text, k=4):
@@ -106,23 +107,71 @@ def test_signature_rules_out_no_short_link():
             raw = np.stack([dense.signature(np.unique(np.concatenate([both, x]))) for x in (a, b)])
             full = np.unpackbits(np.ascontiguousarray(raw[:, BINS:]).view(np.uint8), axis=1).astype(bool)
             ids, n = np.array([1, 2]), np.array([shared + only_a, shared + only_b])
-            lost += not len(_not_ruled_out(0, np.array([1]), ids, ids, n, (raw[:, :BINS], full), 80)[0])
+            lost += not len(_candidates(0, np.array([1]), ids, n, (raw[:, :BINS], full), 80))
         assert lost == 0, (shared, only_a, only_b, lost)
 
 
 def test_blocks_of_a_bucket_are_bounded_and_name_each_pair_once(spark):
     # members 0 to 199 are the first component, the other 800 are apart; all have the same signature
     rows = [(7, 3, i, 0 if i < 200 else i, 0, 1000, 800) for i in range(1000)]
-    held = spark.createDataFrame(rows, "key long, band int, id long, part long, low long, m long, o long")
+    held = spark.createDataFrame(rows, "key long, band int, id long, part long, low long, s long, o long")
     groups = {}
-    for r in _dealt(held, 100, 160).collect():
+    for r in _dealt(held, 130).collect():
         groups.setdefault((r.key, r.block, r.over), []).append(r)
-    assert len(groups) == 50 and max(map(len, groups.values())) < 2 * 260
+    assert len(groups) == 8 * 7 and max(map(len, groups.values())) < 2 * 260
     pairs = []
     for members in groups.values():
         ids, outside = np.array([r.id for r in members]), np.array([r.outside for r in members])
         part = np.where(ids < 200, 0, ids)
         sig = np.zeros((len(ids), BINS), np.uint16), np.ones((len(ids), BINS), bool)
-        for a, b, _ in _outside_pairs(outside, ids, part, np.full(len(ids), 300), sig, 80, 0, 5, 0):
-            pairs += zip(a.tolist(), b.tolist())
+        for i, j in rest_pairs(outside, ids, part, np.full(len(ids), 300), sig, 80, 0, 5, 0):
+            pairs += [(min(ids[i], k), max(ids[i], k)) for k in ids[j].tolist()]
     assert len(pairs) == len(set(pairs)) == 200 * 800 + 800 * 799 // 2
+
+
+def test_links_of_a_block_connect_what_brute_force_connects():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 100, dtype=np.uint64)
+    sets = []
+    for _ in range(60):
+        own = np.concatenate([base[rng.permutation(100)[:rng.integers(80, 97)]], rng.integers(0, 2**63, rng.integers(0, 9), dtype=np.uint64)])
+        sets.append(np.unique(own))
+    ids = np.arange(60)
+    links = rest_links(((i, ids[i + 1:]) for i in range(59)), ids, sets, 80)
+
+    def groups(pairs):
+        label = list(range(60))
+        for _ in range(60):
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    truth = [(i, j) for i in range(60) for j in range(i + 1, 60)
+             if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+    assert len(truth) > len(links) and set(links) <= set(truth) and groups(links) == groups(truth)
+
+
+def test_the_exact_rest_in_small_blocks_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "REST_SHINGLES", 300)
+    monkeypatch.setattr(minhash, "GROUP_SHINGLES", 200)
+    monkeypatch.setattr(minhash, "USES", 0)  # joins by shuffle
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(120):  # versions of one text, about 0.7 alike, some of them linked
+        own = list(words)
+        for at in rng.permutation(60)[:rng.integers(1, 4)]:
+            own[at] = f"x{rng.integers(0, 3)}"
+        rows.append((i, " ".join(own)))
+    got = {r.doc_id: r.component_id for r in minhash_dedup(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()}
+    sets = [{tuple(t.split()[k:k + 4]) for k in range(57)} for _, t in rows]
+    label = list(range(120))
+    for _ in range(120):
+        before = list(label)
+        for i in range(120):
+            for j in range(i + 1, 120):
+                if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    label[i] = label[j] = min(label[i], label[j])
+        if label == before:
+            break
+    assert got == dict(enumerate(label)) and len(set(label)) > 3
