@@ -1,27 +1,80 @@
-"""Correlation aggregates that stay fast, stable and defined under ANSI mode.
-
-Spark's ``corr`` raises DIVIDE_BY_ZERO on a constant column in ANSI mode,
-and its central-moment aggregates generate very large code when dozens of
-them share one ``agg`` (seconds of compile time per query).  Correlations
-here are built from plain sums over the pairwise-complete rows, on values
-shifted by a per-column centre (one cheap ``avg`` pass) so that large
-means do not cancel digits; the final ratio uses ``try_divide``.
+"""Correlations of many column pairs over their pairwise-complete rows, in one scan.
+
+Each block of rows gives, for all pairs at once, the number of rows that have
+both columns, the means of either column over them, and the sums of squares
+and products about these means: five matrix products of values and presence.
+Two blocks' moments are combined by shifting them to the common mean, so
+large means cancel no digits and no pass for the means is needed; they meet
+over the cluster as p x p matrices, whatever the patterns of missing cells.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PAIRS_PER_AGG = 100  # 6 sums per pair: keeps each generated aggregate small
+from .partials import added_up, matrix, partial_sums
+
+#: A spread below this share of the mean, or of what the squares were computed from, is rounding noise: the side is constant.
+_FLAT = 1e-12
+
+
+@dataclass
+class Moments:
+    """For columns i, j over the rows that have both: count, mean of i, squares of i and products about the means,
+    and the squares of i from which those were computed."""
+
+    n: np.ndarray
+    mean: np.ndarray
+    square: np.ndarray
+    product: np.ndarray
+    raw: np.ndarray
 
+    @classmethod
+    def of(cls, x: np.ndarray) -> Moments:
+        """Of a block (nan: missing)."""
+        have = ~np.isnan(x)
+        m = have.astype(float)
+        centre = np.where(have, x, 0.0).sum(axis=0) / np.maximum(m.sum(axis=0), 1.0)
+        c = np.where(have, x - centre, 0.0)
+        n, total = m.T @ m, c.T @ m
+        some = np.maximum(n, 1.0)
+        raw = (c * c).T @ m
+        return cls(n, centre[:, None] + total / some, np.maximum(raw - total * total / some, 0.0), c.T @ c - total * total.T / some, raw)
 
-def safe_corr(x: Column, y: Column) -> Column:
-    """Single correlation as one aggregate expression (small uses only)."""
-    x, y = x.cast("double"), y.cast("double")
-    both = x.isNotNull() & y.isNotNull()
-    xs, ys = F.when(both, x), F.when(both, y)
-    return F.try_divide(F.covar_pop(xs, ys), F.stddev_pop(xs) * F.stddev_pop(ys))
+    def __add__(self, other: Moments) -> Moments:
+        n = self.n + other.n
+        some = np.maximum(n, 1.0)
+        apart = np.where((self.n > 0) & (other.n > 0), other.mean - self.mean, 0.0)
+        weight = self.n * other.n / some
+        mean = np.where(self.n > 0, self.mean + apart * other.n / some, other.mean)
+        between = apart * apart * weight
+        return Moments(n, mean, self.square + other.square + between, self.product + other.product + apart * apart.T * weight,
+                       self.raw + other.raw + between)
+
+    def correlations(self) -> np.ndarray:
+        """Pearson correlations; nan where fewer than two rows have both or a side is constant."""
+        some = np.maximum(self.n, 1.0)
+        flat = (self.square / some <= (_FLAT * self.mean) ** 2) | (self.square <= _FLAT * self.raw)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = self.product / np.sqrt(self.square * self.square.T)
+        return np.where((self.n > 1) & ~flat & ~flat.T, np.clip(r, -1.0, 1.0), np.nan)
+
+
+def pair_moments(df: DataFrame, cols: list[str]) -> Moments:
+    """The moments of all pairs of ``cols`` (null and nan: missing)."""
+    p = len(cols)
+    cells = df.select(F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("x"))
+
+    def of_block(batch: pa.RecordBatch) -> tuple:
+        return (Moments.of(matrix(batch.column(0), p)),)
+
+    found = added_up(partial_sums(cells, of_block))
+    return found[0] if found else Moments.of(np.zeros((0, p)))
 
 
 def corr_long(df: DataFrame, pairs: list[tuple[tuple, str, str]], names: list[str],
@@ -30,63 +83,9 @@ def corr_long(df: DataFrame, pairs: list[tuple[tuple, str, str]], names: list[st
 
     ``pairs`` holds (labels, column_a, column_b); the result has ``names``
     (one per label) and ``value``; a pair with a constant side gives NULL.
-
-    One scan groups the rows by their null pattern over the involved columns
-    and sums, per pattern, the count, every column and every needed product
-    (values shifted by their column means, nulls as 0).  A pair's
-    pairwise-complete sums are then the sums over the patterns where both of
-    its columns are present: a small second aggregate over (pattern, pair)
-    rows.  Products are chunked (``PAIRS_PER_AGG`` per scan) to keep the
-    generated aggregation code small.
     """
     cols = sorted({c for _, a, b in pairs for c in (a, b)})
-    idx = {c: i for i, c in enumerate(cols)}
-    row = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"_c{i}") for i, c in enumerate(cols)]).first()
-    centre = {c: (row[f"_c{i}"] or 0.0) for i, c in enumerate(cols)}
-    x = {c: F.coalesce(F.col(c).cast("double") - F.lit(centre[c]), F.lit(0.0)) for c in cols}
-    if len(cols) <= 62:
-        mask = sum((F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(cols)),
-                   F.lit(0)).cast("long")
-        present = lambda c: (F.col("_mask").bitwiseAND(F.lit(1 << idx[c])) == 0)
-    else:
-        mask = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in cols])
-        present = lambda c: F.substring(F.col("_mask"), idx[c] + 1, 1) == "0"
-    parts = []
-    for start in range(0, len(pairs), PAIRS_PER_AGG):
-        chunk = pairs[start:start + PAIRS_PER_AGG]
-        used = sorted({c for _, a, b in chunk for c in (a, b)}, key=idx.get)
-        prods = sorted({tuple(sorted((a, b), key=idx.get)) for _, a, b in chunk}
-                       | {(c, c) for c in used}, key=lambda t: (idx[t[0]], idx[t[1]]))
-        pname = {t: f"_p{idx[t[0]]}_{idx[t[1]]}" for t in prods}
-        by_pattern = (df.select(mask.alias("_mask"), *[x[c].alias(f"_x{idx[c]}") for c in used])
-                      .groupBy("_mask")
-                      .agg(F.count(F.lit(1)).alias("_n"),
-                           *[F.sum(f"_x{idx[c]}").alias(f"_s{idx[c]}") for c in used],
-                           *[F.sum(F.col(f"_x{idx[a]}") * F.col(f"_x{idx[b]}")).alias(pname[(a, b)])
-                             for a, b in prods]))
-        recs = []
-        for k, (labels, a, b) in enumerate(chunk):
-            ab = pname[tuple(sorted((a, b), key=idx.get))]
-            recs.append(F.when(present(a) & present(b), F.struct(
-                F.lit(k).alias("k"), F.col("_n").alias("n"), F.col(f"_s{idx[a]}").alias("sa"),
-                F.col(f"_s{idx[b]}").alias("sb"), F.col(pname[(a, a)]).alias("saa"),
-                F.col(pname[(b, b)]).alias("sbb"), F.col(ab).alias("sab"))))
-        per_pair = (by_pattern.select(F.explode(F.filter(F.array(*recs), lambda r: r.isNotNull())).alias("r"))
-                    .groupBy("r.k").agg(*[F.sum(f"r.{f}").alias(f) for f in ("n", "sa", "sb", "saa", "sbb", "sab")]))
-        n = F.col("n").cast("double")
-        cov = F.col("sab") - F.try_divide(F.col("sa") * F.col("sb"), n)
-        va = F.col("saa") - F.try_divide(F.col("sa") * F.col("sa"), n)
-        vb = F.col("sbb") - F.try_divide(F.col("sb") * F.col("sb"), n)
-        den = va * vb
-        # a side whose spread is lost in rounding noise counts as constant
-        flat = (va <= F.col("saa") * 1e-12) | (vb <= F.col("sbb") * 1e-12)
-        r = F.when((n > 1) & (den > 0) & ~flat, F.try_divide(cov, F.sqrt(den)))
-        # clamp rounding overshoot; least/greatest skip nulls, so guard them
-        r = F.when(r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
-        lab = F.array(*[F.struct(*[F.lit(v).alias(nm) for nm, v in zip(names, labels)]) for labels, _, _ in chunk])
-        parts.append(per_pair.select(lab[F.col("k")].alias("l"), r.alias(value))
-                     .select(*[F.col(f"l.{nm}").alias(nm) for nm in names], value))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    at = {c: i for i, c in enumerate(cols)}
+    r = pair_moments(df, cols).correlations()
+    rows = [(*labels, None if np.isnan(v := r[at[a], at[b]]) else float(v)) for labels, a, b in pairs]  # a row per pair of columns
+    return df.sparkSession.createDataFrame(rows, ", ".join(f"{n} string" for n in names) + f", {value} double")

@@ -62,8 +62,7 @@ def parse_label(c: Column, classes: list[int], default: int) -> Column:
 def parse_flag(c: Column, name: str) -> Column:
     """G11 for one field: ``name = <digits>`` -> 1.0 if >= 1 else 0.0; absent -> 0.0."""
     raw = F.regexp_extract(c, name + "\\s*=\\s*(\\d+)", 1)
-    val = raw.try_cast("decimal(38,0)")
-    return F.when(c.isNotNull() & (val >= 1), F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.when(c.isNotNull() & raw.rlike("[1-9]"), F.lit(1.0)).otherwise(F.lit(0.0))  # any number of digits
 
 
 def request_json(prompt: Column, model: str, system_prompt: str = "",

@@ -93,13 +93,17 @@ def bytes_of(column: pa.Array, p: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, p)
 
 
-def with_probabilities(df: DataFrame, probabilities, features: str) -> DataFrame:
-    """df with ``probs`` = probabilities(matrix of the features) and ``prediction``, the first of the largest."""
+def array_udf(of_matrix):
+    """A column function: of_matrix(rows x features) -> rows x values, over an array column."""
     @F.pandas_udf("array<double>")
-    def probs(x: pd.Series) -> pd.Series:
+    def apply(x: pd.Series) -> pd.Series:
         if not len(x):
             return pd.Series([], dtype=object)
-        return pd.Series(list(probabilities(np.array(x.tolist(), dtype=float))))
+        return pd.Series(list(of_matrix(np.array(x.tolist(), dtype=float))))
+    return apply
+
 
-    out = df.withColumn("probs", probs(as_array(df, features)))
+def with_probabilities(df: DataFrame, probabilities, features: str) -> DataFrame:
+    """df with ``probs`` = probabilities(matrix of the features) and ``prediction``, the first of the largest."""
+    out = df.withColumn("probs", array_udf(probabilities)(as_array(df, features)))
     return out.withColumn("prediction", (F.array_position("probs", F.array_max("probs")) - 1).cast("int"))

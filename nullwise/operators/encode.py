@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from .columns import column_kinds
 from .missing import missing_profile
 
-MAX_CATEGORIES = 1000
+#: Categories of a column that a plan may hold: each is a column or a branch of the projection on the driver.
+MAX_CATEGORIES = 100_000
 
 
 class TooManyCategories(ValueError):

@@ -1,8 +1,7 @@
 """Exploration aggregates.
 
-Correlations are computed pairwise-complete (``corr`` skips rows where
-either side is null), all pairs in one scan; chunks of ``CHUNK`` aggregates
-keep the generated code small.  Undefined correlations (a constant side)
+Correlations are computed pairwise-complete (rows where either side is null
+do not count), all pairs in one scan of matrix products.  Undefined correlations (a constant side)
 are dropped.  Quartiles are exact and distributed (``exact_quantiles``).
 """
 
@@ -14,25 +13,6 @@ from pyspark.sql import functions as F
 from ..functions.ordering import exact_quantiles
 from ..functions.stats import corr_long
 
-CHUNK = 200
-
-
-def _stack_aggs(df: DataFrame, items: list[tuple[list[str], object]], names: list[str]) -> DataFrame:
-    """Run aggregates in chunks and return them long: ``names + [value]``."""
-    parts = []
-    for start in range(0, len(items), CHUNK):
-        chunk = items[start:start + CHUNK]
-        wide = df.agg(*[expr.alias(f"_a{i}") for i, (_, expr) in enumerate(chunk)])
-        rows = ", ".join(
-            ", ".join(f"'{v}'" for v in labels) + f", _a{i}" for i, (labels, _) in enumerate(chunk))
-        cols = ", ".join(names + ["value"])
-        parts.append(wide.selectExpr(f"stack({len(chunk)}, {rows}) as ({cols})"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def _defined(col: str):
     return F.col(col).isNotNull() & ~F.isnan(col)
 

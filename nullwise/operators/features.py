@@ -95,13 +95,3 @@ def append_features(df: DataFrame, extra: DataFrame, key: str = "row_id",
         if n_in != n_out:
             raise ValueError(f"append_features changed the row count: {n_in} -> {n_out}")
     return out
-
-
-def append_scores(df: DataFrame, model, prefix: str, features_col: str = "features") -> DataFrame:
-    """class probabilities of a fitted MLlib model as new columns (stacking)."""
-    from pyspark.ml.functions import vector_to_array
-    scored = model.transform(df)
-    arr = vector_to_array(F.col(model.getProbabilityCol()))
-    k = len(scored.select(arr.alias("a")).first()["a"])
-    keep = [c for c in df.columns]
-    return scored.select(*keep, *[arr[i].alias(f"{prefix}{i}") for i in range(k)])

@@ -22,10 +22,11 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .boosting import Spec, fit_adaboost, fit_boosting
+from .binning import array_udf, as_array
+from .boosting import Spec, added_scores, class_shares, fit_adaboost, fit_boosting
 from .extra_trees import fit_extra_trees
 from .network import fit_network, hidden_features
 
@@ -213,6 +214,31 @@ def sweep(fit_fn, values: list, train: DataFrame, test: DataFrame, label: str,
         return list(ex.map(one, values))
 
 
+def _staged_accuracy(test: DataFrame, label: str, stages: Column) -> list[float]:
+    """Accuracy of every stage from an array column of predictions, in one scan."""
+    right = F.transform(stages, lambda s: (s == F.col(label)).cast("double"))
+    n = len(test.select(stages.alias("s")).first()["s"])
+    row = test.select(right.alias("r")).agg(*[F.avg(F.get("r", F.lit(i))).alias(f"a{i}") for i in range(n)]).first()
+    return [row[f"a{i}"] for i in range(n)]
+
+
+def sweep_boosting_rounds(train: DataFrame, test: DataFrame, label: str, values: list[int], rate: float = 0.1, depth: int = 3,
+                          features: str = "features") -> list[tuple]:
+    """L18 for boosting rounds: the first n rounds of one fit are the fit with n rounds."""
+    model = boosted(train, label, max(values), rate, depth, features)
+
+    def stages(x: np.ndarray) -> np.ndarray:
+        bins = model.bins.of(x)
+        raw, out, done = np.tile(model.start, (len(x), 1)), [], 0
+        for n in values:  # rising
+            raw = raw + added_scores(model.rounds[done:n], bins, model.rate, len(model.start))
+            done = max(done, min(n, len(model.rounds)))
+            out.append(class_shares(raw).argmax(axis=1))
+        return np.stack(out, axis=1).astype(float)
+
+    return list(zip(values, _staged_accuracy(test, label, array_udf(stages)(as_array(test, features)))))
+
+
 def importance_rank(fitted: Fitted, names: list[str], top: int = 20) -> list[tuple[str, float]]:
     """Forest importances zipped with names, top ``top``."""
     imp = fitted.model.featureImportances.toArray()

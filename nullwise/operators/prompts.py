@@ -10,6 +10,8 @@ aggregates and joins keyed by ``row_id``.
 
 from __future__ import annotations
 
+import threading
+import time
 from typing import Callable
 
 import pandas as pd
@@ -133,40 +135,66 @@ def parse_flags(df: DataFrame, col: str, names=FLAG_NAMES) -> DataFrame:
     return df.withColumns({n: parse_flag(F.col(col), n) for n in names})
 
 
-def score_rows(df: DataFrame, scorer: Callable[[list[str]], list[str]], prompt: str = "prompt",
-               key: str = "row_id", partitions: int | None = None) -> DataFrame:
-    """Run ``scorer`` on prompt batches inside executors.
+def _called(scorer: Callable, groups: list[list[str]], limit_s: float | None) -> list[list[str | None] | Exception]:
+    """Replies to each group of prompts, asked side by side; what failed or took longer than limit_s is an exception.
+
+    A call that hangs is left behind in a daemon thread: it neither holds up
+    the others nor the end of the worker.
+    """
+    found: list = [TimeoutError(f"no reply within {limit_s} s")] * len(groups)
+
+    def ask(at: int) -> None:
+        try:
+            replies = [None if r is None else str(r) for r in scorer(groups[at])]
+            if len(replies) != len(groups[at]):
+                raise ValueError(f"{len(replies)} replies to {len(groups[at])} prompts")
+            found[at] = replies
+        except Exception as e:  # noqa: BLE001 - told per row
+            found[at] = e
+
+    threads = [threading.Thread(target=ask, args=(at,), daemon=True) for at in range(len(groups))]
+    for t in threads:
+        t.start()
+    end = None if limit_s is None else time.monotonic() + limit_s
+    for t in threads:
+        t.join(None if end is None else max(0.0, end - time.monotonic()))
+    return list(found)
 
-    Each Arrow batch of prompts goes to the scorer at once; a failing batch
-    (or one with another number of replies) is retried row by row, and a row that still fails gets a null reply and
-    its error text (defaults are applied by the parser, so a failed call
-    never fails the task).  ``partitions`` spreads the calls evenly.
+
+def score_rows(df: DataFrame, scorer: Callable[[list[str]], list[str]], prompt: str = "prompt",
+               key: str = "row_id", partitions: int | None = None, calls: int = 4, call_rows: int = 256,
+               limit_s: float | None = None, retries: int = 1) -> DataFrame:
+    """Run ``scorer`` on groups of prompts inside executors: (key, reply, error), in the order of the rows.
+
+    A task keeps up to ``calls`` calls of ``call_rows`` prompts in flight.  A
+    call that fails, gives another number of replies or takes longer than
+    ``limit_s`` seconds is retried row by row, each row ``retries`` times; a
+    row that still fails gets a null reply and its error text (defaults are
+    applied by the parser, so a failed call never fails the task).
+    ``partitions`` spreads the calls evenly.  The scorer must be safe to call
+    from several threads; ``calls=1`` never has two in flight.
     """
     src = df.select(key, prompt)
     if partitions:
         src = src.repartition(partitions, key)
 
-    def ask(prompts):
-        replies = [None if r is None else str(r) for r in scorer(prompts)]
-        if len(replies) != len(prompts):
-            raise ValueError(f"{len(replies)} replies to {len(prompts)} prompts")
-        return replies
+    def in_turns(groups: list[list[str]]) -> list:
+        return [r for at in range(0, len(groups), calls) for r in _called(scorer, groups[at:at + calls], limit_s)]
 
     def run(batches):
         for pdf in batches:
             prompts = pdf[prompt].tolist()
-            try:
-                replies = ask(prompts)
-                errors = [None] * len(replies)
-            except Exception:  # noqa: BLE001 - fall back to one call per row
-                replies, errors = [], []
-                for p in prompts:
-                    try:
-                        replies += ask([p])
-                        errors.append(None)
-                    except Exception as e:  # noqa: BLE001
-                        replies.append(None); errors.append(f"{type(e).__name__}: {e}")
-            yield pd.DataFrame({key: pdf[key], "reply": replies, "error": errors})
+            groups = [prompts[at:at + call_rows] for at in range(0, len(prompts), call_rows)]
+            rows = []
+            for group, found in zip(groups, in_turns(groups)):
+                rows += [found] * len(group) if isinstance(found, Exception) else [[r] for r in found]
+            for _ in range(retries):
+                open_rows = [i for i, r in enumerate(rows) if isinstance(r, Exception)]
+                for i, found in zip(open_rows, in_turns([[prompts[i]] for i in open_rows])):
+                    rows[i] = found
+            failed = [isinstance(r, Exception) for r in rows]
+            yield pd.DataFrame({key: pdf[key], "reply": [None if f else r[0] for r, f in zip(rows, failed)],
+                                "error": [f"{type(r).__name__}: {r}" if f else None for r, f in zip(rows, failed)]})
 
     kt = dict(src.dtypes)[key]
     return src.mapInPandas(run, f"{key} {kt}, reply string, error string")

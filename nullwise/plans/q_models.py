@@ -99,7 +99,7 @@ _model_query("fit_hist_boosted_l2", lambda tr, n: L.hist_boosted(tr, "label", 20
 _model_query("fit_extra_trees", lambda tr, n: L.fit_extra_trees(tr, "label", 300))
 _model_query("fit_adaboost", lambda tr, n: L.fit_adaboost(tr, "label", 300, 0.05))
 _model_query("fit_adaboost_shares", lambda tr, n: L.fit_adaboost(tr, "label", 100, 1.0, probability=True))
-_model_query("fit_rbf", lambda tr, n: L.rbf_classifier(tr, "label", n, C=1.0, n_components=50))
+_model_query("fit_rbf", lambda tr, n: L.rbf_classifier(tr, "label", n, C=1.0))
 _model_query("fit_stack_linear", lambda tr, n: L.stack_linear(tr, "label", 200))
 _model_query("fit_stack_refine", lambda tr, n: L.stack_refine(tr, "label", 200))
 _model_query("fit_spline_logistic", lambda tr, n: L.spline_logistic(tr, "label", n, C=0.5))
@@ -126,11 +126,52 @@ def q_model_metrics(spark, sf):
     return V.run_metrics(preds)
 
 
+# fixed values: the grids of the reference's parameter sweeps (the neighbour count is in q_prompts)
+FOREST_TREES = [10, 25, 50, 75, 100, 150, 200, 250, 300]
+BOOSTING_ROUNDS = [25, 50, 75, 100, 125, 150, 200]
+KERNEL_C = [0.01, 0.1, 0.5, 1.0, 2.0, 5.0, 10.0]
+TREE_DEPTH = [2, 3, 4, 5, 6, 7, 8, 10, 12, 15, None]
+LOGISTIC_C = [0.001, 0.01, 0.1, 0.5, 1.0, 2.0, 5.0, 10.0]
+
+
+def _sweep_table(spark, found, schema: str):
+    """(value, test_accuracy, best): best is the first maximum."""
+    top = max(a for _, a in found)
+    first = next(i for i, (_, a) in enumerate(found) if a == top)
+    return spark.createDataFrame([(v, a, i == first) for i, (v, a) in enumerate(found)], f"{schema}, test_accuracy double, best boolean")
+
+
 @query("sweep_tree_depth")
 def q_sweep_tree_depth(spark, sf):
+    """Tree depth; the null depth is a tree without a limit."""
+    train, test, _ = prepared(spark, sf)
+    return _sweep_table(spark, L.sweep(lambda d: L.tree(train, "label", d), TREE_DEPTH, train, test, "label"), "max_depth int")
+
+
+@query("sweep_forest_trees")
+def q_sweep_forest_trees(spark, sf):
+    train, test, _ = prepared(spark, sf)
+    return _sweep_table(spark, L.sweep(lambda n: L.forest(train, "label", n), FOREST_TREES, train, test, "label"), "n_trees int")
+
+
+@query("sweep_boosting_rounds")
+def q_sweep_boosting_rounds(spark, sf):
+    """Boosting rounds, all from one fit of the most rounds."""
+    train, test, _ = prepared(spark, sf)
+    return _sweep_table(spark, L.sweep_boosting_rounds(train, test, "label", BOOSTING_ROUNDS), "n_rounds int")
+
+
+@query("sweep_logistic_c")
+def q_sweep_logistic_c(spark, sf):
     train, test, _ = prepared(spark, sf)
-    res = L.sweep(lambda d: L.tree(train, "label", d), [1, 2, 3, 5, 8, 12], train, test, "label")
-    return spark.createDataFrame(res, "max_depth int, test_accuracy double")
+    n = train.count()
+    return _sweep_table(spark, L.sweep(lambda c: L.logistic(train, "label", C=c, n=n), LOGISTIC_C, train, test, "label"), "c double")
+
+
+@query("sweep_kernel_c")
+def q_sweep_kernel_c(spark, sf):
+    train, test, names = prepared(spark, sf)
+    return _sweep_table(spark, L.sweep(lambda c: L.rbf_classifier(train, "label", names, C=c), KERNEL_C, train, test, "label"), "c double")
 
 
 @query("importance_rank")

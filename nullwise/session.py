@@ -8,6 +8,7 @@ caller's session and reads settings from it.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -65,3 +66,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def make_importable(spark: SparkSession) -> None:
+    """Let the Python workers find this package, wherever the driver was started.
+
+    Workers that inherit a PYTHONPATH with the package need nothing.  Local
+    workers get the folder by their environment; a cluster's executors fetch
+    a zip of the package from the driver, once per application.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    sc = spark.sparkContext
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        sc.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, sc.environment.get("PYTHONPATH")]))
+    else:
+        sc.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(), "nullwise"), "zip", root, "nullwise"))

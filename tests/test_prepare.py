@@ -84,3 +84,14 @@ def test_folds_balanced(spark):
     df = spark.range(100).select(F.col("id").alias("row_id"), (F.col("id") % 2).alias("y"))
     f = T.assign_folds(df, "y", 5).groupBy("fold", "y").count().collect()
     assert all(r["count"] == 10 for r in f)
+
+
+def test_more_than_a_thousand_categories(spark):
+    from pyspark.sql import functions as F
+
+    from nullwise.operators import encode as E
+    df = spark.range(1001).select(F.col("id").alias("row_id"), F.format_string("v%04d", "id").alias("c"))
+    plan = E.fit_encoding(df, ["c"])
+    assert len(plan.feature_names()) == 1001
+    codes = E.fit_targets(df, ["c"]).transform(df).where("row_id in (0, 1000)").orderBy("row_id").collect()
+    assert [r.c for r in codes] == [0, 1000]

@@ -73,3 +73,42 @@ def test_evidence_of_a_model_without_probability(spark):
                                "row_id int, model string, pred_id int, label_name string, probability double")
     text = G.evidence_text(df).first()["evidence_text"]
     assert "- a: predicted 1 (high), probability = 0.250\n- b: predicted 0 (low)\n" in text
+
+
+def test_flags_of_any_length(spark):
+    from nullwise.functions.text import parse_flag
+    rows = [("a = " + "9" * 39, 1.0), ("a=" + "0" * 50, 0.0), ("a = 0" + "0" * 40 + "7", 1.0), ("a = 10", 1.0), ("a=0", 0.0), ("b=1", 0.0), (None, 0.0)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string")
+    got = df.select("i", parse_flag(df.t, "a").alias("f")).orderBy("i").collect()
+    assert [r.f for r in got] == [w for _, w in rows]
+
+
+def test_score_rows_calls_side_by_side_in_order(spark):
+    import time
+
+    def slow(prompts):
+        time.sleep(0.5)
+        return [p.upper() for p in prompts]
+
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(16)], "row_id int, prompt string").coalesce(1)
+    G.score_rows(df, lambda p: p).collect()  # workers are up
+    start = time.monotonic()
+    out = G.score_rows(df, slow, calls=8, call_rows=1).collect()
+    assert time.monotonic() - start < 5.0  # 8 s one after another
+    assert [(r["row_id"], r["reply"], r["error"]) for r in out] == [(i, f"P{i}", None) for i in range(16)]
+
+
+def test_score_rows_leaves_a_hanging_call(spark):
+    import time
+
+    def hangs(prompts):
+        if "p3" in prompts:
+            time.sleep(3600)
+        return prompts
+
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(8)], "row_id int, prompt string").coalesce(1)
+    start = time.monotonic()
+    out = G.score_rows(df, hangs, calls=4, call_rows=2, limit_s=1.0).collect()
+    assert time.monotonic() - start < 30
+    assert [r["reply"] for r in out] == [None if i == 3 else f"p{i}" for i in range(8)]
+    assert out[3]["error"].startswith("TimeoutError")
