@@ -71,9 +71,13 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     their share) and the rounding function floor((k + 1) x) / k, which keeps
     x where (k + 1) x is whole.
     """
-    if not len(lengths):
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def bound_of_counts(number: np.ndarray, capacity: int) -> int:
+    """``lower_bound`` from the number of pieces of each length, 0 to capacity."""
+    if not number.sum():
         return 0
-    number = np.bincount(lengths, minlength=capacity + 1)
     size = np.arange(capacity + 1)
     weight = np.cumsum(number * size)
     many = np.cumsum(number)

@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordTable, stored, text_slices, vocabulary, words
-from .packing import best_fit_decreasing, lower_bound
+from .packing import best_fit_decreasing, bound_of_counts, lower_bound
 
 VOCABULARY, CAPACITY, END_ID = "word_bpe_49k.json", 2048, 0
+#: Words that a Python worker remembers (some 300 bytes each); when full it starts again.
+WORDS = 200_000
 #: Pieces that one partition packs (40 bytes each): grows no further with the input.
 PIECES, ROUNDS = 50_000, 4
 #: Letters whose normal form and lower case are plain, then marks: exactly two pre-tokens of the vocabulary.
@@ -41,7 +43,7 @@ class WordEncoder:
     are remembered; any other word goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, room: int = 600_000):
+    def __init__(self, path: str, room: int):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
@@ -80,7 +82,7 @@ class WordEncoder:
 
 
 def encoder_table(path: str) -> WordTable:
-    return WordTable(WordEncoder(path))
+    return WordTable(WordEncoder(path, WORDS // 2), WORDS)
 
 
 def _tokenised(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: int) -> DataFrame:
@@ -139,8 +141,10 @@ def _round(open_pieces: DataFrame, n: int, number: int, capacity: int, per_group
 
 def _bound(pieces: DataFrame, capacity: int) -> int:
     """Lower bound over all rows, from the counts per length (capacity rows at most)."""
-    counts = pieces.groupBy("length").count().collect()
-    return lower_bound(np.repeat(np.array([r["length"] for r in counts], np.int64), [r["count"] for r in counts]), capacity) if counts else 0
+    number = np.zeros(capacity + 1, np.int64)
+    for r in pieces.groupBy("length").count().collect():
+        number[r["length"]] = r["count"]
+    return bound_of_counts(number, capacity)
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
