@@ -191,6 +191,37 @@ def stack_refine(train: DataFrame, label: str, n_trees: int = 100, seed: int = 4
     return StackModel([m1], meta)
 
 
+# --------------------------------------------------------------------------- committees
+def with_members(df: DataFrame, members: list) -> DataFrame:
+    """df with the class probabilities of every fitted member (``_m0``, ``_m1`` ...), one projection after the other."""
+    for i, m in enumerate(members):
+        df = m.predict(df).withColumnRenamed("probs", f"_m{i}").drop("prediction")
+    return df
+
+
+def _mean_of(n: int, of) -> Column:
+    return sum((of(F.col(f"_m{i}")) for i in range(1, n)), of(F.col("_m0"))) / n
+
+
+@dataclass
+class SoftVote:
+    """The mean of the members' class probabilities, the lower class on ties."""
+    members: list
+    def predict(self, df: DataFrame) -> DataFrame:
+        n = len(self.members)
+        total = F.col("_m0")
+        for i in range(1, n):
+            total = F.zip_with(total, F.col(f"_m{i}"), lambda a, b: a + b)
+        out = with_members(df, self.members).withColumn("probs", F.transform(total, lambda s: s / n))
+        best = (F.array_position("probs", F.array_max("probs")) - 1).cast("int")
+        return out.withColumn("prediction", best).drop(*[f"_m{i}" for i in range(n)])
+
+
+def committee_uncertainty(df: DataFrame, members: list, key: str = "row_id") -> DataFrame:
+    """G16 for fitted members: 1 - the mean of their top class probabilities, without a shuffle."""
+    return with_members(df, members).select(key, F.round(1 - _mean_of(len(members), F.array_max), 10).alias("uncertainty"))
+
+
 # --------------------------------------------------------------------------- running
 def run_model(fitted, train: DataFrame, test: DataFrame, label: str, key: str = "row_id") -> DataFrame:
     """Predictions for both splits (row_id, split, label, prediction, probs)."""

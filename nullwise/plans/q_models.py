@@ -103,6 +103,9 @@ _model_query("fit_rbf", lambda tr, n: L.rbf_classifier(tr, "label", n, C=1.0))
 _model_query("fit_stack_linear", lambda tr, n: L.stack_linear(tr, "label", 200))
 _model_query("fit_stack_refine", lambda tr, n: L.stack_refine(tr, "label", 200))
 _model_query("fit_spline_logistic", lambda tr, n: L.spline_logistic(tr, "label", n, C=0.5))
+_model_query("fit_soft_vote_depths", lambda tr, n: L.SoftVote([L.boosted(tr, "label", 150, 0.05, d) for d in (2, 4)]))
+_model_query("fit_soft_vote_mixed", lambda tr, n: L.SoftVote([L.forest(tr, "label", 200), L.boosted(tr, "label", 200, 0.05, 3),
+                                                              L.hist_boosted(tr, "label", 200, 0.05)]))
 _model_query("fit_neural_forest", lambda tr, n: L.neural_forest(tr, "label", len(n), 200, hidden=(64, 64)))
 
 
@@ -226,18 +229,13 @@ def q_boundary_hybrid(spark, sf):
     base = L.forest(train, "label", 300)
     committee = [L.forest(train, "label", 200, seed=7), L.boosted(train, "label", 200),
                  L.fit_extra_trees(train, "label", 200)]
-    def unc(d):
-        parts = [m.predict(d).select("row_id", F.lit(i).alias("model"), "probs") for i, m in enumerate(committee)]
-        u = parts[0]
-        for p in parts[1:]:
-            u = u.unionByName(p)
-        return G.uncertainty(u)
-    thr = G.boundary_threshold(unc(train), 0.2).first()["threshold"]
-    boundary = train.join(unc(train).where(F.col("uncertainty") > thr), "row_id", "left_semi")
+    seen = L.committee_uncertainty(train, committee).persist(StorageLevel.MEMORY_AND_DISK)  # used twice: threshold and boundary
+    thr = G.boundary_threshold(seen, 0.2).first()["threshold"]
+    boundary = train.join(seen.where(F.col("uncertainty") > thr), "row_id", "left_semi")
     alt = L.tree(boundary, "label", 3)
     b = base.predict(test).select("row_id", "prediction", F.col("probs")[0].alias("p0"), F.col("probs")[1].alias("p1"))
     a = alt.predict(test).select("row_id", "prediction")
-    return G.route(b, a, unc(test), thr, 2)
+    return G.route(b, a, L.committee_uncertainty(test, committee), thr, 2)
 
 
 @query("compare_imputers")
