@@ -43,7 +43,7 @@ class WordEncoder:
     are remembered; any other word goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, room: int):
+    def __init__(self, path: str, room: int = WORDS // 2):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
@@ -82,7 +82,7 @@ class WordEncoder:
 
 
 def encoder_table(path: str) -> WordTable:
-    return WordTable(WordEncoder(path, WORDS // 2), WORDS)
+    return WordTable(WordEncoder(path), WORDS)
 
 
 def _tokenised(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: int) -> DataFrame:
