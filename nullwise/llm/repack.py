@@ -25,8 +25,8 @@ from .common import WordTable, stored, text_slices, vocabulary, words
 from .packing import best_fit_decreasing, bound_of_counts, lower_bound
 
 VOCABULARY, CAPACITY, END_ID = "word_bpe_49k.json", 2048, 0
-#: Words that a Python worker remembers (some 300 bytes each); when full it starts again.
-WORDS = 200_000
+#: Words that a Python worker remembers, and half as many of their parts (some 300 bytes each); when full it starts again.
+WORDS = 400_000
 #: Pieces that one partition packs (40 bytes each): grows no further with the input.
 PIECES, ROUNDS = 50_000, 4
 #: Letters whose normal form and lower case are plain, then marks: exactly two pre-tokens of the vocabulary.
