@@ -104,8 +104,6 @@ _model_query("fit_stack_linear", lambda tr, n: L.stack_linear(tr, "label", 200))
 _model_query("fit_stack_refine", lambda tr, n: L.stack_refine(tr, "label", 200))
 _model_query("fit_spline_logistic", lambda tr, n: L.spline_logistic(tr, "label", n, C=0.5))
 _model_query("fit_soft_vote_depths", lambda tr, n: L.SoftVote([L.boosted(tr, "label", 150, 0.05, d) for d in (2, 4)]))
-_model_query("fit_soft_vote_mixed", lambda tr, n: L.SoftVote([L.forest(tr, "label", 200), L.boosted(tr, "label", 200, 0.05, 3),
-                                                              L.hist_boosted(tr, "label", 200, 0.05)]))
 _model_query("fit_neural_forest", lambda tr, n: L.neural_forest(tr, "label", len(n), 200, hidden=(64, 64)))
 
 
@@ -227,7 +225,7 @@ def q_boundary_hybrid(spark, sf):
     the train threshold take the alternate model's label (here a depth-3 tree)."""
     train, test, _ = prepared(spark, sf)
     base = L.forest(train, "label", 300)
-    committee = [L.forest(train, "label", 200, seed=7), L.boosted(train, "label", 200),
+    committee = [L.forest(train, "label", 200, seed=7), L.boosted(train, "label", 100),
                  L.fit_extra_trees(train, "label", 200)]
     seen = L.committee_uncertainty(train, committee).persist(StorageLevel.MEMORY_AND_DISK)  # used twice: threshold and boundary
     thr = G.boundary_threshold(seen, 0.2).first()["threshold"]

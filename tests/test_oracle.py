@@ -18,7 +18,7 @@ HEAVY = {"forward_select", "fit_stack_linear", "fit_neural_forest", "fit_rbf", "
          "fit_stack_refine", "fit_extra_trees", "fit_forest", "fit_l1_logistic", "sweep_tree_depth",
          "importance_rank", "l1_rank", "chained_impute", "compare_imputers", "fit_spline_logistic",
          "backward_select", "forward_backward", "fit_hist_boosted_l2", "fit_adaboost_shares", "sweep_forest_trees",
-         "sweep_boosting_rounds", "fit_soft_vote_depths", "fit_soft_vote_mixed", "sweep_logistic_c", "sweep_kernel_c"}
+         "sweep_boosting_rounds", "fit_soft_vote_depths", "sweep_logistic_c", "sweep_kernel_c"}
 
 
 def _duck(sf, sql):
