@@ -3,8 +3,8 @@
 A step of the greedy search compares one logistic model per candidate and
 fold.  They share their rows, so they are fitted side by side: the driver
 holds the coefficients of all of them, one scan returns their losses,
-gradients and second derivatives (NumPy per block of rows, added up over the
-cluster), and a damped Newton step follows for each.  A step costs some six
+gradients and second derivatives (a few matrix products per block of rows for
+all models, added up over the cluster), and a damped Newton step follows for each.  A step costs some six
 scans however many candidates there are; the rows stay where they are.
 
 The model is L2 logistic regression as in L2 (C = 1, intercept free), one
@@ -27,6 +27,8 @@ from ..functions.partials import added_up, matrix, partial_sums
 from ..session import stored
 
 TOLERANCE, ROUNDS = 1e-7, 100
+#: Rows whose sums are taken at once, and products of two columns held for them (8 bytes each): what fits a core's cache.
+ROWS, PRODUCTS = 512, 1 << 16
 
 
 @dataclass
@@ -37,6 +39,7 @@ class Rows:
     p: int
     k: int
     folds: int
+    finite: bool = False  # no cell is missing, nan or infinite
 
 
 def _decoded(batch: pa.RecordBatch, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,10 +49,13 @@ def _decoded(batch: pa.RecordBatch, p: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def selection_rows(df: DataFrame, label: str, fold_col: str, features: str = "features") -> Rows:
-    table = stored(df.select(vector_to_array(features).alias("x"), F.col(label).cast("int").alias("y"), F.col(fold_col).cast("int").alias("fold")),
-                   "selection")
-    stats = table.agg(F.max(F.size("x")).alias("p"), (F.max("y") + 1).alias("k"), (F.max("fold") + 1).alias("folds")).first()
-    return Rows(table, stats["p"] or 0, max(stats["k"] or 0, 2), stats["folds"] or 0)
+    rows = df.select(vector_to_array(features).alias("x"), F.col(label).cast("int").alias("y"), F.col(fold_col).cast("int").alias("fold"))
+    # dealt evenly once: the folds come in a few partitions of unlike size, and every scan waits for the largest
+    table = stored(rows.repartition(3 * df.sparkSession.sparkContext.defaultParallelism), "selection")
+    number = F.forall("x", lambda v: v.isNotNull() & (F.abs(v) < float("inf")))  # nan is above infinity
+    stats = table.agg(F.max(F.size("x")).alias("p"), (F.max("y") + 1).alias("k"), (F.max("fold") + 1).alias("folds"),
+                      F.min(number).alias("finite")).first()
+    return Rows(table, stats["p"] or 0, max(stats["k"] or 0, 2), stats["folds"] or 0, bool(stats["finite"]))
 
 
 def _probabilities(x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -61,20 +67,64 @@ def _probabilities(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def _sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """(loss, gradient, second derivatives) of one model over rows x, without the penalty."""
-    p = _probabilities(x, w)
-    outputs, columns = w.shape
-    hit = (y[:, None] == np.arange(1, 2)) if outputs == 1 else (y[:, None] == np.arange(outputs))
-    of_label = np.where(hit, p, 1 - p)[:, 0] if outputs == 1 else p[hit]
-    loss = -np.log(np.maximum(of_label, 1e-300)).sum()
-    gradient = ((p - hit).T @ x).ravel()
-    second = np.empty((outputs, columns, outputs, columns))
-    for a in range(outputs):
-        for b in range(a, outputs):
-            weight = p[:, a] * ((a == b) - p[:, b])
-            second[a, :, b, :] = second[b, :, a, :] = (x * weight[:, None]).T @ x
-    return loss, gradient, second.reshape(outputs * columns, outputs * columns)
+def _groups(columns: list[np.ndarray], finite: bool) -> list[tuple[np.ndarray, list[int]]]:
+    """(columns, places of the models) of the models that one set of matrix products serves.
+
+    All models share the products of their columns if that costs at most
+    eight times what each needs by itself, else models of the same columns
+    do.  Cells that are no finite numbers must not meet the zeros that stand
+    for a model's missing columns.
+    """
+    together = np.unique(np.concatenate(columns))
+    if finite and len(columns) * len(together) ** 2 <= 8 * sum(len(c) ** 2 for c in columns):
+        return [(together, list(range(len(columns))))]
+    same: dict[tuple[int, ...], list[int]] = {}
+    for i, c in enumerate(columns):
+        same.setdefault(tuple(c), []).append(i)
+    return [(np.array(c), places) for c, places in same.items()]
+
+
+def _sums(x: np.ndarray, y: np.ndarray, fold: np.ndarray, left_out: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(losses, gradients, second derivatives) of the models w (models, outputs, columns), without the penalty.
+
+    x is (columns, rows).  The products of every two columns are written
+    once; a matrix product with the weights of all models gives the second
+    derivatives: of outputs a <= b, columns i <= j, as (models, pairs of
+    outputs, pairs of columns).
+    """
+    models, outputs, columns = w.shape
+    inside = (fold != left_out[:, None]).astype(float)[:, None, :]
+    z = (w.reshape(models * outputs, columns) @ x).reshape(models, outputs, -1)
+    if outputs == 1:
+        p = 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700)))
+        hit = y[None, :] == 1
+        of_label = np.abs(p - ~hit)[:, 0]
+    else:
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        hit = y[None, :] == np.arange(outputs)[:, None]
+        of_label = np.where(hit, p, 0.0).sum(axis=1) + ~hit.any(axis=0)
+    loss = -(np.log(np.maximum(of_label, 1e-300)) * inside[:, 0]).sum(axis=1)
+    gradient = (((p - hit) * inside).reshape(models * outputs, -1) @ x.T).reshape(models, outputs, columns)
+    products = np.concatenate([x[i] * x[i:] for i in range(columns)])
+    weights = np.stack([p[:, a] * ((a == b) - p[:, b]) * inside[:, 0] for a in range(outputs) for b in range(a, outputs)], axis=1)
+    second = (weights.reshape(-1, x.shape[1]) @ products.T).reshape(models, weights.shape[1], -1)
+    return loss, gradient, second
+
+
+def _of_model(held: np.ndarray, cols: np.ndarray, gradient: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and second derivatives of a model with columns ``cols`` from those over the columns ``held``."""
+    outputs, n = gradient.shape
+    at = np.searchsorted(held, cols) if len(held) != len(cols) else np.arange(n)
+    whole = np.empty((outputs, n, outputs, n))
+    pairs = [(a, b) for a in range(outputs) for b in range(a, outputs)]
+    for (a, b), values in zip(pairs, second):
+        block = np.zeros((n, n))
+        block[np.triu_indices(n)] = values
+        block = block + np.triu(block, 1).T
+        whole[a, :, b, :] = whole[b, :, a, :] = block
+    size = outputs * len(cols)
+    return gradient[:, at].ravel(), whole[:, at][:, :, :, at].reshape(size, size)
 
 
 def fit_many(rows: Rows, models: list[tuple[tuple[int, ...], int]], c: float = 1.0, start: list | None = None) -> list[np.ndarray]:
@@ -91,22 +141,28 @@ def fit_many(rows: Rows, models: list[tuple[tuple[int, ...], int]], c: float = 1
     for _ in range(ROUNDS):
         if not open_:
             break
-        sent = [(i, columns[i], models[i][1], w[i]) for i in open_]
+        sent = []
+        for held, places in _groups([columns[i] for i in open_], rows.finite):
+            padded = np.zeros((len(places), outputs, len(held)))
+            for at, place in enumerate(places):
+                i = open_[place]
+                padded[at][:, np.searchsorted(held, columns[i]) if len(held) != len(columns[i]) else slice(None)] = w[i]
+            sent.append((held, places, np.array([models[open_[place]][1] for place in places]), padded))
 
         def of_block(batch: pa.RecordBatch) -> tuple:
             x, y, fold = _decoded(batch, p)
-            out = []
-            for _, cols, left_out, wi in sent:
-                inside = fold != left_out
-                out += _sums(x[inside][:, cols], y[inside], wi)
-            return tuple(out)
+            x = np.ascontiguousarray(x.T)
+            return tuple(part for held, _, left_out, of_models in sent for part in _sums(x[held], y, fold, left_out, of_models))
 
-        found = added_up(partial_sums(rows.table, of_block))
+        widest = max(len(held) for held, *_ in sent)
+        found = added_up(partial_sums(rows.table, of_block, max(64, min(ROWS, PRODUCTS // (widest * (widest + 1) // 2)))))
         if found is None:
             break
+        sums = {open_[place]: (found[3 * g][at], *_of_model(held, columns[open_[place]], found[3 * g + 1][at], found[3 * g + 2][at]))
+                for g, (held, places, *_) in enumerate(sent) for at, place in enumerate(places)}
         still = []
-        for at, i in enumerate(open_):
-            loss, gradient, second = found[3 * at:3 * at + 3]
+        for i in open_:
+            loss, gradient, second = sums[i]
             penalty = np.tile(np.r_[0.0, np.full(len(columns[i]) - 1, 1.0 / c)], outputs)
             flat = w[i].ravel()
             loss = loss + 0.5 * (penalty * flat * flat).sum()

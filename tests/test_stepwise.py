@@ -105,3 +105,61 @@ def test_partial_results_are_added_in_groups(spark):
     total = added_up(partial_sums(rows, lambda b: (b.num_rows, b.column(0).to_numpy().sum())), fan=3)
     assert total == (1000, 499500)
     assert added_up(partial_sums(rows.where("id < 0"), lambda b: (b.num_rows,))) is None
+
+
+def test_sums_of_all_models_at_once_equal_each_model_by_itself(spark):
+    for k, finite in ((2, True), (2, False), (3, True), (3, False)):
+        x, y, fold = made(k, n=300, p=12, seed=4)
+        outputs = 1 if k == 2 else k
+        rng = np.random.default_rng(1)
+        sets = [(5, 0), (2, 8, 1), (2, 8, 1), tuple(range(12)), ()]
+        columns = [np.array([0, *(f + 1 for f in s)]) for s in sets]
+        left_out = np.array([-1, 0, 3, 2, 1])
+        w = [rng.standard_normal((outputs, len(c))) for c in columns]
+        z = np.c_[np.ones(len(x)), x]
+        groups = sw._groups(columns, finite)
+        assert sorted(i for _, places in groups for i in places) == list(range(5))
+        assert finite or len(groups) == 4  # cells that are no numbers stay with the models that use them
+        for held, places in groups:
+            padded = np.zeros((len(places), outputs, len(held)))
+            for at, i in enumerate(places):
+                padded[at][:, [list(held).index(c) for c in columns[i]]] = w[i]
+            loss, gradient, second = sw._sums(np.ascontiguousarray(z.T[held]), y, fold, left_out[places], padded)
+            for at, i in enumerate(places):
+                inside = fold != left_out[i]
+                mine, t = z[inside][:, columns[i]], y[inside]
+                score = mine @ w[i].T
+                p = 1 / (1 + np.exp(-score)) if k == 2 else np.exp(score) / np.exp(score).sum(axis=1, keepdims=True)
+                hit = (t[:, None] == np.arange(1, 2)) if k == 2 else (t[:, None] == np.arange(k))
+                of_label = np.where(hit, p, 1 - p)[:, 0] if k == 2 else p[hit]
+                blocks = [[(mine * (p[:, a] * ((a == b) - p[:, b]))[:, None]).T @ mine for b in range(outputs)] for a in range(outputs)]
+                g, h = sw._of_model(held, columns[i], gradient[at], second[at])
+                assert loss[at] == pytest.approx(-np.log(of_label).sum())
+                assert g == pytest.approx(((p - hit).T @ mine).ravel(), abs=1e-9)
+                assert h == pytest.approx(np.block(blocks), abs=1e-9)
+
+
+def test_a_scan_takes_a_few_products_for_all_models():
+    columns = [np.array([0, *range(1, j), *range(j + 1, 12)]) for j in range(1, 12) for _ in range(5)]
+    (held, places), = sw._groups(columns, True)  # one call of _sums a block, not 55
+    assert list(held) == list(range(12)) and len(places) == 55
+
+
+def test_cells_without_a_number_stay_with_the_models_that_use_them(spark):
+    x, y, fold = made(2, n=200)
+    x[7, 2] = float("inf")
+    rows = sw.selection_rows(frame(spark, x, y, fold), "label", "fold")
+    assert not rows.finite
+    clean = sw.selection_rows(frame(spark, np.where(np.isfinite(x), x, 0.0), y, fold), "label", "fold")
+    assert clean.finite
+    both = [sw.fit_many(r, [((0, 1), -1), ((0, 3), 1)]) for r in (rows, clean)]
+    for a, b in zip(*both):
+        assert a == pytest.approx(b)
+
+
+def test_stored_rows_are_dealt_evenly(spark):
+    x, y, fold = made(2, n=800)
+    uneven = frame(spark, x, y, fold).coalesce(1)
+    rows = sw.selection_rows(uneven, "label", "fold")
+    sizes = [sum(1 for _ in part) for part in rows.table.rdd.glom().collect()]
+    assert sum(sizes) == 800 and max(sizes) <= 400
