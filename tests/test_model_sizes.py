@@ -1,5 +1,6 @@
 import pytest
 
+from nullwise.operators import binning
 from nullwise.plans import q_models
 from nullwise.plans.registry import QUERIES
 
@@ -31,3 +32,11 @@ def test_queries_run_the_sizes_of_the_survey(name, monkeypatch):
     with pytest.raises(Called) as seen:
         QUERIES[name](None, None)
     assert seen.value.args == WANT[name][1:]
+
+
+def test_many_rows_are_dealt_evenly(spark, monkeypatch):
+    """The split ranks a class in one task; the fits must not read the rows as that left them."""
+    monkeypatch.setattr(binning, "ROWS_PER_TASK", 300)
+    train, _, _ = q_models.prepared(spark, "/root/testdata/sf0.001")
+    sizes = train.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) >= 4 and max(sizes) < 1.5 * sum(sizes) / len(sizes)
