@@ -17,6 +17,8 @@ from .repack import pack_documents
 
 #: Words of a shingle in the near-dedup stage (the op8 query takes four by its own contract).
 SHINGLE = 5
+#: Ids of dropped documents (8 bytes each) up to which their table is broadcast.
+GONE = 2_000_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of repeated rows (same id) one stays; rows without an id stay.
     """
     verdict = stored(minhash_dedup(docs, shingle=SHINGLE).select("doc_id", "kept").where(F.col("doc_id").isNotNull()), "verdict")
-    out = docs.join(verdict.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    gone = stored(verdict.where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    # the texts stay where they are while the ids fit a broadcast
+    out = docs.join(F.broadcast(gone) if gone.count() <= GONE else gone, "doc_id", "left_anti").select(docs.columns)
     repeated = stored(verdict.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return out
