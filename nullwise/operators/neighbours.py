@@ -52,7 +52,8 @@ def class_prototypes(df: DataFrame, label: str, features: list[str], k: int = 3,
     d = j.select(key, label, F.round(F.sqrt(sq), digits).alias("dist"))
     w = Window.partitionBy(label).orderBy("dist", key)
     top = d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return top.join(lab.select(key, *features), key).select(
+    # k rows per class, as many classes as the broadcast centres: the rows of df are not shuffled
+    return lab.select(key, *features).join(F.broadcast(top), key).select(
         label, F.col("rank").cast("int"), key, "dist", *features)
 
 

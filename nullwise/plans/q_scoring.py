@@ -14,6 +14,8 @@ from ..operators import features as FT
 from ..operators import prompts as G
 from ..operators import scorers as S
 from ..operators import split as T
+from ..operators.binning import dealt
+from ..session import stored
 from ..sources import fixtures as X
 from .cases import FEATURES, SEED, TEST_FRAC
 from .q_prepare import split_sql
@@ -23,11 +25,14 @@ W = X.with_clause
 
 
 def _labelled(spark, sf):
+    """(row_id, features, label, y_multi, split), written once: fit, refresh and
+    prediction read it a dozen times, and the ranks of the split cost several shuffles."""
     df = X.cases_raw(spark, sf)
     enc = E.fit_targets(df, ["target_bin", "target_multi"])
     lab = df.select("row_id", *FEATURES, enc.code("target_bin").alias("label"),
                     enc.code("target_multi").alias("y_multi"))
-    return T.stratified_split(lab, "label", TEST_FRAC, SEED)
+    # dealt evenly: the ranks of the split leave a class's rows in one task
+    return stored(dealt(T.stratified_split(lab, "label", TEST_FRAC, SEED), df.count()), "labelled")
 
 
 _NAMES = {0: "high", 1: "low"}

@@ -1,10 +1,13 @@
 """Run metrics on more than two classes, profiles of empty tables, example slots of the prompt classifier."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from nullwise.operators import metrics as V
 from nullwise.operators import missing as M
-from nullwise.operators.classifier import PromptClassifier
+from nullwise.operators.classifier import PromptClassifier, _prototype_cases
+from nullwise.plans import q_scoring
+from nullwise.sources import fixtures
 
 RUN = "model string, split string, label int, prediction int, p0 double, p1 double, p2 double"
 
@@ -52,3 +55,36 @@ def test_misses_take_slots(spark, policy):
     prompt = clf.prompts(train.where("row_id = 3")).first()["prompt"]
     assert "0 = no\n1 = yes" in prompt and prompt.count("Correct label for t: 1 (yes)") == 2
     assert prompt.rstrip().endswith("no explanation.") and "x = 3.0; s = u" in prompt
+
+
+def _rows(spark, n):
+    return spark.range(n).select(
+        F.col("id").alias("row_id"), F.col("id").cast("double").alias("total_price"), *[F.col("id").cast("double").alias(c) for c in ("acct_bal", "n_lines", "sum_qty", "avg_disc")],
+        F.lit("s").alias("segment"), F.lit("F").alias("line_status"), F.when(F.col("id") % 2 == 0, "high").otherwise("low").alias("target_bin"),
+        F.when(F.col("id") % 3 == 0, "F").otherwise("O").alias("target_multi"))
+
+
+def test_labelled_split_is_computed_once(spark, monkeypatch):
+    """Later scans read the written split, in as many parts as its rows need."""
+    monkeypatch.setattr(fixtures, "cases_raw", lambda spark, sf: _rows(spark, 120_000))
+    out = q_scoring._labelled(spark, "")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "FileScan parquet" in plan
+    assert len(out.inputFiles()) == 3
+    split = {(r["label"], r["split"]): r["count"] for r in out.groupBy("label", "split").count().collect()}
+    assert split == {(0, "train"): 48_000, (0, "test"): 12_000, (1, "train"): 48_000, (1, "test"): 12_000}
+
+
+def test_prototype_texts_leave_the_rows_in_place(spark):
+    """The few nearest rows are broadcast whatever Spark's threshold, so train is not shuffled."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        train = spark.createDataFrame([(i, float(i), i // 10) for i in range(20)], "row_id int, x double, label int")
+        out = _prototype_cases(train, "label", ["x"], 2, "row_id", {}, [F.col("x").alias("_x")])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        rows = sorted((r["label"], r["rank"], r["case_text"], r["_x"]) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan
+    assert rows == [(0, 1, "x = 4.0", 4.0), (0, 2, "x = 5.0", 5.0), (1, 1, "x = 14.0", 14.0), (1, 2, "x = 15.0", 15.0)]
