@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -65,6 +65,21 @@ def vocabulary(name: str, folder: str | None = None) -> str:
     return os.path.join(folder or VOCABULARY_DIR, name)
 
 
+_held: dict = {}
+
+
+def worker_held(key, make: Callable):
+    """make(), held by this process until another key is asked for.
+
+    A Python worker serves one stage after another; what a stage built once
+    (a vocabulary, word tables) makes room for what the next one builds.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], text_col: str,
                 limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
     """(rows, texts) with about ``limit`` bytes of text each; nulls stay None."""

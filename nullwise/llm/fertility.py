@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, text_slices, vocabulary, words
+from .common import extended, text_slices, vocabulary, words, worker_held
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: The split of the rank files into parts (fixed value, given with the vocabularies).
@@ -34,7 +34,6 @@ _SYMBOLS = "#*$%&|<>"
 class ByteVocabulary:
     """A byte-level vocabulary of ranks; texts are encoded in parts that bound the encoder's stack."""
 
-    _loaded: dict[str, "ByteVocabulary"] = {}
     PART = 1 << 16
 
     def __init__(self, path: str):
@@ -52,9 +51,7 @@ class ByteVocabulary:
 
     @classmethod
     def load(cls, path: str) -> "ByteVocabulary":
-        if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
-        return cls._loaded[path]
+        return worker_held(("bytes", path), lambda: cls(path))
 
     def encode(self, text: str) -> np.ndarray:
         text = text.encode("utf-8", "replace").decode()  # lone surrogates

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, stored, text_slices
+from .common import mix64, stored, text_slices, worker_held
 from .graph import connected_components
 
 SHINGLE, BANDS, ROWS, PERCENT = 4, 32, 5, 80
@@ -104,17 +104,13 @@ class _Hasher:
         return mix64((total[end] - total[begin]) * self.inverse[begin] + (end - begin).astype(np.uint64)), begin
 
 
-_hasher: _Hasher | None = None
-
-
 def shingle_sets(texts: list[str | None], shingle: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text (empty for null or no words)."""
-    global _hasher
-    _hasher = _hasher or _Hasher()
+    hasher = worker_held("hasher", _Hasher)
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     sizes = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
     ends = np.cumsum(sizes)
-    hashes, at = _hasher.words(b" ".join(raw))
+    hashes, at = hasher.words(b" ".join(raw))
     first = np.searchsorted(at, ends - sizes)
     last = np.searchsorted(at, ends)
     factor = np.uint64(0xD6E8FEB86659FD93)

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, stored, text_slices, vocabulary, words
+from .common import WordTable, stored, text_slices, vocabulary, words, worker_held
 from .packing import best_fit_decreasing, bound_of_counts, lower_bound
 
 VOCABULARY, CAPACITY, END_ID = "word_bpe_49k.json", 2048, 0
-#: Words that a Python worker remembers, and half as many of their parts (some 300 bytes each); when full it starts again.
-WORDS = 400_000
+#: Words that a Python worker remembers, and half as many of their parts (some 200 bytes each); when full it starts again.
+WORDS = 300_000
+#: Bytes of text whose words a Python worker holds at once (a single longer text is one slice).
+SLICE = 1 << 20
 #: Pieces that one partition packs (40 bytes each): grows no further with the input.
 PIECES, ROUNDS = 50_000, 4
 #: Letters whose normal form and lower case are plain, then marks: exactly two pre-tokens of the vocabulary.
@@ -48,19 +50,21 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.room, self.known = room, {}
+        #: one object per id, whatever the number of remembered parts it is in
+        self.number = list(range(self.tokenizer.get_vocab_size()))
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in plain]
         #: byte -> letter of the byte-level alphabet
         self.letter = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
-    def _learn(self, text: str) -> list[int]:
+    def _learn(self, text: str) -> tuple[int, ...]:
         if len(self.known) > self.room:
             self.known.clear()
         letters = text if text.isascii() else "".join(map(self.letter.__getitem__, text.encode()))
-        found = self.known[text] = [t.id for t in self.model.tokenize(letters)]
+        found = self.known[text] = tuple([self.number[t.id] for t in self.model.tokenize(letters)])
         return found
 
-    def __call__(self, chunks: list[str]) -> list[list[int]]:
+    def __call__(self, chunks: list[str]) -> list[Sequence[int]]:
         out, odd = [], []
         known, learn, plain_of = self.known.get, self._learn, _PLAIN.fullmatch
         for chunk in chunks:
@@ -90,7 +94,7 @@ def _tokenised(docs: DataFrame, id_col: str, text_col: str, path: str, capacity:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(path)
-        for part, texts in text_slices(batches, "text"):
+        for part, texts in text_slices(batches, "text", SLICE):
             table.clear_if_full()
             found = [words(t) if t else [] for t in texts]
             codes = table.codes(list(chain.from_iterable(found)))
@@ -112,13 +116,8 @@ def _tokenised(docs: DataFrame, id_col: str, text_col: str, path: str, capacity:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-_tables: dict[str, WordTable] = {}
-
-
 def _table(path: str) -> WordTable:
-    if path not in _tables:
-        _tables[path] = encoder_table(path)
-    return _tables[path]
+    return worker_held(("pieces", path), lambda: encoder_table(path))
 
 
 def _round(open_pieces: DataFrame, n: int, number: int, capacity: int, per_group: int) -> DataFrame:

@@ -1,12 +1,16 @@
+import weakref
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from nullwise.llm.common import vocabulary, words
+from nullwise.llm import repack
+from nullwise.llm.common import vocabulary, words, worker_held
+from nullwise.llm.minhash import _Hasher
 from nullwise.llm.packing import best_fit_decreasing, lower_bound
 from nullwise.llm.repack import WordEncoder, encoder_table, pack_documents
 
@@ -96,3 +100,35 @@ def test_pack_documents(spark, per_group):
 
 def test_pack_empty(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_worker_holds_the_tables_of_one_step_only():
+    """A Python worker that served other stages drops their vocabularies and word tables before pack builds its own."""
+    path = vocabulary(repack.VOCABULARY)
+    hasher = weakref.ref(worker_held("hasher", _Hasher))
+    assert worker_held("hasher", _Hasher) is hasher()
+    table = repack._table(path)
+    assert hasher() is None and repack._table(path) is table
+    learned = table.encode._learn("antidisestablishment")
+    assert len(learned) > 1 and all(i is table.encode.number[i] for i in learned)  # no integer objects of its own
+
+
+def test_pack_holds_the_words_of_small_slices(monkeypatch):
+    """However many rows a batch has, the words of a bounded part of its text are held at once."""
+    held = []
+    table = repack._table(vocabulary(repack.VOCABULARY))
+    codes = table.codes
+    monkeypatch.setattr(table, "codes", lambda tokens: held.append(sum(map(len, tokens))) or codes(tokens))
+
+    class Docs:  # runs the step in this process
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            text = "some words of a text " * 2_000
+            batch = pa.RecordBatch.from_arrays([pa.array(range(100), pa.int64()), pa.array([text] * 100)], names=["id", "text"])
+            return sum(b.num_rows for b in run(iter([batch])))
+
+    monkeypatch.setattr(repack.F, "col", lambda name: type("C", (), {"cast": lambda s, t: s, "alias": lambda s, n: s})())
+    assert repack._tokenised(Docs(), "id", "text", vocabulary(repack.VOCABULARY), 2048) == 100 * (10_001 // 2048 + 1)
+    assert len(held) > 3 and max(held) <= repack.SLICE
