@@ -55,3 +55,21 @@ def test_more_tasks_than_cores_fill_whole_waves(spark, monkeypatch):
     rows = spark.range(10 * cores + 25)
     assert binning.even_tasks(rows, 10 * cores + 25) == 2 * cores == binning.dealt(rows, 10 * cores + 25).rdd.getNumPartitions()
     assert [binning.even_tasks(rows, n) for n in (0, 10, 11)] == [1, 1, 2 if cores > 1 else 2 * cores]
+
+
+def test_kernel_components_are_computed_once_for_all_penalties(spark, monkeypatch):
+    from nullwise.plans import q_models
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((200, 2))
+    rows = [(i, int(r[0] * r[1] > 0), float(r[0]), float(r[1])) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "row_id long, label int, a double, b double").persist()
+    train, test = df.where("row_id < 150"), df.where("row_id >= 150")
+    want = L.sweep(lambda c: L.rbf_classifier(train, "label", ["a", "b"], C=c), [0.1, 10.0], train, test, "label")
+    maps, transform = [], L.FourierModel.transform_features
+    monkeypatch.setattr(q_models, "prepared", lambda *_: (train, test, ["a", "b"]))
+    monkeypatch.setattr(q_models, "KERNEL_C", [0.1, 10.0])
+    monkeypatch.setattr(L.FourierModel, "transform_features", lambda self, d: maps.append(d is train) or transform(self, d))
+    got = {r["c"]: r["test_accuracy"] for r in q_models.q_sweep_kernel_c(spark, None).collect()}
+    assert got == dict(want) and sum(maps) == 1
+    assert L.fits_at_once(train, 800, 10 ** 12) == 1 and L.fits_at_once(train, 800, 150) == 4
